@@ -2,17 +2,18 @@
 
 A prefix of a match has exactly one encoding, and it is that of a shorter prefix plus one token
 that stays apart from the token before it. So the transducer's threads are the starts of tokens
-that may still be open: (bytes read since, tokens pending before). Reading a byte advances all
-threads; what all of them agree on is emitted, so the delay is bounded by the longest token. The
-set of threads with the last emitted token is the deterministic state. States and transitions are
-made when a text first needs them and kept by number.
+that may still be open: (place in the trie of tokens, token before the start). The set of threads
+is the deterministic state; reading a byte advances all threads, and gives the token that ends
+there if the text does. Tokens on which the paths to all open starts agree are emitted, so the
+delay is bounded by the longest token. States and transitions are made when a text first needs
+them and kept by number.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
@@ -27,8 +28,23 @@ from capspark.llm.session import bound_batches
 
 #: Ids of a text that are decoded together.
 RUN = 1 << 16
-MOST_TRANSITIONS = 250_000
+MOST_TRANSITIONS = 150_000
+#: Bytes of a match after which what is sure is emitted; longer than two of the longest tokens.
+LOOKAHEAD = 1024
 _NEVER = 1 << 60
+_TOKEN = (1 << 20) - 1
+
+
+class _Steps(dict):
+    """state << 8 | byte -> next state << 20 | token that may end here; made when first asked for."""
+
+    def __init__(self, advance):
+        super().__init__()
+        self.advance = advance
+
+    def __missing__(self, key: int) -> int:
+        to = self[key] = self.advance(key >> 8, key & 255)
+        return to
 
 
 class Transducer:
@@ -38,6 +54,7 @@ class Transducer:
         self._child: dict[int, int] = {}  # node << 8 | byte -> node of the trie of all tokens
         self._token: list[int] = [-1]
         self._open: list[bool] = [True]  # whether some token goes on from the node
+        self._depth: list[int] = [0]
         for token, i in ranks.items():
             node = 0
             for byte in token:
@@ -47,6 +64,7 @@ class Transducer:
                     to = self._child[key] = len(self._token)
                     self._token.append(-1)
                     self._open.append(False)
+                    self._depth.append(self._depth[node] + 1)
                 node = to
             self._token[node] = i
         self._apart: dict[int, bool] = {}
@@ -55,16 +73,17 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state((-1, ((0, ()),)))
-
-    def _state(self, state: tuple) -> int:
-        n = self.number.get(state)
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.next = _Steps(self._advance)
+        self.start = self._state((0,))
+
+    def _state(self, threads: tuple[int, ...]) -> int:
+        """threads: node << 20 | token before its start, plus 1 (0 at the start of the match)."""
+        n = self.number.get(threads)
         if n is None:
-            n = self.number[state] = len(self.states)
-            self.states.append(state)
+            n = self.number[threads] = len(self.states)
+            self.states.append(threads)
         return n
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -109,55 +128,68 @@ class Transducer:
         self._apart[before << 32 | token] = ok
         return ok
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        context, threads = self.states[state]
+    def _advance(self, state: int, byte: int) -> int:
         child, tokens, still, apart = self._child, self._token, self._open, self._apart
-        going, done = [], None
-        for node, pending in threads:
-            to = child.get(node << 8 | byte)
+        going, done = [], -1
+        for thread in self.states[state]:
+            before = thread & _TOKEN
+            to = child.get(thread >> 20 << 8 | byte)
             if to is None:
                 continue
-            token = tokens[to]
-            if token >= 0 and done is None:
-                before = pending[-1] if pending else context
-                ok = apart.get(before << 32 | token)
+            if done < 0 and (token := tokens[to]) >= 0:
+                ok = apart.get((before - 1) << 32 | token)
                 if ok is None:
-                    ok = self._stays(before, token)
+                    ok = self._stays(before - 1, token)
                 if ok:
-                    done = (*pending, token)
+                    done = token
             if still[to]:
-                going.append((to, pending))
-        going.append((0, done))
-        out = ()
-        while (first := going[0][1]) and done:
-            token = first[0]
-            for _, path in going:
-                if not path or path[0] != token:
-                    break
-            else:
-                out += (token,)
-                going = [(n, p[1:]) for n, p in going]
-                done = done[1:]
-                continue
-            break
-        return self._state((out[-1] if out else context, tuple(going))), out
-
-    def encode(self, match: bytes) -> tuple[int, ...]:
-        """The tokens of one match of the split pattern."""
+                going.append(to << 20 | before)
+        going.append(done + 1)
+        return self._state(tuple(going)) << 20 | done
+
+    def _sure(self, state: int, ends: list[int]) -> tuple[int, list[int]]:
+        """How far the paths to all open starts agree, and the tokens up to there."""
+        depth, common = self._depth, None
+        for thread in self.states[state]:
+            at, path = len(ends) - depth[thread >> 20], []
+            while at > 0:
+                path.append(at)
+                at -= len(self.bytes_of[ends[at - 1]])
+            common = set(path) if common is None else common.intersection(path)
+        upto = at = max(common, default=0)
+        return upto, self._back(ends, at)
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        out, bytes_of = [], self.bytes_of
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= len(bytes_of[token])
+        out.reverse()
+        return out
+
+    def encode(self, match: bytes) -> list[int]:
+        """The tokens of one match of the split pattern. ends has the token that ends at each byte
+        since the last emitted one; what is sure is emitted every LOOKAHEAD bytes."""
         if (whole := self.ranks.get(match)) is not None:
-            return (whole,)
+            return [whole]
         if len(self.next) > MOST_TRANSITIONS:
             self._reset()
-        state, out, step = self.start, [], self.next
-        for byte in match:
-            key = state << 8 | byte
-            to = step.get(key)
-            if to is None:
-                to = step[key] = self._advance(state, byte)
-            state = to[0]
-            if to[1]:
-                out += to[1]
-        return (*out, *self.states[state][1][-1][1])
+        state, step, out, ends = self.start, self.next, [], []
+        for i in range(0, len(match), LOOKAHEAD):
+            if i:
+                upto, tokens = self._sure(state, ends)
+                out += tokens
+                del ends[:upto]
+                if len(step) > MOST_TRANSITIONS:
+                    threads = self.states[state]
+                    self._reset()
+                    step, state = self.next, self._state(threads)
+            for byte in match[i : i + LOOKAHEAD]:
+                to = step[state << 8 | byte]
+                state = to >> 20
+                ends.append(to & _TOKEN)
+        return out + self._back(ends, len(ends))
 
 
 class Utf8Machine:
@@ -189,15 +221,11 @@ class Utf8Machine:
         return data.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], run: int = RUN) -> Iterator[str]:
+def decode_stream(ids: list[int], bytes_of: dict[int, bytes], run: int = RUN) -> Iterator[str]:
     """Text as it becomes certain, run by run of ids."""
-    machine, part = Utf8Machine(), []
-    for i in ids:
-        part.append(bytes_of[i])
-        if len(part) == run:
-            yield machine.feed(b"".join(part))
-            part.clear()
-    yield machine.feed(b"".join(part))
+    machine = Utf8Machine()
+    for i in range(0, len(ids), run):
+        yield machine.feed(b"".join(map(bytes_of.__getitem__, ids[i : i + run])))
     yield machine.end()
 
 
@@ -238,7 +266,11 @@ def decoder(path: str, pattern: str):
 
     def decode(ids: pa.Array) -> pa.Array:
         bytes_of = _coder(path, pattern)[0].bytes_of
-        return pa.array(["".join(decode_stream(x or (), bytes_of)) for x in ids.to_pylist()], pa.string())
+        flat, ends, out = ids.flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+        for n in ids.value_lengths().fill_null(0).to_pylist():
+            out.append("".join(decode_stream(flat[ends : ends + n], bytes_of)))
+            ends += n
+        return pa.array(out, pa.string())
 
     return F.arrow_udf(decode, "string").asNondeterministic()
 

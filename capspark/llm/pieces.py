@@ -41,7 +41,7 @@ class Memory(dict):
     """piece -> its ids as little-endian 32-bit integers, forgotten as a whole when it gets too
     large. Forgetting changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 500_000):
         super().__init__()
         self.encode, self.most = encode, most
 
