@@ -266,9 +266,9 @@ def decoder(path: str, pattern: str):
 
     def decode(ids: pa.Array) -> pa.Array:
         bytes_of = _coder(path, pattern)[0].bytes_of
-        flat, ends, out = ids.flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+        flat, ends, out = ids.flatten().to_numpy(zero_copy_only=False), 0, []
         for n in ids.value_lengths().fill_null(0).to_pylist():
-            out.append("".join(decode_stream(flat[ends : ends + n], bytes_of)))
+            out.append("".join(decode_stream(flat[ends : ends + n].tolist(), bytes_of)))
             ends += n
         return pa.array(out, pa.string())
 

@@ -39,11 +39,12 @@ def cut(text: str) -> list[str]:
 
 class Memory(dict):
     """piece -> its ids as little-endian 32-bit integers, forgotten as a whole when it gets too
-    large. Forgetting changes no result."""
+    large. Pieces of more than `longest` characters seldom come again and are not kept. None of this
+    changes a result."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 500_000, longest: int = 11):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.longest = encode, most, longest
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text, run by run; the pieces of a run not known yet are encoded together."""
@@ -57,4 +58,8 @@ class Memory(dict):
                 self.clear()
                 new = list(dict.fromkeys(pieces))
             self.update(zip(new, self.encode(new), strict=True))
-        return b"".join(map(self.__getitem__, pieces))
+        out = b"".join(map(self.__getitem__, pieces))
+        for p in new:
+            if len(p) > self.longest:
+                del self[p]
+        return out

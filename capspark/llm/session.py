@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch to Python, so that long texts do not meet in one batch of 10,000 rows.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 _written: list[str] = []
 
