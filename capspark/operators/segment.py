@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
@@ -192,9 +192,9 @@ def merge_flicker(events: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Param
     alone = rows.filter("__n = 1").select("video_id", "start", "end", "bbox")
     many = rows.filter("__n > 1")
     # Any merge joins a stretch of the chain: its middle is that of the first start and a later end.
-    stretch = many.select("video_id", "chain", "start").join(many.select("video_id", "chain", "end"), ["video_id", "chain"]).filter("end >= start")
-    mids = stretch.select("video_id", "chain", F.floor((F.col("start") + F.col("end")) / 2).alias("frame")).distinct()
-    got = mids.join(thumbs.select("video_id", "frame", F.col(px).alias("px")), ["video_id", "frame"])
+    stretch = many.select("video_id", "chain", "start").join(many.select("video_id", "chain", F.col("end").alias("e")), ["video_id", "chain"]).filter("e >= start")
+    mids = stretch.select("video_id", "chain", F.floor((F.col("start") + F.col("e")) / 2).alias("frame")).distinct()
+    got = mids.join(thumbs.select("video_id", "frame", F.col(px).alias("px")), ["video_id", "frame"]).select(F.col("video_id").alias("v"), F.col("chain").alias("c"), "frame", "px")
     g = geo.select("video_id", "crop_y", "thumb_w", "thumb_h")
     many = many.join(g, "video_id").select("video_id", "chain", "start", "end", F.col("bbox.x1"), F.col("bbox.y1"), F.col("bbox.x2"), F.col("bbox.y2"), "crop_y", "thumb_w", "thumb_h")
 
@@ -213,7 +213,7 @@ def merge_flicker(events: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Param
             kept.append([r.start, r.end, own])
         return pd.DataFrame([{"video_id": ev["video_id"].iloc[0], "start": s, "end": e, "bbox": dict(zip(("x1", "y1", "x2", "y2"), map(int, b), strict=True))} for s, e, b in kept])
 
-    merged = many.groupBy("video_id", "chain").cogroup(got.groupBy("video_id", "chain")).applyInPandas(fold, f"video_id long, start long, end long, bbox {C.BOX}")
+    merged = many.groupBy("video_id", "chain").cogroup(got.groupBy("v", "c")).applyInPandas(fold, f"video_id long, start long, end long, bbox {C.BOX}")
     return alone.unionByName(merged)
 
 
@@ -232,5 +232,3 @@ def flat_box(df: DataFrame, col: str = "bbox") -> DataFrame:
     """The box as four int columns."""
     return df.select(*[c for c in df.columns if c != col], *[F.col(f"{col}.{k}").cast("int").alias(k) for k in ("x1", "y1", "x2", "y2")])
 
-
-__all__ = [k for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and k not in ("Callable", "Iterator", "Column")]

@@ -49,10 +49,10 @@ def parse_probe(probe_raw: DataFrame) -> DataFrame:
     """probe_raw (video_id, json) as videos, with error: null, "no video" or "bad frame rate". Rows
     with an error keep null fields; callers split on it."""
     p = F.from_json("json", _PROBE)
-    rows = probe_raw.select("video_id", p.alias("p")).withColumn("v", F.filter("p.streams", lambda s: s["codec_type"] == "video")[0])
+    rows = probe_raw.select("video_id", p.alias("p")).withColumn("v", F.get(F.filter("p.streams", lambda s: s["codec_type"] == "video"), F.lit(0)))
     filled = lambda c: F.when(F.length(F.col(c)) > 0, F.col(c))
     rate = F.coalesce(F.col("v.r_frame_rate"), F.lit("30/1"))
-    num, den = F.split(rate, "/")[0].try_cast("double"), F.split(rate, "/")[1].try_cast("double")
+    num, den = (F.get(F.split(rate, "/"), F.lit(i)).try_cast("double") for i in (0, 1))
     fps = F.when((den != 0) & den.isNotNull(), num / den)
     error = F.when(F.col("v").isNull(), "no video").when(fps.isNull(), "bad frame rate")
     duration = F.coalesce(filled("v.duration"), filled("p.format.duration"), F.lit("0")).try_cast("double")
