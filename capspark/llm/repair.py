@@ -55,10 +55,11 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         if not len(often):
             break
         often = often[np.argsort(-count[often], kind="stable")][:RULES_A_ROUND]
-        order = np.full(1 << _BUCKETS, RULES_A_ROUND, np.int64)
-        order[often] = np.arange(len(often))
-        at = np.where(own, order[bucket], RULES_A_ROUND)
-        pad = np.concatenate(([RULES_A_ROUND], at, [RULES_A_ROUND]))
+        order = np.full(1 << _BUCKETS, RULES_A_ROUND, np.int32)
+        order[often] = np.arange(len(often), dtype=np.int32)
+        pad = np.full(len(bucket) + 2, RULES_A_ROUND, np.int32)
+        at = pad[1:-1]
+        np.copyto(at, order[bucket], where=own)
         hit = (at < RULES_A_ROUND) & (at < pad[:-2]) & (at <= pad[2:])  # of a run of one pair the first
         used = np.bincount(at[hit], minlength=len(often)) >= 2
         hit &= np.append(used, np.zeros(RULES_A_ROUND + 1 - len(used), bool))[at]
@@ -139,7 +140,7 @@ def _tokenizer(path: str):
             else:
                 yield np.array(t.encode_batch_fast([p], add_special_tokens=False)[0].ids, "<i4").tobytes()
 
-    return t, Memory(encode)
+    return t, Memory(encode, most=900_000, longest=14)
 
 
 def tokens_of(text: str, path: str) -> np.ndarray:
