@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ _RUN = f"video_id long, first_s long, last_s long, split_from long, bbox {C.BOX}
 
 def stream_runs(samples: DataFrame, step: int, crop_y: int, tw: int, th: int, late: str = "10 seconds", idle_ms: int = 60_000, p: Params = DEFAULTS) -> DataFrame:
     """Runs of one picture with the batch fold: samples (video_id, ts, frame, x1, y1, x2, y2 or null,
-    pixels). Rows wait until the watermark has passed them and are then folded in order of frame;
+    pixels). Rows wait until the watermark has passed them and are then folded in order of time;
     idle_ms of event time without a row ends the last run. The state of a video is its open run
     and the rows that wait."""
     rows = samples.withWatermark("ts", late).select("video_id", F.col("ts"), (F.col("ts").cast("double") * 1000).cast("long").alias("ms"), "frame", "x1", "y1", "x2", "y2", "pixels")
@@ -54,16 +55,15 @@ def stream_runs(samples: DataFrame, step: int, crop_y: int, tw: int, th: int, la
                 box = () if pd.isna(r.x1) else tuple(int(v) for v in (r.x1, r.y1, r.x2, r.y2))
                 waiting.append((int(r.ms), int(r.frame), box, r.pixels))
         mark = st.getCurrentWatermarkMs()
-        ready = sorted(w for w in waiting if st.hasTimedOut or w[0] <= mark)
-        waiting = [] if st.hasTimedOut else [w for w in waiting if w[0] > mark]
+        ready = sorted(w for w in waiting if w[0] <= mark)
+        waiting = [w for w in waiting if w[0] > mark]
+        idle = st.hasTimedOut and not ready and not waiting
         out = []
 
         def close() -> None:
             if run is not None:
                 out.append((key[0], run[0], run[1], run[2], dict(zip(("x1", "y1", "x2", "y2"), run[3], strict=True))))
 
-        import numpy as np
-
         pixels = lambda d: np.frombuffer(d, np.uint8)
         for _, frame, box, px in ready:
             if run is not None and (not box or frame - run[1] > step):
@@ -80,14 +80,14 @@ def stream_runs(samples: DataFrame, step: int, crop_y: int, tw: int, th: int, la
             else:
                 close()
                 run = [frame, frame, run[1], box, px]
-        if st.hasTimedOut:
+        if idle:
             close()
             st.remove()
         else:
             a, z, s, b, rpx = run or (None,) * 5
             st.update(([w[0] for w in waiting], [w[1] for w in waiting], [list(w[2]) for w in waiting], [w[3] for w in waiting], a, z, s, None if b is None else list(b), rpx))
-            newest = max([w[0] for w in waiting] + [w[0] for w in ready] + [mark])
-            st.setTimeoutTimestamp(max(newest + (idle_ms if not waiting else 1), mark + 1))
+            until = min(w[0] for w in waiting) + 1 if waiting else max(mark, ready[-1][0] if ready else 0) + idle_ms
+            st.setTimeoutTimestamp(max(until, mark + 1))
         yield pd.DataFrame(out, columns=["video_id", "first_s", "last_s", "split_from", "bbox"])
 
     return rows.groupBy("video_id").applyInPandasWithState(fold, _RUN, state, "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tempfile
+import time
 from difflib import SequenceMatcher
 
 import duckdb
@@ -314,9 +315,13 @@ def test_stages_and_inventory(spark):
     assert sorted((r["name"], r["size"], len(r["job_key"])) for r in got) == [("a.MP4", 5, 12), ("c.mkv", 5, 12)]
 
 
-def stream(spark, df, run, mode="append"):
+def stream(spark, df, run, mode="append", then=None):
+    """df in three micro-batches, and `then` in one after them."""
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     df.repartition(3).write.parquet(f"{path}/in")
+    if then is not None:
+        time.sleep(1.5)  # files are taken in order of their age
+        then.coalesce(1).write.mode("append").parquet(f"{path}/in")
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     name = "t" + path.rpartition("-")[2].replace("-", "_")
     q = run(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
@@ -326,7 +331,6 @@ def stream(spark, df, run, mode="append"):
 
 def test_streams_equal_batch(spark):
     ev = spark.read.parquet(f"{DIR}/events.parquet").select((F.col("user_id") % 5).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame"), F.concat(F.lit("j"), (F.col("event_id") % 7).cast("string")).alias("job_key"))
-    end = spark.createDataFrame([(99, 0, "end")], "video_id long, frame long, job_key string").withColumn("ts", F.lit("2099-01-01").cast("timestamp"))
     got = stream(spark, ev, lambda s: live.stream_throughput(s, "1 day", "400 days"), "append")
     assert got.count() == 0  # nothing is behind the watermark yet
     status = ev.withColumns({"stage": F.lit("ocr"), "progress": F.col("frame") / 1e6, "status": F.lit("running")})
@@ -338,12 +342,11 @@ def test_streams_equal_batch(spark):
     boxed = ev.withColumn("boxes", F.array(C.box(F.lit(0), F.lit(0), F.lit(50), F.lit(20))))
     assert stream(spark, boxed, lambda s: live.stream_samples(s, geo)).count() == live.stream_samples(boxed, geo).count()
     store = {"t": spark.createDataFrame([(1, 1, "old")], "video_id long, event_id long, zh string")}
-    run = live.upsert_batch(lambda: store["t"], lambda t, _: store.update(t=t.localCheckpoint()))
+    run = live.upsert_batch(lambda: store["t"], lambda t, _: store.update(t=spark.createDataFrame(t.collect(), t.schema)))
     batch = spark.createDataFrame([(1, 1, "new", 2), (1, 1, "mid", 1), (2, 1, "x", 1)], "video_id long, event_id long, zh string, version long")
     run(batch, 0)
     run(batch, 0)
     assert sorted(tuple(r) for r in store["t"].collect()) == [(1, 1, "new"), (2, 1, "x")]
-    del end
 
 
 def test_stream_sessions_and_runs_equal_batch(spark):
@@ -351,12 +354,13 @@ def test_stream_sessions_and_runs_equal_batch(spark):
     at = lambda f: F.timestamp_seconds(F.lit(1_700_000_000) + f * F.lit(0.1))
     flat = spark.createDataFrame([(v, f, *(b or (None,) * 4)) for v, f, b in samples], "video_id long, frame long, x1 int, y1 int, x2 int, y2 int")
     live_rows = flat.join(thumbs.select("video_id", "frame", "pixels"), ["video_id", "frame"]).withColumn("ts", at(F.col("frame")))
-    last = spark.createDataFrame([(v, 10**6) for v in (0, 1, 2, 7)], "video_id long, frame long").withColumn("ts", at(F.col("frame")))
-    one = live_rows.unionByName(last, allowMissingColumns=True)
+    marks = [(0, 2000), (1, 2000), (2, 2000), (7, 10**6)]
+    last = live_rows.limit(0).unionByName(spark.createDataFrame(marks, "video_id long, frame long").withColumn("ts", at(F.col("frame"))), allowMissingColumns=True)
     bbox = F.when(F.col("x1").isNotNull(), C.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    sessions = stream(spark, one.withColumn("bbox", bbox).select("video_id", "ts", "frame", F.coalesce("bbox", F.when(F.col("frame") == 10**6, C.box(*[F.lit(0)] * 4))).alias("bbox")), lambda s: live.stream_sessions(s, 0.3, "20 seconds"))
+    boxed = lambda df, b: df.select("video_id", "ts", "frame", b.alias("bbox"))
+    sessions = stream(spark, boxed(live_rows, bbox), lambda s: live.stream_sessions(s, 0.3, "20 seconds"), then=boxed(last, C.box(*[F.lit(0)] * 4)))
     batch = segment.text_islands(spark.createDataFrame(samples, BOXED))
-    pick = lambda df: sorted((r["video_id"], r["first_s"], r["last_s"], tuple(r["bbox"])) for r in df.collect() if r["first_s"] < 10**6)
+    pick = lambda df: sorted((r["video_id"], r["first_s"], r["last_s"], tuple(r["bbox"])) for r in df.collect() if r["first_s"] < 2000)
     assert pick(sessions) == pick(batch)
-    runs = stream(spark, one, lambda s: live.stream_runs(s, 3, 0, 4, 4, "20 seconds"))
+    runs = stream(spark, live_rows, lambda s: live.stream_runs(s, 3, 0, 4, 4, "20 seconds"), then=last)
     assert pick(runs) == pick(segment.split_runs(spark.createDataFrame(samples, BOXED), thumbs, geo))
