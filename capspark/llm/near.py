@@ -81,10 +81,30 @@ def candidates(classes: DataFrame, trees: int = TREES, depths: tuple[int, ...] =
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Pairs carry a's set to b's."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}")), side)
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    links = pairs.withColumn("both", common).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
+    return links.select("a", "b")
+
+
+def _to_hubs(pairs: DataFrame, agree: int) -> DataFrame:
+    """Of every class's pairs whose signatures agree that often, the one whose other end has most pairs."""
+    ways = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    size = pairs.select(F.explode(F.array("a", "b")).alias("b")).groupBy("b").agg(F.count("*").alias("c"))
+    best = F.max(F.struct("c", "agree", (-F.col("b")).alias("r"))).alias("m")
+    chosen = ways.filter(F.col("agree") >= agree).join(size, "b").groupBy("a").agg(best).select("a", (-F.col("m.r")).alias("b"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id_col, n_shingles, component_id (the smallest id reachable over links of
-    Jaccard similarity of at least threshold, in whole hundredths), n_links (confirmed links of its
-    class's representative to other classes), kept (id_col is component_id).
+    Jaccard similarity of at least threshold, in whole hundredths), kept (id_col is component_id).
+
+    Whole sets are compared in two rounds: each class with its hub, then the candidate pairs whose
+    ends are not yet in one component, which no further link could change.
 
     Shingles are five words of the lower-cased (A-Z) text. Fewer words are one shingle; no words or
     a null text link with nothing. Equal sets always link. Rows that share an id are one document:
@@ -105,29 +125,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).filter(agree >= int((threshold - SLACK) * VALUES))
-    pairs = written(pairs.select("a", "b"), "pairs")
+    pairs = pairs.withColumn("agree", agree).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    pairs = written(pairs.filter(F.col("agree") >= int((threshold - SLACK) * VALUES)).select("a", "b", "agree"), "pairs")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ids, "rep", "left_semi")
     sets = texts.select("rep", set_maker()("t").alias("s")).select("rep", "s.*").join(own, ["rep", "n", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
     sets = written(sets.select("rep", "n", "shingles"), "sets")
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}")), side)
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.withColumn("both", common).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-    links = written(links.select("a", "b"), "links")
+    links = written(_confirmed(_to_hubs(pairs, int(threshold * VALUES)), sets, percent), "links")
+    near = written(components(links), "near")
+    root_a, root_b = (near.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b"))
+    apart = pairs.join(root_a, "a", "left").join(root_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    links = links.unionByName(written(_confirmed(apart.select("a", "b"), sets, percent), "links"))
 
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    labels = reps.join(roots.join(degree, "id"), F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"), "n_links")
+    labels = reps.join(components(links), F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"], "left")
     component = F.coalesce("root", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("id").eqNullSafe(component).alias("kept"),
     )
 
