@@ -21,6 +21,9 @@ TREES = 16
 DEPTHS = (3, 4, 6, 9, 14, 22)
 LARGE = 32
 NEIGHBOURS = 3
+#: Documents with candidates (16 bytes each) up to which their ids are sent to every task, so that
+#: only their texts are shuffled; with more, all texts are shuffled once.
+BROADCAST_IDS = 2_000_000
 #: How far below the threshold a signature may estimate a pair that is still compared: 4 to 6
 #: standard deviations of the share of VALUES equal minima.
 SLACK = 0.25
@@ -128,9 +131,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     pairs = pairs.withColumn("agree", agree).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     pairs = written(pairs.filter(F.col("agree") >= int((threshold - SLACK) * VALUES)).select("a", "b", "agree"), "pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ids, "rep", "left_semi")
-    sets = texts.select("rep", set_maker()("t").alias("s")).select("rep", "s.*").join(own, ["rep", "n", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
+    ask = own.select("rep", "d1").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    ask = written(ask.withColumnRenamed("d1", "of"), "ask")
+    ask = F.broadcast(ask) if ask.count() <= BROADCAST_IDS else ask.hint("merge")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ask, "rep")
+    sets = texts.select("rep", "of", set_maker()("t").alias("s")).select("rep", "of", "s.*").filter("d1 = of").dropDuplicates(["rep"])
     sets = written(sets.select("rep", "n", "shingles"), "sets")
     links = written(_confirmed(_to_hubs(pairs, int(threshold * VALUES)), sets, percent), "links")
     near = written(components(links), "near")
