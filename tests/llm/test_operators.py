@@ -277,6 +277,14 @@ def test_near_duplicates_edges(spark):
     assert near.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_with_more_ids_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near, "BROADCAST_IDS", 0)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(5, " ".join(words)), (6, " ".join([*words[:-1], "x"])), (6, " ".join(f"v{i}" for i in range(300))), (9, " ".join(words[::-1]))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (6, 5), (6, 5), (9, 9)]  # of id 6 the smaller set is compared
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["id"]: r["root"] for r in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
