@@ -52,14 +52,14 @@ class Memory(dict):
         return np.frombuffer(b"".join([self._run(pieces[i : i + RUN]) for i in range(0, len(pieces), RUN)]), "<i4")
 
     def _run(self, pieces: list[str]) -> bytes:
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
-        if new:
+        found = list(map(self.get, pieces))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            new = list(dict.fromkeys([pieces[i] for i in at]))
             if len(self) + len(new) > self.most:
                 self.clear()
-                new = list(dict.fromkeys(pieces))
-            self.update(zip(new, self.encode(new), strict=True))
-        out = b"".join(map(self.__getitem__, pieces))
-        for p in new:
-            if len(p) > self.longest:
-                del self[p]
-        return out
+            coded = dict(zip(new, self.encode(new), strict=True))
+            for i in at:
+                found[i] = coded[pieces[i]]
+            self.update({p: x for p, x in coded.items() if len(p) <= self.longest})
+        return b"".join(found)
