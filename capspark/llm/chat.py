@@ -2,7 +2,8 @@
 
 From a participant's perspective its own turns are the assistant's, everyone else is a named user,
 and the mask covers what the assistant says. Turns stay rows, so a dialogue of any length is spread
-over tasks; where a turn stands in the rendered dialogue comes from two-level running sums.
+over tasks; where a turn stands in the rendered dialogue comes from two-level running sums. The
+sums over blocks of turns are made from lengths alone, so texts are shuffled once, by block.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capspark.llm.session import written
 
 BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -20,6 +22,30 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _head(role: Column, name: Column) -> Column:
+    return F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), _plain(name)), F.lit("")), F.lit("\n"))
+
+
+def _before(said: DataFrame, shared: tuple[str, ...]) -> DataFrame:
+    """said: g (dialogue d, block b), s, x. Returns g, p, before: for each block of a dialogue and
+    each participant p the characters of all earlier blocks in p's view. Only lengths are shuffled."""
+    common = F.col("s").isin(*shared)
+    parts = said.groupBy("g", "s").agg(F.count("*").alias("n"), F.sum(F.length(_plain(F.col("x")))).alias("chars"))
+
+    def chars(role: Column, name: Column) -> Column:
+        return F.col("chars") + F.col("n") * (F.length(_head(role, name)) + len(CLOSE) + 1)
+
+    other = chars(F.when(common, F.col("s")).otherwise(F.lit("user")), F.when(~common, F.col("s")))
+    own = chars(F.lit("assistant"), F.lit(None).cast("string"))
+    parts = written(parts.select("g", "s", other.alias("other"), (own - other).alias("more")), "parts")
+    who = parts.filter(~common).select(F.struct("g.d").alias("k"), F.col("s").alias("p")).distinct()
+    totals = parts.groupBy("g").agg(F.sum("other").alias("other")).withColumn("k", F.struct("g.d"))
+    grid = totals.join(who, "k").join(parts.select("g", F.col("s").alias("p"), "more"), ["g", "p"], "left")
+    earlier = Window.partitionBy("k", "p").orderBy("g.b").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum(F.col("other") + F.coalesce("more", F.lit(0))).over(earlier)
+    return grid.select("g", "p", F.coalesce(total, F.lit(0)).alias("before"))
+
+
 def perspectives(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", shared: tuple[str, ...] = ("system",)) -> DataFrame:
     """One row for each turn and each participant of its dialogue: dialogue, perspective (whose
     view it is), turn, speaker, role (assistant, user or system), name (of a named user, else
@@ -39,24 +65,20 @@ def perspectives(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn"
         F.coalesce(F.col(speaker), F.lit("unknown")).alias("s"),
         F.coalesce(F.col(text), F.lit("")).alias("x"),
     )
-    who = said.filter(~F.col("s").isin(*shared)).select(F.col("d").alias("pd"), F.col("s").alias("p")).distinct()
-    rows = said.join(who, F.col("d").eqNullSafe(F.col("pd"))).drop("pd")
+    said = said.select(F.struct("d", F.floor(F.col("t") / BLOCK).alias("b")).alias("g"), "t", "s", "x")  # a struct also joins on nulls
+    rows = said.join(_before(said, shared).hint("merge"), "g")
     common, own = F.col("s").isin(*shared), F.col("s") == F.col("p")
     role = F.when(common, F.col("s")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(~common & ~own, F.col("s"))
     rows = rows.withColumn("role", role).withColumn("name", name)
-    head = F.concat(F.lit(OPEN), F.col("role"), F.coalesce(F.concat(F.lit(" name="), _plain(F.col("name"))), F.lit("")), F.lit("\n"))
+    head = _head(F.col("role"), F.col("name"))
     rows = rows.withColumn("head", F.length(head)).withColumn("rendered", F.concat(head, _plain(F.col("x")), F.lit(CLOSE + "\n"))).withColumn("n_chars", F.length("rendered").cast("long"))
-    rows = rows.withColumn("b", F.floor(F.col("t") / BLOCK))
-    within = Window.partitionBy("d", "p", "b").orderBy("t", "s", "x").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("g", "p").orderBy("t", "s", "x").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_chars").over(within), F.lit(0)))
-    earlier = Window.partitionBy("d", "p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("d", "p", "b").agg(F.sum("n_chars").alias("chars")).select(F.col("d").alias("bd"), F.col("p").alias("bp"), F.col("b").alias("bb"), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("before"))
-    rows = rows.join(blocks, F.col("d").eqNullSafe(F.col("bd")) & (F.col("p") == F.col("bp")) & F.col("b").eqNullSafe(F.col("bb")))
     start = F.col("before") + F.col("inside")
     learned = F.col("role") == "assistant"
     return rows.select(
-        F.col("d").alias(dialogue),
+        F.col("g.d").alias(dialogue),
         F.col("p").alias("perspective"),
         F.col("t").alias(turn),
         F.col("s").alias("speaker"),
