@@ -5,8 +5,12 @@ is read from TREES starting points, each a sorted order. Regions of an order are
 agree on a prefix; the forest looks at prefixes of several depths, and a region that is still large
 is entered at a greater depth. Candidates are a class's next neighbours in its region, which share
 the longest prefix with it, and the region's centre: the class that sits in the largest regions of
-all orders, so a text that many copies were made from meets each of them. Candidates never grow
-faster than classes x orders x depths. Links are confirmed on whole shingle sets.
+all orders, so a text that many copies were made from meets each of them. These candidates never
+grow faster than classes x orders x depths. Links are confirmed on whole shingle sets.
+
+In a crowded region not all classes are candidates of each other. Where the links leave such a
+region in more than one component, its classes are completed by a prefix-filter join on whole sets,
+so that every pair that shares a region of the least depth is compared or ruled out exactly.
 """
 
 from __future__ import annotations
@@ -53,14 +57,17 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """classes: rep, sig. Returns distinct pairs (a < b) that the forest puts together."""
+def _labels(trees: int):
+    """(tree, depth) -> the prefix of that depth which a signature has in that order."""
     step = VALUES // trees
     twice = F.concat("sig", "sig")
+    return lambda tree, depth: F.slice(twice, tree * step + 1, depth)
 
-    def label(tree, depth):
-        return F.slice(twice, tree * step + 1, depth)
 
+def regions(classes: DataFrame, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """classes: rep, sig. Returns rep, tree, depth, key, c: the regions of more than one class, and
+    how many classes they have."""
+    label = _labels(trees)
     first = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, label(t, F.lit(depths[0]))).alias("key")))).alias("x")).select("rep", "x.tree", "x.key")
     shared = first.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     inside = first.join(shared, "key", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_set("tree")).alias("trees"))  # at most `trees` for each
@@ -68,8 +75,13 @@ def candidates(classes: DataFrame, trees: int = TREES, depths: tuple[int, ...] =
     levels = F.flatten(F.transform("trees", lambda t: F.array(*[F.struct(t.alias("tree"), F.lit(d).alias("depth"), F.xxhash64(t, label(t, F.lit(d))).alias("key")) for d in depths])))
     rows = inside.select("rep", F.explode(levels).alias("x")).select("rep", "x.tree", "x.depth", "x.key")
     sizes = rows.groupBy("tree", "depth", "key").agg(F.count("*").alias("c")).filter("c > 1")
-    rows = written(rows.join(sizes, ["tree", "depth", "key"]), "regions")
+    return written(rows.join(sizes, ["tree", "depth", "key"]), "regions")
+
 
+def candidates(classes: DataFrame, rows: DataFrame, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """classes: rep, sig; rows: their regions. Returns distinct pairs (a < b) that the forest puts
+    together: all of a region of the least depth, unless it is crowded."""
+    label = _labels(trees)
     weight = rows.groupBy("rep").agg(F.sum("c").alias("w"))
     weighed = rows.filter("c > 2").join(weight, "rep")
     centres = weighed.groupBy("tree", "depth", "key").agg(F.max(F.struct(F.col("w"), (-F.col("rep")).alias("r"))).alias("m"))
@@ -84,6 +96,54 @@ def candidates(classes: DataFrame, trees: int = TREES, depths: tuple[int, ...] =
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def crowded(rows: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """rep, tree, key of the regions of the least depth in which not all pairs are candidates."""
+    return rows.filter((F.col("depth") == depths[0]) & (F.col("c") > NEIGHBOURS + 1)).select("rep", "tree", "key")
+
+
+def _completion(crowd: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) of classes in crowded regions, not in one component of near, that may be
+    similar enough: a prefix-filter join, exact on whole sets.
+
+    Shingles have one order: those that only one component holds, then the rarer ones. Two sets
+    whose first common shingle has fewer shingles behind it, in either, than a link needs in common
+    are ruled out. A shingle's largest component is not joined with itself.
+    """
+    member = crowd.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = member.groupBy("tree", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tree", "key")
+    apart = written(member.join(mixed, ["tree", "key"], "left_semi").select("rep", "root").distinct(), "apart")
+    own = sets.join(apart, "rep").select("rep", "root", "n", F.explode("shingles").alias("shingle"))
+    common = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle", "c")
+    order = F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("order")
+    held = own.join(common, "shingle").groupBy("rep", "root", "n").agg(order).withColumn("k", F.size("order"))
+    least = F.expr(f"(n * {percent} + 99) div 100")  # common shingles of any link
+    head = held.withColumn("least", least).filter("k >= least").select("rep", "root", "n", "k", F.posexplode(F.slice("order", F.lit(1), (F.col("k") - F.col("least") + 1).cast("int"))).alias("at", "x"))
+    head = head.select("rep", "root", "n", "x.shingle", (F.col("k") - F.col("at")).alias("rest"))
+    head = head.withColumn("short", F.expr(f"rest * {100 + percent} >= 2 * {percent} * n"))  # enough for a set of its size or more
+    head = written(head, "head")
+
+    most = head.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
+    head = written(head.join(most.filter("roots > 1").select("shingle", F.col("m.root").alias("most")), "shingle"), "met")
+    light = F.col("root") != F.col("most")
+
+    def met(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+        x, y = (d.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "root", "n", "rest")]) for d, side in ((longer, "x"), (shorter, "y")))
+        enough = F.expr(f"least(rest_x, rest_y) * {100 + percent} >= {percent} * (n_x + n_y)")
+        return x.join(y, "shingle").filter("n_x >= n_y and root_x <> root_y").filter(enough).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+
+    short = head.filter("short")
+    return met(head.filter(light), short).unionByName(met(head.filter(~light), short.filter(light))).distinct()
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures do not rule out, with the number of equal values."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
+    pairs = pairs.withColumn("agree", agree).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return written(pairs.filter(F.col("agree") >= least).select("a", "b", "agree"), "pairs")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Pairs carry a's set to b's."""
     for side in ("a", "b"):
@@ -106,8 +166,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """For every row: id_col, n_shingles, component_id (the smallest id reachable over links of
     Jaccard similarity of at least threshold, in whole hundredths), kept (id_col is component_id).
 
-    Whole sets are compared in two rounds: each class with its hub, then the candidate pairs whose
-    ends are not yet in one component, which no further link could change.
+    Whole sets are compared in three rounds: each class with its hub, then the candidate pairs whose
+    ends are not yet in one component, which no further link could change, then those that the
+    completion of crowded regions finds between components.
 
     Shingles are five words of the lower-cased (A-Z) text. Fewer words are one shingle; no words or
     a null text link with nothing. Equal sets always link. Rows that share an id are one document:
@@ -124,14 +185,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     classes = signed.withColumnRenamed("id", "rep").join(own, ["rep", "n", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
     classes = written(classes.select("rep", "n", "sig"), "classes")
 
-    pairs = candidates(classes)
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    pairs = pairs.withColumn("agree", agree).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = written(pairs.filter(F.col("agree") >= int((threshold - SLACK) * VALUES)).select("a", "b", "agree"), "pairs")
+    rows = regions(classes)
+    crowd = crowded(rows)
+    least = int((threshold - SLACK) * VALUES)
+    pairs = _agreeing(candidates(classes, rows), classes, percent, least)
 
-    ask = own.select("rep", "d1").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    ask = own.select("rep", "d1").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct(), "rep", "left_semi")
     ask = written(ask.withColumnRenamed("d1", "of"), "ask")
     ask = F.broadcast(ask) if ask.count() <= BROADCAST_IDS else ask.hint("merge")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ask, "rep")
@@ -142,8 +201,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     root_a, root_b = (near.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b"))
     apart = pairs.join(root_a, "a", "left").join(root_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     links = links.unionByName(written(_confirmed(apart.select("a", "b"), sets, percent), "links"))
+    near = written(components(links), "near")
+    more = _agreeing(_completion(crowd, near, sets, percent), classes, percent, least)
+    more = written(_confirmed(more.select("a", "b"), sets, percent), "links")
+    near = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    labels = reps.join(components(links), F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
+    labels = reps.join(near, F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"], "left")
     component = F.coalesce("root", "id")
     return out.select(

@@ -269,6 +269,20 @@ def test_near_duplicates_equal_brute_force(spark, threshold):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, (_, c) in want.items() if c == i] and kept.columns == df.columns
 
 
+@pytest.mark.parametrize(("threshold", "own", "of_two"), [(0.8, 33, 7), (0.85, 26, 8)])
+def test_near_duplicates_in_a_family_of_one_template(spark, threshold, own, of_two):
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for p in range(250):  # partners share words that no other document of the family has
+        shared = [f"p{p}x{i}" for i in range(of_two)]
+        rows += [(i, " ".join([*template, *shared, *(f"d{i}x{k}" for k in range(own))])) for i in (2 * p, 2 * p + 1)]
+    random.Random(8).shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), threshold).collect()}
+    want = plain_components(rows, round(100 * threshold))
+    assert len({c for _, c in want.values()}) == 250
+    assert got == want
+
+
 def test_near_duplicates_edges(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "other words altogether here now ok")]
     got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
