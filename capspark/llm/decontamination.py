@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so that a question with other numbers has the
-same template. Windows of template words are hash-joined: the benchmark has a window at every
-word, a document at every STRIDE-th, so any run of WINDOW + STRIDE - 1 equal template words meets.
-The documents and items that meet are compared window by window, and the placeholders of windows
-on one alignment must agree: one value of the item stands for one value in the document.
+same template. Windows of template words are hash-joined: the benchmark and the documents have a
+window at every word, so any run of WINDOW equal template words meets. The documents and items that
+meet are compared window by window, and the placeholders of windows on one alignment must agree: one
+value of the item stands for one value in the document. Windows of few plain words must have the
+item's own values.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from capspark.llm.session import written
 
 WINDOW = 8
-STRIDE = 4
 MIN_COVERED = 0.5
-MIN_PLAIN = 3  # words of a window that are no placeholders
+MIN_PLAIN = 3  # words of a window that are no placeholders; with fewer, all values must be equal
 #: Benchmark windows up to which they are sent to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
@@ -44,14 +44,14 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _windows(text: Column, size: Column | int, stride: int, also_slots: bool = False) -> Column:
+def _windows(text: Column, size: Column | int, also_slots: bool = False) -> Column:
     """(at, h: hash of the template, and slots if asked for) of the windows of a text; of a text
     shorter than size there are none. Placeholders count in the hash by their type alone."""
     size = F.lit(size) if isinstance(size, int) else size
 
     def of_words(words: Column) -> Column:
-        at = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        types = F.transform(words, lambda w: F.when(w.startswith("\x01"), F.substring(w, 1, 2)).otherwise(w))
+        at = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+        types = F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("\x01"), F.substring(w, 1, 2)).otherwise(w)))
 
         def window(i: Column, t: Column) -> Column:
             parts = [i.alias("at"), F.xxhash64(F.slice(t, i + 1, size)).alias("h")]
@@ -68,18 +68,28 @@ def _sized(windows: Column, size: int) -> Column:
     return F.transform(windows, lambda x: F.struct(F.lit(size).alias("size"), x["h"].alias("h")))
 
 
+def _strict() -> Column:
+    """Whether a window (size, slots) has so few plain words that its values count as well. Windows
+    of one hash have one number of placeholders."""
+    return F.col("size") - F.size("slots") < F.least(F.lit(MIN_PLAIN), "size")
+
+
+def _values() -> Column:
+    return F.when(_strict(), F.xxhash64("slots")).otherwise(F.lit(0).cast("long"))
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item, n (words), size (of its windows: window, or the whole of a shorter item), at, h, slots.
-    Windows with fewer than MIN_PLAIN plain words (or all the words of a shorter window) say
-    nothing and are left out."""
+    """item, n (words), size (of its windows: window, or the whole of a shorter item), at, h, slots,
+    strict (fewer than MIN_PLAIN plain words, or than all the words of a shorter window), values (of
+    a strict window: the hash of its slots)."""
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("t"), F.size(template_words(F.col(text_col))).alias("n")).filter("n > 0").distinct()
     items = items.withColumn("size", F.least(F.lit(window), "n"))
-    rows = items.select("item", "n", "size", F.explode(_windows(F.col("t"), F.col("size"), 1, also_slots=True)).alias("x"))
+    rows = items.select("item", "n", "size", F.explode(_windows(F.col("t"), F.col("size"), also_slots=True)).alias("x"))
     rows = rows.select("item", "n", "size", "x.at", "x.h", "x.slots")
-    return rows.filter(F.col("size") - F.size("slots") >= F.least(F.lit(MIN_PLAIN), "size"))
+    return rows.withColumn("strict", _strict()).withColumn("values", _values())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, stride: int = STRIDE, min_covered: float = MIN_COVERED) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_covered: float = MIN_COVERED) -> DataFrame:
     """The documents that hold a benchmark item, one row for each: id_col, item_id, n_windows (of
     the item, found), covered (share of the item's words), exact (all placeholders have the item's
     own values).
@@ -95,23 +105,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
     short = [r[0] for r in bench.filter(F.col("size") < window).select("size").distinct().collect()]  # below window
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
-    ask = F.concat(*[_sized(_windows(F.col("t"), k, stride if k == window else 1), k) for k in (window, *short)])
+    ask = F.concat(*[_sized(_windows(F.col("t"), k), k) for k in (window, *short)])
     met = texts.select("id", F.explode(ask).alias("x")).select("id", "x.size", "x.h").join(keys, ["size", "h"]).select("id", "item").distinct()
     met = written(met, "met")
 
     sizes = met.join(bench.select("item", "size").distinct(), "item").groupBy("id").agg(F.collect_set("size").alias("sizes"))  # at most `window` sizes
     near = texts.join(sizes, "id").select("id", "t", F.explode("sizes").alias("size"))
-    near = near.select("id", "size", F.explode(_windows(F.col("t"), F.col("size"), 1, also_slots=True)).alias("x")).select("id", "size", "x.*")
+    near = near.select("id", "size", F.explode(_windows(F.col("t"), F.col("size"), also_slots=True)).alias("x")).select("id", "size", "x.*")
     known = bench.select("size", "h").distinct()
     known = F.broadcast(known) if n <= BROADCAST_WINDOWS else known
-    near = near.join(known, ["size", "h"], "left_semi").select("id", "size", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"))
-    pairs = near.join(bench, ["size", "h"]).join(met, ["id", "item"]).select("id", "item", "n", "size", "at", (F.col("d_at") - F.col("at")).alias("shift"), "slots", "d_slots")
+    near = near.join(known, ["size", "h"], "left_semi").select("id", "size", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"), _values().alias("values"))
+    pairs = near.join(bench, ["size", "h", "values"]).join(met, ["id", "item"]).select("id", "item", "n", "size", "at", (F.col("d_at") - F.col("at")).alias("shift"), "slots", "d_slots", "strict").filter("not strict or slots = d_slots")
     pairs = written(pairs, "pairs")
 
-    slot = pairs.select("id", "item", "shift", F.explode(F.arrays_zip("slots", "d_slots")).alias("z")).select("id", "item", "shift", F.col("z.slots").alias("i"), F.col("z.d_slots").alias("d")).distinct()
+    slot = pairs.filter("not strict").select("id", "item", "shift", F.explode(F.arrays_zip("slots", "d_slots")).alias("z")).select("id", "item", "shift", F.col("z.slots").alias("i"), F.col("z.d_slots").alias("d")).distinct()
     agree = slot.groupBy("id", "item", "shift").agg(F.count("*").alias("values"), F.countDistinct("i").alias("of"), F.max(F.col("i") != F.col("d")).alias("other"))
-    good = pairs.join(agree, ["id", "item", "shift"], "left").filter("of is null or values = of")
-    found = good.groupBy("id", "item", "n").agg(F.countDistinct("at").alias("n_windows"), (~F.coalesce(F.max("other"), F.lit(False))).alias("exact"))
+    good = pairs.join(agree, ["id", "item", "shift"], "left").filter("strict or of is null or values = of")
+    found = good.groupBy("id", "item", "n").agg(F.countDistinct("at").alias("n_windows"), (~F.coalesce(F.max(F.expr("other and not strict")), F.lit(False))).alias("exact"))
     covered = good.select("id", "item", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy("id", "item").agg(F.count("*").alias("words"))
     return (
         found.join(covered, ["id", "item"])

@@ -218,6 +218,15 @@ def test_slots_must_agree(spark):
     assert [r["item_id"] for r in decontamination.matches(df, bench).collect()] == [1]
 
 
+def test_decontamination_at_every_offset_and_of_few_plain_words(spark):
+    item = "seven grey herons watch over that muddy pond"
+    docs = [(k, " ".join(["pad"] * k + [item, "and more"])) for k in range(4)]
+    docs += [(10, "please solve 45 + 12 today"), (11, "please solve 45 + 13 today")]
+    bench = spark.createDataFrame([(1, item), (2, "Solve 45 + 12")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, 1, True) for k in range(4)} | {(10, 2, True)}
+
+
 def test_decontamination_plan_is_native(spark):
     plan = decontamination.matches(texts(spark), spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
