@@ -24,12 +24,12 @@ _END = "\r\n"
 
 
 def revisits(payloads: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """payloads: id, bytes, digest. Returns (id, refers_to) of the records that repeat a payload of
+    """payloads: id, bytes, digest. Returns (id, digest, refers_to) of the records that repeat a payload of
     at least `least` bytes that a record of a smaller id has. Rows of the smallest id are never
     revisits, also when that id comes twice."""
     firsts = payloads.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     repeats = payloads.filter(F.col("bytes") >= least).join(firsts.select("digest", "refers_to"), "digest")
-    return repeats.filter(F.col("id") > F.col("refers_to")).select("id", "refers_to").distinct()
+    return repeats.filter(F.col("id") > F.col("refers_to")).select("id", "digest", "refers_to").distinct()
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -182,8 +182,9 @@ def archive_pages(pages: DataFrame, path: str | None = None, chunk: int = CHUNK)
     spark = pages.sparkSession
     path = path or new_path(spark, "archives")
     base = pages.select(F.col("page_id").alias("id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    again = written(revisits(base.select("id", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"))), "revisits")
-    write_archives(base.join(again, "id", "left"), path, chunk)
+    base = base.withColumn("digest", F.sha2("payload", 256))
+    again = written(revisits(base.select("id", F.octet_length("payload").alias("bytes"), "digest")), "revisits")
+    write_archives(base.join(again, ["id", "digest"], "left"), path, chunk)
     return path
 
 

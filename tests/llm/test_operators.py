@@ -97,6 +97,13 @@ def test_warc_round_trip(spark):
     assert chunks[0]["digest"] == hashlib.sha256(big.encode()[:1000]).hexdigest()
 
 
+def test_warc_repeated_id_with_two_payloads(spark):
+    pages = [(5, "u5", "p" * 200), (7, "u7", "p" * 200), (7, "u7", "q" * 300)]
+    path = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(spark, path).collect()}
+    assert got == {(5, 200, "response", None), (7, 200, "revisit", 5), (7, 300, "response", None)}
+
+
 def test_warc_empty(spark):
     assert warc.read_records(spark, warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
