@@ -1,4 +1,4 @@
-"""Cutting a text before single spaces, and remembering what pieces encode to.
+"""Cutting texts before single spaces, and remembering what pieces encode to.
 
 A space before a character that is no white space always starts a new match of the split pattern,
 and no match runs across it. So a text can be cut there, and equal pieces encode alike.
@@ -7,27 +7,26 @@ and no match runs across it. So a text can be cut there, and equal pieces encode
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces of a text that are looked up together.
-RUN = 1 << 16
+#: Characters of a piece or match that is remembered.
+LONGEST = 24
 #: Code points of Unicode's White_Space (fixed values).
-WHITE = "\x09\x0a\x0b\x0c\x0d\x20\x85\xa0                　"
+WHITE = "\x09\x0a\x0b\x0c\x0d\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-_wide_gap = re.compile(f" [{re.escape(WHITE)}]")
+#: A text with a space before white space or at its end.
+_WIDE_GAP = " $| [" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]"
+#: Pieces that are one match: letters, after a space or not.
+_one_match = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch
 
 
 def cut(text: str) -> list[str]:
     """The pieces of text; joined they are the text."""
     first, *rest = text.split(" ")
-    if not rest:
-        return [text] if text else []
-    if text[-1] != " " and not _wide_gap.search(text):
-        out = [first] if first else []
-        out += [" " + p for p in rest]
-        return out
     out, white = [first], frozenset(WHITE)
     for p in rest:
         if not p or p[0] in white:
@@ -38,28 +37,65 @@ def cut(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """piece -> its ids as little-endian 32-bit integers, forgotten as a whole when it gets too
-    large. Pieces of more than `longest` characters seldom come again and are not kept. None of this
-    changes a result."""
+    """piece -> its ids as little-endian 32-bit integers; below it the same for matches of the split
+    pattern, of which pieces are made. split(piece) gives a piece's matches, encode(matches) the ids
+    of each. Both are forgotten as a whole at `most` entries, and entries of more than LONGEST
+    characters are not kept, so a worker's memory is bounded. None of this changes a result."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 500_000, longest: int = 11):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 150_000):
         super().__init__()
-        self.encode, self.most, self.longest = encode, most, longest
+        self.split, self.encode, self.most = split, encode, most
+        self.matches: dict[str, bytes] = {}
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of whole texts; a null has none. Arrow cuts the texts at their spaces and finds
+        the distinct pieces; texts with wider gaps, or with a space at their end, are cut one by one."""
+        texts = pc.fill_null(texts, "")
+        wide = pc.match_substring_regex(texts, _WIDE_GAP).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts.filter(pa.array(~wide)), " ")
+        starts = parts.offsets.to_numpy()
+        flat = parts.flatten().dictionary_encode()
+        keys = [" " + p for p in flat.dictionary.to_pylist()]
+        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = parts.flatten().take(pa.array(starts[:-1])).to_pylist()  # no space comes before these
+        at[starts[:-1]] = len(keys) + np.arange(len(firsts))
+        alone = [cut(t) for t in texts.filter(pa.array(wide)).to_pylist()]
+        coded = self._coded([*keys, *firsts, *(p for pieces in alone for p in pieces)])
 
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a whole text, run by run; the pieces of a run not known yet are encoded together."""
-        pieces = cut(text)
-        return np.frombuffer(b"".join([self._run(pieces[i : i + RUN]) for i in range(0, len(pieces), RUN)]), "<i4")
+        got = pa.array(coded[: len(keys) + len(firsts)], pa.large_binary()).take(pa.array(at))
+        data, ends = got.buffers()[2], np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1] // 4
+        whole, ends = np.frombuffer(data, "<i4") if data and data.size >= 4 else np.empty(0, "<i4"), ends[starts].tolist() if len(got) else [0]
+        tame = iter([whole[i:j] for i, j in zip(ends, ends[1:], strict=False)])
+        k, rest = len(keys) + len(firsts), []
+        for pieces in alone:
+            rest.append(np.frombuffer(b"".join(coded[k : k + len(pieces)]), "<i4"))
+            k += len(pieces)
+        other = iter(rest)
+        return [next(other) if w else next(tame) for w in wide]
 
-    def _run(self, pieces: list[str]) -> bytes:
+    def _coded(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.get, pieces))
         if None in found:
             at = [i for i, x in enumerate(found) if x is None]
             new = list(dict.fromkeys([pieces[i] for i in at]))
-            if len(self) + len(new) > self.most:
-                self.clear()
-            coded = dict(zip(new, self.encode(new), strict=True))
+            coded = dict(zip(new, self._encoded(new), strict=True))
             for i in at:
                 found[i] = coded[pieces[i]]
-            self.update({p: x for p, x in coded.items() if len(p) <= self.longest})
-        return b"".join(found)
+            if len(self) + len(new) > self.most:
+                self.clear()
+            self.update(coded if max(map(len, new)) <= LONGEST else {p: x for p, x in coded.items() if len(p) <= LONGEST})
+        return found
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        parts = [(p,) if _one_match(p) else self.split(p) for p in pieces]
+        if len(self.matches) > self.most:
+            self.matches.clear()
+        known = self.matches
+        new = list(dict.fromkeys([m for ms in parts for m in ms if m not in known]))
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
+        out = [known[ms[0]] if len(ms) == 1 else b"".join([known[m] for m in ms]) for ms in parts]
+        for m in new:
+            if len(m) > LONGEST:
+                del known[m]
+        return out

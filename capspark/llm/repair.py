@@ -11,20 +11,23 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capspark.llm.pieces import WHITE, Memory
+from capspark.llm.pieces import Memory
 from capspark.llm.session import bound_batches, new_path
 
 BLOCK = 1 << 18
-ROUNDS = 7
+ROUNDS = 40
 LEAST = 8
 RULES_A_ROUND = 4096
 _BUCKETS = 17
@@ -114,38 +117,44 @@ def decode_range(block: dict, start: int, end: int) -> np.ndarray:
     return expand(seq[a : b + 1], base, left, right)[skip : skip + end - start]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level tokenizer writes for each byte: printable Latin-1 stands for
+    itself, the others are counted from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, pattern: str):
+    """(tokenizer, what it knows of matches of its split pattern, the strings of its added tokens)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    by_id = sorted(t.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-    n_bytes = np.array([len(s) for s, _ in by_id])  # the byte-level alphabet has a letter for each byte
-
-    def encode(pieces: list[str]) -> Iterator[bytes]:
-        """Pieces that begin with their cut meet in one text; its tokens are dealt out by length."""
-        after = [p[0] == " " and len(p) > 1 and p[1] not in WHITE for p in pieces]
-        text = "".join(p for p, a in zip(pieces, after, strict=True) if a)
-        ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
-        sizes = [len(p.encode()) for p, a in zip(pieces, after, strict=True) if a]
-        ends = (4 * (np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum(sizes)) + 1)).tolist()
-        data, at, left = ids.tobytes(), 0, iter(ends)
-        for p, a in zip(pieces, after, strict=True):
-            if a:
-                to = next(left)
-                yield data[at:to]
-                at = to
-            else:
-                yield np.array(t.encode_batch_fast([p], add_special_tokens=False)[0].ids, "<i4").tobytes()
-
-    return t, Memory(encode, most=900_000, longest=14)
-
-
-def tokens_of(text: str, path: str) -> np.ndarray:
-    """The ids of a whole text; the byte-level split lets equal pieces share one encoding."""
-    return _tokenizer(path)[1].ids(text)
+    letters = _byte_letters()
+
+    def encode(matches: list[str]) -> list[bytes]:
+        """The library's model takes one match at a time, in its byte-level alphabet."""
+        space, tokenize = letters[32], t.model.tokenize
+        own = [space + m[1:] if m.isascii() and m[0] == " " and m[1:].isalpha() else m.encode().decode("latin-1").translate(letters) for m in matches]
+        return [array("i", [x.id for x in tokenize(m)]).tobytes() for m in own]
+
+    return t, Memory(regex.compile(pattern).findall, encode, most=700_000), [x.content for x in t.get_added_tokens_decoder().values()]
+
+
+def tokens_of(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
+    """The ids of whole texts, as the library's encode gives them without special tokens. The
+    byte-level split lets equal matches share one encoding; a text that holds the string of an added
+    token, which is cut out before the split, goes to the library whole."""
+    tokenizer, memory, added = _tokenizer(path, pattern)
+    special = pa.array(np.zeros(len(texts), bool))
+    for x in added:
+        special = pc.or_(special, pc.fill_null(pc.match_substring(texts, x), False))
+    out = memory.ids(pc.if_else(special, "", texts))
+    for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+        out[i] = np.array(tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, "<i4")
+    return out
 
 
 _BLOCKS = "part int, block int, before long, n_tokens long, base int, rule_left binary, rule_right binary, rule_len binary, seq binary, doc_id array<long>, doc_start array<long>, doc_tokens array<long>"
@@ -156,9 +165,9 @@ _BLOCK_SCHEMA = pa.schema(
 )
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int, block: int) -> Iterator[pa.RecordBatch]:
     part, number, before = TaskContext.get().partitionId(), 0, 0
-    base = max(_tokenizer(path)[0].get_vocab_size(), end_id + 1)
+    base = max(_tokenizer(path, pattern)[0].get_vocab_size(), end_id + 1)
     docs, runs, n = [], [], 0
 
     def row() -> pa.RecordBatch:
@@ -169,9 +178,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block: int)
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK_SCHEMA, strict=True)], schema=_BLOCK_SCHEMA)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), tokens_of(batch.column(1), path, pattern), strict=True):
             docs.append(doc)
-            runs.append(np.append(tokens_of(text or "", path), end_id))
+            runs.append(np.append(ids, end_id))
             n += len(runs[-1])
             if n >= block:
                 yield row()
@@ -181,9 +190,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block: int)
         yield row()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> str:
     """Write the ids of every text, end_id after each, in ascending id_col order, as grammar blocks;
-    returns the table's path.
+    returns the table's path. pattern: the tokenizer's own split pattern.
 
     One range shuffle of the texts; rows of one id are ordered by their text's hash. A null text
     has end_id only; a null id comes first. Repeated rows are documents of their own. Other columns
@@ -194,7 +203,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
     path = path or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    rows.mapInArrow(lambda it: _pack(it, tokenizer, end_id, block), _BLOCKS).write.parquet(path)
+    rows.mapInArrow(lambda it: _pack(it, tokenizer, pattern, end_id, block), _BLOCKS).write.parquet(path)
     return path
 
 

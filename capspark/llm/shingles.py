@@ -17,7 +17,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; forgotten as a whole when it gets too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
