@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from capspark.llm.session import written
 
+#: A line of LONG characters or more does not come again by chance, so a lower share of a host's
+#: pages makes it boilerplate: written text has such lines on far fewer than one page in a hundred.
 MAX_RATIO = 0.1
+MAX_RATIO_LONG = 0.02
+LONG = 25
 MIN_PAGES = 5
 
-_BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: White space at a line's ends (fixed values).
+_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def host_of(url: Column) -> Column:
@@ -22,48 +27,55 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, _BLANK, "")
+def _key(bare: Column) -> Column:
+    """63 bits of a bare line's hash, and whether it is long in the last. Keys are only compared
+    within a host: two lines of it share one with a chance of 1 in 4e18 for each pair."""
+    return F.xxhash64(bare).bitwiseOR(F.lit(1)) - F.when(F.length(bare) >= LONG, F.lit(0)).otherwise(F.lit(1))
 
 
-def _key(line: Column) -> Column:
-    """96 bits of a bare line; the empty line has none."""
-    bare = _bare(line)
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b")))
+def _keys(text: Column) -> Column:
+    """A key for each line; that of the empty line stands for all blank ones."""
+    return F.transform(F.split(text, "\n", -1), lambda line: _key(F.btrim(line, F.lit(_BLANKS))))
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, max_ratio_long: float = MAX_RATIO_LONG) -> DataFrame:
     """(host, keys): for each host the keys of its boilerplate lines. A host has at most
-    (mean distinct lines of its pages) / max_ratio of them, whatever its number of pages. The
+    (mean distinct lines of its pages) / max_ratio_long of them, whatever its number of pages. The
     pages are counted by line after map-side sums, so a hot host or line is spread over the tasks.
     """
-    keys = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), _key), lambda k: k.isNotNull()))
+    keys = F.array_except(_keys(F.coalesce(F.col(text_col), F.lit(""))), F.array(_key(F.lit(""))))  # distinct
     rows = pages.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), keys.alias("keys"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counts = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    hot = counts.join(totals, "host").filter(F.col("n") > F.col("pages") * F.lit(max_ratio))
+    ratio = F.when(F.col("key") % 2 != 0, F.lit(max_ratio_long)).otherwise(F.lit(max_ratio))
+    hot = counts.join(totals, "host").filter(F.col("n") > F.col("pages") * ratio)
     return hot.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, max_ratio_long: float = MAX_RATIO_LONG) -> DataFrame:
     """pages with text_col cleaned, and n_lines and n_dropped beside the given columns (columns of
     these names are replaced).
 
     Lines end at \\n and are compared without white space at their ends. A line goes if more than
-    max_ratio of its host's pages hold it and at least min_pages do; blank lines stay. A null host
-    counts as the host "". A null text stays null and counts as a page without lines; so does an
-    empty one. Repeated rows are pages of their own. A page that loses all its lines stays, with an
-    empty text.
+    max_ratio of its host's pages hold it (max_ratio_long of LONG characters or more) and at least
+    min_pages do; blank lines stay. A null host counts as the host "". A null text stays null and
+    counts as a page without lines; so does an empty one. Repeated rows are pages of their own. A
+    page that loses all its lines stays, with an empty text. A page's work grows with its lines,
+    and with its lines times those distinct ones of them that go.
     """
-    hot = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages), "boilerplate")
+    hot = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages, max_ratio_long), "boilerplate")
     hot = hot.select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
     joined = pages.drop("n_lines", "n_dropped").withColumn("__h", F.coalesce(F.col(host_col), F.lit(""))).join(hot, F.col("__h") == F.col("__host"), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    keep = F.filter(F.col("__lines"), lambda x: F.coalesce(~F.array_contains(F.col("__keys"), _key(x)), F.lit(True)))
-    joined = joined.withColumn("__lines", lines)
-    kept = F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(keep)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = joined.withColumn("__all", F.when(F.col("__keys").isNotNull(), _keys(text)))
+    joined = joined.withColumn("__gone", F.array_intersect("__all", "__keys"))
+    lines = F.split(text, "\n", -1)
+    stays = lambda line, i: ~F.array_contains(F.col("__gone"), F.col("__all")[i])
+    kept = F.when(F.coalesce(F.size("__gone"), F.lit(0)) > 0, F.filter(lines, stays))
     joined = joined.withColumn("__kept", kept)
-    clean = F.when(F.col(text_col).isNotNull(), F.array_join("__kept", "\n"))
-    n = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit(0)).otherwise(F.size("__lines"))
+    clean = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
+    n_all = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    n = F.when(text == "", F.lit(0)).otherwise(n_all)
+    dropped = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n_all - F.size("__kept"))
     out = [clean.alias(c) if c == text_col else F.col(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*out, n.cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"))
+    return joined.select(*out, n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -34,8 +34,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    tokens = bpe.encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    back = bpe.decode(tokens, path, pattern)
+    back = bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -44,7 +43,7 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = repair.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
+    path = repair.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, END_ID)
     return repair.read_tokens(spark, path, with_ids=False)
 
 
@@ -93,25 +92,28 @@ from f
 """
 
 _OP3 = f"""
-with l as (
-  select doc_id, coalesce(source, '') as host, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+with d as (
+  select *, row_number() over () as page from documents
+), l as (
+  select page, coalesce(source, '') as host, unnest(string_split(coalesce(text, ''), chr(10))) as line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-  from documents
+  from d
 ), b as (
   select *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') as bare from l
 ), totals as (
-  select coalesce(source, '') as host, count(*) as pages from documents group by 1
+  select coalesce(source, '') as host, count(*) as pages from d group by 1
 ), hot as (
-  select host, bare from (select host, bare, count(distinct doc_id) as n from b where bare <> '' group by 1, 2)
-  join totals using (host) where n >= {lines.MIN_PAGES} and n > pages * {lines.MAX_RATIO}
+  select host, bare from (select host, bare, count(distinct page) as n from b where bare <> '' group by 1, 2)
+  join totals using (host)
+  where n >= {lines.MIN_PAGES} and n > pages * case when length(bare) >= {lines.LONG} then {lines.MAX_RATIO_LONG} else {lines.MAX_RATIO} end
 ), kept as (
-  select doc_id, count(*) as n_lines, count(*) filter (where hot.bare is not null) as n_dropped,
+  select page, count(*) as n_lines, count(*) filter (where hot.bare is not null) as n_dropped,
     string_agg(line, chr(10) order by pos) filter (where hot.bare is null) as text
-  from b left join hot using (host, bare) group by doc_id
+  from b left join hot using (host, bare) group by page
 )
 select d.doc_id, d.source, cast(case when coalesce(d.text, '') = '' then 0 else n_lines end as bigint) as n_lines,
   cast(n_dropped as bigint) as n_dropped, case when d.text is not null then coalesce(kept.text, '') end as text
-from documents d join kept using (doc_id)
+from d join kept using (page)
 """
 
 _OP8 = """

@@ -7,9 +7,11 @@ import base64
 import hashlib
 import heapq
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -119,10 +121,24 @@ def test_lines(spark):
     assert got[9]["text"] == "rare\n own 9\n" and got[10]["text"] is None and got[11]["text"] == "" and got[12]["text"] == "boiler"
     assert got[12]["host"] == "h"
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
+    twice = lines.drop_boilerplate(spark.createDataFrame([(1, "a line"), (1, "a line"), (2, "b")], "doc_id long, text string").withColumn("source", F.lit("s")), "source", "text", max_ratio=0.5, min_pages=2)
+    assert sorted(r["text"] for r in twice.collect()) == ["", "", "b"]  # repeated rows are pages of their own
     url = spark.createDataFrame([("HTTP://u@Ex.Com:80/a",)], "u string").select(lines.host_of(F.col("u")))
     assert url.head()[0] == "ex.com"
 
 
+def test_lines_of_a_length_and_of_a_very_long_page(spark):
+    short, long = "see also", "x" * lines.LONG
+    rows = [(i, f"own {i}\n" + (f"{short}\n\x0b{long} \r" if i < 6 else f"none {i}")) for i in range(100)]
+    rows.append((100, "\n".join(f"line {k} of the page" for k in range(20_000))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.drop_boilerplate(df).collect()}
+    assert time.time() - began < 30
+    assert got[0]["text"] == f"own 0\n{short}" and got[0]["n_dropped"] == 1 and got[50]["text"] == "own 50\nnone 50"
+    assert got[100]["n_lines"] == 20_000 and got[100]["text"] == rows[100][1]
+
+
 # 4
 
 
@@ -150,10 +166,36 @@ def encoding_cached():
 
 def test_bpe(spark):
     tokens = bpe.encode(texts(spark).withColumn("ids", F.lit("clash")), RANKS, PATTERN)
-    for r in bpe.decode(tokens, RANKS, PATTERN).collect():
+    both = bpe.round_trip(texts(spark).withColumn("ids", F.lit("clash")), RANKS, PATTERN)
+    for r in bpe.decode(tokens, RANKS).unionByName(both).collect():
         t = ODD[r["doc_id"]] or ""
         assert r["ids"] == encoding_cached().encode_ordinary(t) and r["decoded"] == t and r["key"] == "key"
-    assert bpe.encode(empty(spark), RANKS, PATTERN).count() == 0
+    assert bpe.encode(empty(spark), RANKS, PATTERN).count() == 0 and bpe.round_trip(empty(spark), RANKS, PATTERN).count() == 0
+    nulls = bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), RANKS).collect()
+    assert [r["decoded"] for r in nulls] == ["", ""]
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_bpe_of_random_texts(monkeypatch, few):
+    """few: little is remembered, and matches are read one by one or in small groups."""
+    if few:
+        for name, x in (("MOST_TRANSITIONS", 300), ("SIDE_BY_SIDE", 6), ("GROUP", 5)):
+            monkeypatch.setattr(bpe, name, x)
+    coder = bpe._coder.__wrapped__(RANKS, PATTERN)[1]
+    coder.most = 50 if few else 10_000
+    rng = random.Random(9)
+    parts = ["the", " the", " therapy", "  ", "\n", " \n ", "é", " 日本", "🙂", "'s", " 1234", "!?", "\t", "　", "zq", " Xx", "-" * 200]
+    values = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(400)] + [None]
+    got = coder.ids(pa.array(values, pa.string()))
+    assert [g.tolist() for g in got] == [encoding_cached().encode_ordinary(t or "") for t in values]
+
+
+def test_steps_grow():
+    steps = bpe._Steps(lambda a, b: 1000 * a + b, bits=3)
+    keys = np.arange(5000, dtype=np.int64)
+    for _ in range(2):
+        assert (steps.many(keys) == 1000 * (keys >> 8) + (keys & 255)).all()
+    assert steps.n == 5000
 
 
 def test_transducer_lookahead_and_forgetting(monkeypatch):
@@ -189,7 +231,7 @@ def test_repair_is_lossless(kind):
 
 
 def test_token_files(spark):
-    path = repair.write_tokens(texts(spark).repartition(3), JSON, 2, block=500)
+    path = repair.write_tokens(texts(spark).repartition(3), JSON, PATTERN, 2, block=500)
     got = {r["doc_id"]: r for r in repair.read_tokens(spark, path).collect()}
     start = 0
     for i, t in enumerate(ODD):
@@ -197,7 +239,25 @@ def test_token_files(spark):
         r = got[i]
         assert (r["ids"], r["start"], r["n_tokens"], r["ids_crc32"]) == (ids, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    assert repair.read_tokens(spark, repair.write_tokens(empty(spark), JSON, path=new_path(spark, "none"))).count() == 0
+    assert repair.read_tokens(spark, repair.write_tokens(empty(spark), JSON, PATTERN, path=new_path(spark, "none"))).count() == 0
+
+
+def test_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(JSON), random.Random(10)
+    parts = ["<|endoftext|>", "<|endoftext|>" * 2, " a", "b<|end", "oftext|>", "  ", "\n", "é日", "it's ", " 12", "x" * 40, "　", " the", "\u0558"]
+    values = [None, "", " ", "<|endoftext|>a", "a<|endoftext|>", "wo<|endoftext|>rd"] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500)]
+    got = repair.tokens_of(pa.array(values, pa.string()), JSON, PATTERN)
+    assert [g.tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in values]
+
+
+def test_byte_letters_are_the_library_s():
+    from tokenizers import pre_tokenizers
+
+    for b in range(128):
+        assert pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] == repair._byte_letters()[b]
+    assert sorted(repair._byte_letters().values()) == sorted(pre_tokenizers.ByteLevel.alphabet())
 
 
 # 6
