@@ -95,7 +95,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     own values).
 
     An item is found if at least min_covered of its words lie in windows whose placeholders agree.
-    Null or empty texts, on either side, match nothing. Rows that share an id are one document;
+    Two values of the item may stand for one value in the document. A capital letter makes a word a
+    name only after another word, and units are English ones, so a name that begins a sentence must
+    be equal, and in German any noun may stand for any other. A text's work grows with its words,
+    whatever its length. Null or empty texts, on either side, match nothing. Rows that share an id are one document;
     a null id is not reported. Items with equal texts are each reported. Empty tables give no rows.
     Other columns are left out, whatever their names.
     """

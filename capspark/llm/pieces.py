@@ -20,8 +20,13 @@ WHITE = "\x09\x0a\x0b\x0c\x0d\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2
 
 #: A text with a space before white space or at its end.
 _WIDE_GAP = " $| [" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]"
-#: Pieces that are one match: letters, after a space or not.
-_one_match = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but for the apostrophe
+#: Pieces of letters, after a space or not, are one match. Pieces of letters, marks and single line
+#: ends fall into runs; all others are left to the split pattern.
+_one_match = re.compile(f" ?[{_LETTERS}]+").fullmatch
+_of_runs = re.compile(rf" ?[{_LETTERS}{_MARKS}](?:[{_LETTERS}{_MARKS}]|\n(?!\n))*").fullmatch
+_runs = re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n").findall
 
 
 def cut(text: str) -> list[str]:
@@ -37,15 +42,14 @@ def cut(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """piece -> its ids as little-endian 32-bit integers; below it the same for matches of the split
-    pattern, of which pieces are made. split(piece) gives a piece's matches, encode(matches) the ids
-    of each. Both are forgotten as a whole at `most` entries, and entries of more than LONGEST
-    characters are not kept, so a worker's memory is bounded. None of this changes a result."""
+    """Pieces and matches of the split pattern, of which pieces are made -> their ids as
+    little-endian 32-bit integers. split(piece) gives a piece's matches, encode(matches) the ids of
+    each. All is forgotten at `most` entries, and entries of more than LONGEST characters are not
+    kept, so a worker's memory is bounded. None of this changes a result."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 150_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 300_000):
         super().__init__()
         self.split, self.encode, self.most = split, encode, most
-        self.matches: dict[str, bytes] = {}
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of whole texts; a null has none. Arrow cuts the texts at their spaces and finds
@@ -55,9 +59,9 @@ class Memory(dict):
         parts = pc.split_pattern(texts.filter(pa.array(~wide)), " ")
         starts = parts.offsets.to_numpy()
         flat = parts.flatten().dictionary_encode()
-        keys = [" " + p for p in flat.dictionary.to_pylist()]
+        keys = [" " + p for p in flat.dictionary.to_numpy(zero_copy_only=False).tolist()]
         at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        firsts = parts.flatten().take(pa.array(starts[:-1])).to_pylist()  # no space comes before these
+        firsts = parts.flatten().take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist()  # no space comes before these
         at[starts[:-1]] = len(keys) + np.arange(len(firsts))
         alone = [cut(t) for t in texts.filter(pa.array(wide)).to_pylist()]
         coded = self._coded([*keys, *firsts, *(p for pieces in alone for p in pieces)])
@@ -75,27 +79,18 @@ class Memory(dict):
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.get, pieces))
-        if None in found:
-            at = [i for i, x in enumerate(found) if x is None]
-            new = list(dict.fromkeys([pieces[i] for i in at]))
-            coded = dict(zip(new, self._encoded(new), strict=True))
-            for i in at:
-                found[i] = coded[pieces[i]]
-            if len(self) + len(new) > self.most:
-                self.clear()
-            self.update(coded if max(map(len, new)) <= LONGEST else {p: x for p, x in coded.items() if len(p) <= LONGEST})
-        return found
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        parts = [(p,) if _one_match(p) else self.split(p) for p in pieces]
-        if len(self.matches) > self.most:
-            self.matches.clear()
-        known = self.matches
-        new = list(dict.fromkeys([m for ms in parts for m in ms if m not in known]))
-        if new:
-            known.update(zip(new, self.encode(new), strict=True))
-        out = [known[ms[0]] if len(ms) == 1 else b"".join([known[m] for m in ms]) for ms in parts]
-        for m in new:
-            if len(m) > LONGEST:
-                del known[m]
+        new = [p for p, x in zip(pieces, found, strict=True) if x is None]
+        parts = {p: _runs(p) if _of_runs(p) else self.split(p) for p in new if not _one_match(p)}
+        todo = dict.fromkeys([p for p in new if p not in parts])
+        todo.update(dict.fromkeys([m for ms in parts.values() for m in ms if m not in self]))
+        if todo:
+            self.update(zip(todo, self.encode(list(todo)), strict=True))
+        for p, ms in parts.items():
+            self[p] = b"".join([self[m] for m in ms])
+        out = [self[p] if x is None else x for p, x in zip(pieces, found, strict=True)] if new else found
+        if len(self) > self.most:
+            self.clear()
+        for p in (*todo, *parts):
+            if len(p) > LONGEST:
+                self.pop(p, None)
         return out

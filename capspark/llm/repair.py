@@ -27,8 +27,10 @@ from capspark.llm.pieces import Memory
 from capspark.llm.session import bound_batches, new_path
 
 BLOCK = 1 << 18
+#: Rounds end when no pair is frequent, or when one has shortened the sequence by less than a share.
 ROUNDS = 40
 LEAST = 8
+LEAST_GAIN = 0.02
 RULES_A_ROUND = 4096
 _BUCKETS = 17
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -83,25 +85,39 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         seq = seq[stay]
         size_of = np.concatenate((size_of, lengths[-1]))
         top += len(left)
-        if before - len(seq) < before // 100:
+        if before - len(seq) < before * LEAST_GAIN:
             break
     join = lambda x: (np.concatenate(x) if x else np.empty(0)).astype("<u4")
     return seq.astype("<u4"), join(lefts), join(rights), join(lengths)
 
 
-def expand(seq: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """All ids of seq: each pass puts its two symbols in each nonterminal's place."""
-    seq = seq.astype(np.int64)
+def _flat_rules(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rules one after the other, and where each rule's begin and end: each pass puts
+    its two symbols in each nonterminal's place."""
     left, right = left.astype(np.int64), right.astype(np.int64)
+    seq, of = np.arange(base, base + len(left)), np.arange(len(left))
     while (non := seq >= base).any():
         at = np.arange(len(seq)) + np.cumsum(non) - non
-        out = np.empty(len(seq) + int(non.sum()), np.int64)
+        out, whose = np.empty(len(seq) + int(non.sum()), np.int64), np.empty(len(seq) + int(non.sum()), np.int64)
         rule = seq[non] - base
-        out[at] = seq
-        out[at[non]] = left[rule]
-        out[at[non] + 1] = right[rule]
-        seq = out
-    return seq.astype("<u4")
+        out[at], whose[at] = seq, of
+        out[at[non]], out[at[non] + 1] = left[rule], right[rule]
+        whose[at[non] + 1] = of[non]
+        seq, of = out, whose
+    return seq.astype("<u4"), np.searchsorted(of, np.arange(len(left) + 1))
+
+
+def expand(seq: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All ids of seq: plain ids come from seq itself, nonterminals from the flat rules after it."""
+    flat, bounds = _flat_rules(base, left, right)
+    non = seq >= base
+    rule = seq[non].astype(np.int64) - base
+    begin, size = np.arange(len(seq)), np.ones(len(seq), np.int64)
+    begin[non], size[non] = len(seq) + bounds[rule], bounds[rule + 1] - bounds[rule]
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return np.concatenate((seq, flat)).astype("<u4", copy=False)[at]
 
 
 def decode_range(block: dict, start: int, end: int) -> np.ndarray:
