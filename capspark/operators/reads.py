@@ -108,7 +108,18 @@ def text_style(subs: DataFrame, frames: DataFrame) -> DataFrame:
 
 def similarity(a: str, b: str) -> float:
     """The Ratcliff-Obershelp ratio; the order of the two matters."""
-    return SequenceMatcher(None, a, b).ratio()
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+def alike(a: str, b: str, ratio: float) -> bool:
+    """similarity(a, b) > ratio, without the work where the lengths or the letters of the two rule it out."""
+    short, both = min(len(a), len(b)), len(a) + len(b)
+    if both and 2 * short / both <= ratio:
+        return False
+    if a == b:
+        return 1.0 > ratio
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() > ratio and m.ratio() > ratio
 
 
 def text_similarity(a: Column | str, b: Column | str) -> Column:
@@ -126,22 +137,30 @@ def _renumber(subs: DataFrame) -> DataFrame:
 def merge_same_text(subs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Neighbours (video_id, start, end, text, conf, and any columns of content) with a gap of
     0..text_gap and texts alike become one: content as a whole from the surer side, the earlier of
-    equals; the end is the later one's. Chains are cut by gap, and where no text of these lengths
-    could be alike; only chains of several rows are folded in Python, on texts alone."""
+    equals; the end is the later one's. Chains are cut by gap. Direct neighbours are compared first,
+    evenly dealt; a fold over the chain then compares only where a merged subtitle has kept an
+    earlier content."""
     w = Window.partitionBy("video_id").orderBy("start", "end")
     chained = with_chains(subs, 0, p.text_gap).withColumn("row", F.row_number().over(w))
     n = Window.partitionBy("video_id", "chain")
     chained = chained.withColumn("__n", F.count("*").over(n))
     many = chained.filter("__n > 1").select("video_id", "chain", "row", "start", "end", "text", "conf")
 
+    @F.pandas_udf("boolean")
+    def like(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([alike(a, b, p.text_ratio) for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    key = ["video_id", "chain", "row"]
+    before = many.select("video_id", "chain", (F.col("row") + 1).alias("row"), F.col("text").alias("__before"))
+    next_to = many.select(*key, "text").join(before, key).select(*key, like("__before", "text").alias("like"))
+    many = many.join(next_to, key, "left")
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []  # start, end, row of the content, text, conf
         for r in pdf.sort_values("row").itertuples(index=False):
             if kept:
                 k = kept[-1]
-                short, both = min(len(k[3]), len(r.text)), len(k[3]) + len(r.text)
-                could = both == 0 or 2 * short / both > p.text_ratio
-                if 0 <= r.start - k[1] <= p.text_gap and could and similarity(k[3], r.text) > p.text_ratio:
+                if 0 <= r.start - k[1] <= p.text_gap and (r.like if k[2] == r.row - 1 else alike(k[3], r.text, p.text_ratio)):
                     k[1] = r.end
                     if r.conf > k[4]:
                         k[2:] = [r.row, r.text, r.conf]

@@ -82,6 +82,42 @@ def erase_roi(subs: DataFrame) -> DataFrame:
     return out.withColumn("roi", F.when(b.isNotNull(), roi)).drop("__u")
 
 
+def erase_masks(subs: DataFrame, glyph_masks: DataFrame) -> DataFrame:
+    """What to erase for each subtitle: video_id, event_id, roi, mask (one byte a pixel of roi; null
+    without a roi). subs: roi, boxes of their lines, glyph_rect, mask_key; glyph_masks: video_id,
+    mask_key, mask. A subtitle without a mask, or whose mask does not fit its rectangle or its roi,
+    has its lines' boxes erased. One equi-join; a mask moves only to subtitles that name it."""
+    masks = glyph_masks.select("video_id", "mask_key", F.col("mask").alias("glyph"))
+    rows = subs.select("video_id", "event_id", "roi", "boxes", "glyph_rect", "mask_key").join(masks, ["video_id", "mask_key"], "left")
+    flat = [F.col(f"{c}.{k}").alias(f"{c[0]}_{k}") for c in ("roi", "glyph_rect") for k in ("x1", "y1", "x2", "y2")]
+    rows = rows.select("video_id", "event_id", "roi", *flat, F.flatten(F.transform("boxes", lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"]))).alias("lines"), "glyph")
+
+    @F.pandas_udf("binary")
+    def erase(roi: pd.DataFrame, rect: pd.DataFrame, lines: pd.Series, glyph: pd.Series) -> pd.Series:
+        out = []
+        for r, g, boxes, bits in zip(roi.itertuples(index=False), rect.itertuples(index=False), lines, glyph, strict=True):
+            if pd.isna(r[0]):
+                out.append(None)
+                continue
+            own = None
+            if bits is not None and not pd.isna(g[0]):
+                g = tuple(map(int, g))
+                size = (g[3] - g[1], g[2] - g[0])
+                own = np.frombuffer(bits, np.uint8).reshape(size).astype(bool) if len(bits) == size[0] * size[1] else None
+            at = np.asarray([] if boxes is None else boxes, int).reshape(-1, 4).tolist()
+            out.append(pixels.erase_mask(tuple(map(int, r)), at, own, g).astype(np.uint8).tobytes())
+        return pd.Series(out)
+
+    four = lambda c: F.struct(*[F.col(f"{c}_{k}").alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return rows.select("video_id", "event_id", "roi", erase(four("r"), four("g"), "lines", "glyph").alias("mask"))
+
+
+def overlay_plans(subs: DataFrame, glyph_masks: DataFrame, overlays: DataFrame) -> DataFrame:
+    """The plan of each subtitle for composite(): roi and mask of what is erased, and the rendered
+    overlay (video_id, event_id, overlay, overlay_x, overlay_y, overlay_h, overlay_w) where there is one."""
+    return erase_masks(erase_roi(subs), glyph_masks).join(overlays, ["video_id", "event_id"], "left")
+
+
 def clean_frames(subs: DataFrame, n_frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """video_id, event_id, frame: up to half of clean_want frames without text on each side of an
     event. From clean_margin frames outside it, a probe that finds text moves one frame on, a hit
@@ -119,15 +155,18 @@ def covered_stretches(events: DataFrame) -> DataFrame:
 def next_free(rows: DataFrame, covered: DataFrame) -> DataFrame:
     """rows (video_id, frame, side) with free: the frame itself, or the first beyond the stretch that
     covers it, before it (side -1) or after it (side 1)."""
-    at = event_at_frame(rows, covered).join(covered.select("video_id", "event_id", F.col("start").alias("__s"), F.col("end").alias("__e")), ["video_id", "event_id"], "left")
-    free = F.when(F.col("event_id").isNull(), F.col("frame")).when(F.col("side") < 0, F.col("__s") - 1).otherwise(F.col("__e") + 1)
-    return at.withColumn("free", free).drop("event_id", "__s", "__e")
+    by_start = covered.select("video_id", F.struct("start", "end").alias("event_id"), "start", "end")
+    at, on = event_at_frame(rows, by_start), F.col("event_id")
+    free = F.when(on.isNull(), F.col("frame")).when(F.col("side") < 0, on["start"] - 1).otherwise(on["end"] + 1)
+    return at.withColumn("free", free).drop("event_id")
 
 
 def frame_requests(clean: DataFrame) -> DataFrame:
-    """video_id, frame, n_plans: which frames are needed, by how many events with two or more."""
+    """video_id, frame, n_plans, first_event, plans: which frames are needed, and by which events of
+    two or more. An event is near the frames it asks for, so few ask for one."""
     enough = clean.distinct().withColumn("n", F.count("*").over(Window.partitionBy("video_id", "event_id"))).filter("n >= 2")
-    return enough.groupBy("video_id", "frame").agg(F.count("*").alias("n_plans"), F.min("event_id").alias("first_event"))
+    plans = F.sort_array(F.collect_list("event_id")).alias("plans")
+    return enough.groupBy("video_id", "frame").agg(F.count("*").alias("n_plans"), F.min("event_id").alias("first_event"), plans)
 
 
 def event_at_frame(frames: DataFrame, events: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ def latest_status(status: DataFrame) -> DataFrame:
     return status.groupBy("video_id").agg(m.alias("m")).select("video_id", "m.ts", "m.stage", "m.progress", "m.status")
 
 
+def latest_with_eta(status: DataFrame) -> DataFrame:
+    """latest_status with elapsed and eta of the newest row of each video."""
+    rank = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    m = F.max(F.struct("ts", rank.alias("k"), "progress", "status", "stage", "elapsed")).alias("m")
+    return eta(status.groupBy("video_id").agg(m).select("video_id", "m.ts", "m.stage", "m.progress", "m.status", "m.elapsed"))
+
+
 def stage_status(status: DataFrame) -> DataFrame:
     """video_id, shown, fraction: how far each of the shown stages is. Detecting and segmenting share
     the first; probing comes before all."""

@@ -188,12 +188,20 @@ def merge_flicker(events: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Param
     A merged event's middle moves, so a chain is folded in order; its candidate middle frames are
     those of its stretches. Events alone in their chain do not go to Python."""
     px = "px" if "px" in thumbs.columns else "pixels"
-    rows = with_chains(events.select("video_id", "start", "end", "bbox"), 0, p.merge_gap_frames).withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "chain")))
+    of_chain = Window.partitionBy("video_id", "chain")
+    n = F.count("*").over(of_chain)
+    rows = with_chains(events.select("video_id", "start", "end", "bbox"), 0, p.merge_gap_frames).withColumn("__n", n)
+    rows = rows.withColumn("__lo", F.min("start").over(of_chain)).withColumn("__hi", F.max("end").over(of_chain))
     alone = rows.filter("__n = 1").select("video_id", "start", "end", "bbox")
     many = rows.filter("__n > 1")
-    # Any merge joins a stretch of the chain: its middle is that of the first start and a later end.
-    stretch = many.select("video_id", "chain", "start").join(many.select("video_id", "chain", F.col("end").alias("e")), ["video_id", "chain"]).filter("e >= start")
+    # A merge joins a stretch of the chain: its middle is that of the first start and a later end. Of
+    # chains with more stretches than frames all frames come, so this grows with the frames at most.
+    few = F.col("__n") * (F.col("__n") + 1) / 2 <= F.col("__hi") - F.col("__lo") + 1
+    some = many.filter(few)
+    stretch = some.select("video_id", "chain", "start").join(some.select("video_id", "chain", F.col("end").alias("e")), ["video_id", "chain"]).filter("e >= start")
     mids = stretch.select("video_id", "chain", F.floor((F.col("start") + F.col("e")) / 2).alias("frame")).distinct()
+    whole = many.filter(~few).select("video_id", "chain", "__lo", "__hi").distinct()
+    mids = mids.unionByName(whole.select("video_id", "chain", F.explode(F.sequence("__lo", "__hi")).alias("frame")))
     got = mids.join(thumbs.select("video_id", "frame", F.col(px).alias("px")), ["video_id", "frame"]).select(F.col("video_id").alias("v"), F.col("chain").alias("c"), "frame", "px")
     g = geo.select("video_id", "crop_y", "thumb_w", "thumb_h")
     many = many.join(g, "video_id").select("video_id", "chain", "start", "end", F.col("bbox.x1"), F.col("bbox.y1"), F.col("bbox.x2"), F.col("bbox.y2"), "crop_y", "thumb_w", "thumb_h")

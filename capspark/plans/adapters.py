@@ -154,13 +154,14 @@ TURNS = "turns as (select conv_id as video_id, turn as event_id, coalesce(text,
 
 
 def speakers(spark: SparkSession, d: str) -> DataFrame:
-    """turns whose first word is a speaker's name before a quote."""
+    """turns whose first word is a speaker's name before a quote; turns of one word stay as they are."""
     at = F.instr("text", " ")
-    return turns(spark, d).filter(at > 0).select("video_id", "event_id", F.concat(F.substring("text", F.lit(1), at - 1), F.lit("「"), F.substring("text", at + 1, F.length("text")), F.lit("」")).alias("text"))
+    quoted = F.concat(F.substring("text", F.lit(1), at - 1), F.lit("「"), F.substring("text", at + 1, F.length("text")), F.lit("」"))
+    return turns(spark, d).select("video_id", "event_id", F.when(at > 0, quoted).otherwise(F.col("text")).alias("text"))
 
 
 SPEAKERS = TURNS + """,
-speakers as (select video_id, event_id, substr(text, 1, instr(text, ' ') - 1) || '「' || substr(text, instr(text, ' ') + 1) || '」' as text from turns where instr(text, ' ') > 0)
+speakers as (select video_id, event_id, case when instr(text, ' ') > 0 then substr(text, 1, instr(text, ' ') - 1) || '「' || substr(text, instr(text, ' ') + 1) || '」' else text end as text from turns)
 """
 
 

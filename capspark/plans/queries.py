@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
 from capspark.operators import detect, reads, render, review, segment, translate
+from capspark.params import DEFAULTS
 from capspark.plans import adapters as A
+from capspark.plans import workloads
 from capspark.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,14 +41,14 @@ def src2_job_key(spark, d):
 
 @query(
     """select u.path, u.name, u.size, coalesce(min_by(m.path, (m.rk, m.path)), u.path) as original
-from (select '/uploads/' || page_id as path, name, size from media join pages on path = url where page_id % 3 = 0) u
+from (select '/uploads/' || page_id as path, name, size from media join pages on path = url) u
 left join (select path, name, size, mtime % 3 as rk from media where path not like 'http://%') m on m.name = u.name and m.size = u.size
 group by u.path, u.name, u.size""",
     A.MEDIA,
 )
 def src3_relocate(spark, d):
     m = A.media(spark, d)
-    uploads = m.filter(F.col("mtime") % 3 == 0).select(F.concat(F.lit("/uploads/"), F.col("mtime").cast("string")).alias("path"), "name", "size")
+    uploads = m.select(F.concat(F.lit("/uploads/"), F.col("mtime").cast("string")).alias("path"), "name", "size")
     return ingest.relocate(uploads, m.withColumn("root_rank", F.col("mtime") % 3), "http://").select("path", "name", "size", "original")
 
 
@@ -118,14 +121,14 @@ def det2_sample_frames(spark, d):
 
 @query(
     """select video_id, frame, cast(trunc(2 * (x1 + 0.25::double)) as int) as x1, cast(trunc(2 * (y1 + 0.5::double)) as int) + 396 as y1,
-  cast(trunc(2 * (x2 + 0.25::double)) as int) as x2, cast(trunc(2 * (y2 + 0.5::double)) as int) + 396 as y2 from boxes where pos = 0""",
+  cast(trunc(2 * (x2 + 0.25::double)) as int) as x2, cast(trunc(2 * (y2 + 0.5::double)) as int) + 396 as y2 from boxes""",
     A.SAMPLES,
 )
 def det3_polygons_to_boxes(spark, d):
     point = lambda x, y: F.struct((x + F.lit(0.25)).alias("x"), (y + F.lit(0.5)).alias("y"))
-    b = F.col("boxes")[0]
-    polys = A.samples(spark, d).filter(F.size("boxes") > 0).select("video_id", "frame", F.array(F.array(point(b["x1"], b["y2"]), point(b["x2"], b["y1"]), point(b["x1"], b["y1"]), point(b["x2"], b["y2"]))).alias("polygons"))
-    return segment.flat_box(detect.polygons_to_boxes(polys, detect.geometry(A.videos(spark, d))).select("video_id", "frame", F.col("boxes")[0].alias("bbox")))
+    polygon = lambda b: F.array(point(b["x1"], b["y2"]), point(b["x2"], b["y1"]), point(b["x1"], b["y1"]), point(b["x2"], b["y2"]))
+    polys = A.samples(spark, d).select("video_id", "frame", F.transform("boxes", polygon).alias("polygons"))
+    return segment.flat_box(detect.polygons_to_boxes(polys, detect.geometry(A.videos(spark, d))).select("video_id", "frame", F.explode("boxes").alias("bbox")))
 
 
 @query(
@@ -226,7 +229,7 @@ def evt3b_split_pairwise(spark, d):
 
 @query(
     """select q.video_id, q.lo as ask, case when max(d) >= 2.5 then max_by(g, (d, g)) else max(q.hi) end as at
-from (select video_id, frame as lo, frame + 1 + (frame % 4) as hi from thumbs where frame % 5 = 0) q
+from (select video_id, frame as lo, frame + 1 + (frame % 4) as hi from thumbs) q
 join (select video_id, count(*) as n from thumbs group by 1) c on c.video_id = q.video_id
 left join (select b.video_id, b.frame as g, avg(abs(a.v - b.v)) as d from px a join px b on a.video_id = b.video_id and b.frame = a.frame + 1 and a.i = b.i where a.i // 8 between 2 and 5 and a.i % 8 between 0 and 3 group by 1, 2) x
   on x.video_id = q.video_id and x.g > q.lo and x.g <= q.hi and q.hi > q.lo + 1
@@ -236,7 +239,7 @@ where q.hi < n group by 1, 2""",
 def evt4_snap(spark, d):
     t = A.thumbs(spark, d)
     f = F.col("frame")
-    asks = t.filter("frame % 5 = 0").join(A.thumb_geo(spark, d).select("video_id", "n_frames"), "video_id").select("video_id", f.alias("ask"), f.alias("lo"), (f + 1 + f % 4).alias("hi"), C.box(F.lit(0), F.lit(2), F.lit(4), F.lit(6)).alias("rect"), "n_frames").filter("hi < n_frames")
+    asks = t.join(A.thumb_geo(spark, d).select("video_id", "n_frames"), "video_id").select("video_id", f.alias("ask"), f.alias("lo"), (f + 1 + f % 4).alias("hi"), C.box(F.lit(0), F.lit(2), F.lit(4), F.lit(6)).alias("rect"), "n_frames").filter("hi < n_frames")
     return segment.snap(asks.drop("n_frames"), t)
 
 
@@ -306,6 +309,13 @@ def w1_samples_to_events(spark, d):
     return segment.flat_box(segment.drop_short_and_number(segment.merge_by_gap(runs)))
 
 
+@query()
+def w1_samples_to_events_with_pixels(spark, d):
+    """The whole first workload on thumbnails: runs, exact ends, flicker merged, short ones dropped."""
+    s = A.thumb_samples(spark, d).withColumn("boxes", F.when(F.col("bbox").isNotNull(), F.array("bbox")).otherwise(F.array().cast(f"array<{C.BOX}>")))
+    return segment.flat_box(workloads.samples_to_events(s.drop("bbox"), A.thumbs(spark, d), A.thumb_geo(spark, d), replace(DEFAULTS, min_box_h=8, min_box_w=8)))
+
+
 # Reads
 
 
@@ -627,12 +637,14 @@ def rnd1_font_spec(spark, d):
 
 
 @query(
-    """select video_id, event_id, cast(len(parts) as bigint) as n_lines, array_to_string(parts, '/') as lines from (
-  select video_id, event_id, list_transform(range(0, greatest(1, cast(ceil(length(t) / 20.0) as int))), lambda i: substr(t, i * 20 + 1, 20)) as parts from (select video_id, event_id, replace(substr(text, 1, 200), chr(10), ' ') as t from turns))""",
+    """select video_id, event_id, cast(len(kept) as bigint) as n_lines, array_to_string(kept, '/') as lines from (
+  select video_id, event_id, case when len(parts) > 1 and list_last(parts) = '' then parts[1:len(parts) - 1] else parts end as kept from (
+    select video_id, event_id, flatten(list_transform(string_split(text, chr(10)), lambda l:
+      list_transform(range(0, greatest(1, cast(ceil(length(l) / 20.0) as int))), lambda i: substr(l, i * 20 + 1, 20)))) as parts from turns))""",
     A.TURNS,
 )
 def rnd2_wrap_fixed(spark, d):
-    t = A.turns(spark, d).select("video_id", "event_id", F.translate(F.substring("text", 1, 200), "\n", " ").alias("zh"), F.lit(32).alias("size"), F.lit(640.0).alias("max_w"))
+    t = A.turns(spark, d).select("video_id", "event_id", F.col("text").alias("zh"), F.lit(32).alias("size"), F.lit(640.0).alias("max_w"))
     return render.wrap_fixed(t).select("video_id", "event_id", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "/").alias("lines"))
 
 
@@ -689,9 +701,9 @@ def rnd6_clean_frames(spark, d):
     return _clean(spark, d)
 
 
-@query("select video_id, frame, count(*) as n_plans, min(event_id) as first_event from (select *, count(*) over (partition by video_id, event_id) as n from (select distinct * from clean)) where n >= 2 group by 1, 2", A.INTERVALS, _CLEAN)
+@query("select video_id, frame, count(*) as n_plans, min(event_id) as first_event, array_to_string(list(event_id order by event_id), ',') as plans from (select *, count(*) over (partition by video_id, event_id) as n from (select distinct * from clean)) where n >= 2 group by 1, 2", A.INTERVALS, _CLEAN)
 def rnd7_frame_requests(spark, d):
-    return render.frame_requests(_clean(spark, d))
+    return render.frame_requests(_clean(spark, d)).withColumn("plans", F.array_join("plans", ","))
 
 
 @query("select t.video_id, t.frame // 4 as event_id, i as pos, median(v) as med, cast(max(v) - min(v) as int) as spread from px t group by 1, 2, 3", A.THUMBS)

@@ -37,8 +37,9 @@ def subtitles_to_review(subs: DataFrame, done: DataFrame, videos: DataFrame, mod
     return review.review_table(subs, translate.upsert(done, new), videos)
 
 
-def render_frames(frames: DataFrame, subs: DataFrame, plans: DataFrame, n_frames: DataFrame, quality: bool = False, p: Params = DEFAULTS) -> DataFrame:
-    """Composited frames. plans (video_id, event_id): roi, mask and the overlay's columns."""
-    clean = render.clean_frames(subs, n_frames, p)
-    backs = render.backgrounds(clean, plans, frames, quality, p=p)
-    return render.composite(frames, subs, plans.join(backs, ["video_id", "event_id"], "left"), p=p).withColumn("failed", F.col("failed"))
+def render_frames(frames: DataFrame, subs: DataFrame, glyph_masks: DataFrame, overlays: DataFrame, n_frames: DataFrame, quality: bool = False, p: Params = DEFAULTS) -> DataFrame:
+    """Composited frames. subs (video_id, event_id, start, end): boxes of their lines, glyph_rect,
+    mask_key, width, height; overlays: rendered text and its place."""
+    plans = render.overlay_plans(subs, glyph_masks, overlays)
+    backs = render.backgrounds(render.clean_frames(subs, n_frames, p), plans, frames, quality, p=p)
+    return render.composite(frames, subs, plans.join(backs, ["video_id", "event_id"], "left"), p=p)

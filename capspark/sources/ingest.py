@@ -104,6 +104,18 @@ def translations_to_json(rows: DataFrame) -> DataFrame:
     return rows.groupBy("video_id").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
+FRAMES = ("video_id", "frame", "h", "w", "pixels")
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Decoded frames from Parquet: video_id, frame, h, w, pixels (bytes, rows of h x w x channels).
+    Other columns are not read; a table without one of these is refused."""
+    table = spark.read.parquet(path)
+    if missing := [c for c in FRAMES if c not in table.columns]:
+        raise ValueError(f"{path} has no {', '.join(missing)}")
+    return table.select(*FRAMES)
+
+
 def ordered_frames(frames: DataFrame) -> DataFrame:
     """frames dealt by range and sorted, ready to be written in frame order of each video."""
     return frames.repartitionByRange("video_id", "frame").sortWithinPartitions("video_id", "frame")

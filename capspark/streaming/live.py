@@ -111,8 +111,9 @@ def upsert_batch(read: Callable[[], DataFrame], write: Callable[[DataFrame, int]
 
 
 def stream_status(status: DataFrame) -> DataFrame:
-    """The newest status of each video; for update or complete mode."""
-    return review.latest_status(status)
+    """The newest status of each video, with the seconds it may still take where the rows say how
+    long it has run (elapsed); for update or complete mode."""
+    return review.latest_with_eta(status) if "elapsed" in status.columns else review.latest_status(status)
 
 
 def stream_throughput(frames: DataFrame, window: str = "1 minute", late: str = "1 minute") -> DataFrame:

@@ -16,6 +16,7 @@ import __spark_entry__ as entry
 from capspark.functions import columns as C
 from capspark.functions import pixels
 from capspark.operators import detect, reads, render, segment, translate
+from capspark.plans import workloads
 from capspark.sources import ingest
 from capspark.streaming import live
 
@@ -300,6 +301,91 @@ def test_frames_through_models(spark):
     assert (out[1][1:3, 1:3] == 255).all() and (out[4] == 4).all() and len(out) == 6
 
 
+def test_read_text_and_style_of_frames(spark):
+    px = np.full((40, 80, 3), 120, np.uint8)
+    px[12:30, 12:26], px[12:30, 26:42] = 20, 240
+    rows = [(1, f, 40, 80, (px if f else px * 0).tobytes()) for f in range(4)]
+    frames = spark.createDataFrame(rows, "video_id long, frame long, h int, w int, pixels binary")
+    asked = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 0), (1, 0, 2, 9)], "video_id long, event_id long, attempt int, frame long")
+
+    def reader():
+        return lambda h, w, data: [("two", 0.9, (12, 12, 68, 30))] if max(data) else None
+
+    got = {r["attempt"]: r for r in reads.read_text(frames, asked, reader).collect()}
+    assert [got[k]["readable"] for k in range(3)] == [True, False, False]  # a black frame, and one that is not there
+    assert got[0]["lines"][0]["text"] == "two" and tuple(got[0]["lines"][0]["box"]) == (12, 12, 68, 30) and got[1]["lines"] == []
+    subs = spark.createDataFrame([(1, 0, 2, (12, 12, 68, 30), [("two", 0.9, (12, 12, 68, 30))])], f"video_id long, event_id long, frame long, bbox {C.BOX}, lines array<{reads.LINE}>")
+    r = reads.text_style(subs, frames).collect()[0]
+    want = np.zeros((26, 64), np.uint8)
+    want[4:22, 4:34] = 1
+    assert tuple(r["glyph_rect"]) == (8, 8, 72, 34) and (np.frombuffer(r["mask"], np.uint8).reshape(26, 64) == want).all()
+    assert (r["fill"], r["outline"]) == ([240] * 3, [20] * 3)
+
+
+def test_erase_masks(spark):
+    glyph = np.zeros((10, 20), np.uint8)
+    glyph[4:6, 5:15] = 1
+    box, line = (20, 20, 40, 30), [(20, 20, 40, 30)]
+    subs = [(1, 0, line, box, 7), (1, 1, line, box, 8), (1, 2, line, None, None), (1, 3, None, box, 7), (2, 0, line, (20, 20, 41, 30), 7), (3, 0, [], box, 7)]
+    frame = spark.createDataFrame(subs, f"video_id long, event_id long, boxes array<{C.BOX}>, glyph_rect {C.BOX}, mask_key long").withColumns({"width": F.lit(96), "height": F.lit(64)})
+    masks = spark.createDataFrame([(v, 7, 10, 20, glyph.tobytes()) for v in (1, 2)], "video_id long, mask_key long, h int, w int, mask binary")
+    got = {(r["video_id"], r["event_id"]): r for r in render.erase_masks(render.erase_roi(frame), masks).collect()}
+    roi = (0, 1, 62, 49)
+    assert tuple(got[1, 0]["roi"]) == roi and got[1, 3]["mask"] is None and got[3, 0]["mask"] is None
+    bits = lambda k: np.frombuffer(got[k]["mask"], np.uint8).reshape(48, 62)
+    wide, boxes = np.zeros((48, 62), np.uint8), np.zeros((48, 62), np.uint8)
+    wide[24 - 1 - 2 : 26 - 1 + 2, 25 - 2 : 35 + 2] = 1
+    boxes[20 - 7 - 1 : 30 + 7 - 1, 20 - 10 : 40 + 10] = 1
+    assert (bits((1, 0)) == wide).all()
+    for k in ((1, 1), (1, 2), (2, 0)):  # no such mask, none named, or one of another size
+        assert (bits(k) == boxes).all()
+    assert render.erase_masks(render.erase_roi(frame.limit(0)), masks).count() == 0
+
+
+def test_render_frames_restores_what_is_behind_text(spark):
+    y, x = np.mgrid[0:64, 0:96]
+    base = np.stack([x + 60, y + 80, (x + y) // 2 + 40], axis=2).astype(np.uint8)
+    glyph = np.zeros((10, 20), bool)
+    glyph[3:7, 2:18] = True
+    dirty = base.copy()
+    dirty[20:30, 20:40][glyph] = 255
+    frames = spark.createDataFrame([(1, f, 64, 96, (dirty if 20 <= f <= 25 else base).tobytes()) for f in range(60)], "video_id long, frame long, h int, w int, pixels binary")
+    box = (20, 20, 40, 30)
+    subs = spark.createDataFrame([(1, 0, 20, 25, [box], box, 20)], f"video_id long, event_id long, start long, end long, boxes array<{C.BOX}>, glyph_rect {C.BOX}, mask_key long").withColumns({"width": F.lit(96), "height": F.lit(64)})
+    masks = spark.createDataFrame([(1, 20, 10, 20, glyph.astype(np.uint8).tobytes())], "video_id long, mask_key long, h int, w int, mask binary")
+    overlay = np.zeros((2, 3, 4), np.uint8)
+    overlay[..., 0], overlay[..., 3] = 200, 255
+    overlays = spark.createDataFrame([(1, 0, overlay.tobytes(), 50, 60, 2, 3)], "video_id long, event_id long, overlay binary, overlay_x int, overlay_y int, overlay_h int, overlay_w int")
+    n = spark.createDataFrame([(1, 60)], "video_id long, n_frames long")
+    want = base.copy()
+    want[60:62, 50:53] = (200, 0, 0)
+    got = workloads.render_frames(frames, subs, masks, overlays, n).collect()
+    assert len(got) == 60 and not any(r["failed"] for r in got)
+    for r in got:
+        assert (np.frombuffer(r["pixels"], np.uint8).reshape(64, 96, 3) == (want if 20 <= r["frame"] <= 25 else base)).all()
+
+
+def test_a_long_chain_of_events_merges_in_bounded_work(spark):
+    n = 3000
+    events = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 2).alias("end"), C.box(*map(F.lit, (8, 8, 24, 24))).alias("bbox"))
+    thumbs = spark.range(3 * n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame"), F.lit(4).alias("th"), F.lit(4).alias("tw"), F.when(F.col("id") < 6000, F.lit(bytes([50] * 16))).otherwise(F.lit(bytes([200] * 16))).alias("pixels"))
+    geo = spark.createDataFrame([(1, 3 * n, 3, 0, 4, 4)], GEO)
+    began = time.time()
+    got = segment.merge_flicker(events, thumbs, geo).collect()
+    assert time.time() - began < 60
+    assert sorted((r["start"], r["end"]) for r in got) == [(0, 5999), (6000, 8999)]
+
+
+def test_frames_are_read_with_their_types(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/f"
+    spark.createDataFrame([(1, 0, 1, 1, b"abc", "x")], "video_id long, frame long, h int, w int, pixels binary, more string").write.parquet(path)
+    got = ingest.read_frames(spark, path)
+    assert got.columns == ["video_id", "frame", "h", "w", "pixels"] and bytes(got.head()["pixels"]) == b"abc"
+    spark.createDataFrame([(1, 0)], "video_id long, frame long").write.parquet(path + "2")
+    with pytest.raises(ValueError):
+        ingest.read_frames(spark, path + "2")
+
+
 def test_stages_and_inventory(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "video_id long, x string")
@@ -331,16 +417,24 @@ def stream(spark, df, run, mode="append", then=None):
 
 def test_streams_equal_batch(spark):
     ev = spark.read.parquet(f"{DIR}/events.parquet").select((F.col("user_id") % 5).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame"), F.concat(F.lit("j"), (F.col("event_id") % 7).cast("string")).alias("job_key"))
-    got = stream(spark, ev, lambda s: live.stream_throughput(s, "1 day", "400 days"), "append")
-    assert got.count() == 0  # nothing is behind the watermark yet
-    status = ev.withColumns({"stage": F.lit("ocr"), "progress": F.col("frame") / 1e6, "status": F.lit("running")})
-    latest = stream(spark, status, live.stream_status, "complete")
-    assert sorted(r["progress"] for r in latest.collect()) == sorted(r["progress"] for r in live.stream_status(status).collect())
+    got = stream(spark, ev, lambda s: live.stream_throughput(s, "1 day", "400 days"), "complete")
+    plain = lambda df: sorted((r["video_id"], r["since"], r["frames"]) for r in df.collect())
+    assert plain(got) == plain(live.stream_throughput(ev, "1 day", "400 days")) and sum(r["frames"] for r in got.collect()) == ev.count()
+    status = ev.withColumns({"stage": F.lit("ocr"), "progress": F.col("frame") / 1e3, "status": F.lit("running"), "elapsed": F.col("frame").cast("double")})
+    latest = stream(spark, status, live.stream_status, "complete").collect()
+    last = {}
+    for r in status.collect():
+        last[r["video_id"]] = max(last.get(r["video_id"], (r["ts"], 0)), (r["ts"], r["progress"], r["elapsed"]))
+    assert len(latest) == len(last) > 1
+    for r in latest:
+        ts, progress, elapsed = last[r["video_id"]]
+        assert (r["ts"], r["progress"]) == (ts, progress) and (r["eta"] is None if progress <= 0.02 else abs(r["eta"] - elapsed / progress * (1 - progress)) < 1e-9)
     jobs = stream(spark, ev, lambda s: live.stream_dedupe_jobs(s, "400 days"))
     assert sorted(r["job_key"] for r in jobs.collect()) == sorted({f"j{i}" for i in range(7)})
     geo = spark.createDataFrame([(v, 3, 0) for v in range(5)], "video_id long, step int, crop_y int")
     boxed = ev.withColumn("boxes", F.array(C.box(F.lit(0), F.lit(0), F.lit(50), F.lit(20))))
-    assert stream(spark, boxed, lambda s: live.stream_samples(s, geo)).count() == live.stream_samples(boxed, geo).count()
+    rows_of = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows_of(stream(spark, boxed, lambda s: live.stream_samples(s, geo))) == rows_of(live.stream_samples(boxed, geo)) != []
     store = {"t": spark.createDataFrame([(1, 1, "old")], "video_id long, event_id long, zh string")}
     run = live.upsert_batch(lambda: store["t"], lambda t, _: store.update(t=spark.createDataFrame(t.collect(), t.schema)))
     batch = spark.createDataFrame([(1, 1, "new", 2), (1, 1, "mid", 1), (2, 1, "x", 1)], "video_id long, event_id long, zh string, version long")
