@@ -27,6 +27,8 @@ from capspark.llm.pieces import Memory
 from capspark.llm.session import bound_batches, new_path
 
 BLOCK = 1 << 18
+#: Bytes of text whose pieces are looked up together.
+LOT = 16 << 20
 #: Rounds end when no pair is frequent, or when one has shortened the sequence by less than a share.
 ROUNDS = 40
 LEAST = 8
@@ -181,6 +183,18 @@ _BLOCK_SCHEMA = pa.schema(
 )
 
 
+def _lots(batches: Iterator[pa.RecordBatch], size: int = LOT) -> Iterator[pa.RecordBatch]:
+    """Batches of size bytes or more, so that pieces which come again are looked up less often."""
+    lot: list[pa.RecordBatch] = []
+    for batch in batches:
+        lot.append(batch)
+        if sum(b.nbytes for b in lot) >= size:
+            yield pa.concat_batches(lot)
+            lot = []
+    if lot:
+        yield pa.concat_batches(lot)
+
+
 def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int, block: int) -> Iterator[pa.RecordBatch]:
     part, number, before = TaskContext.get().partitionId(), 0, 0
     base = max(_tokenizer(path, pattern)[0].get_vocab_size(), end_id + 1)
@@ -193,7 +207,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: in
         values = [part, number, before, n, base, left.tobytes(), right.tobytes(), lengths.tobytes(), seq.tobytes(), docs, starts, sizes]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK_SCHEMA, strict=True)], schema=_BLOCK_SCHEMA)
 
-    for batch in batches:
+    for batch in _lots(batches):
         for doc, ids in zip(batch.column(0).to_pylist(), tokens_of(batch.column(1), path, pattern), strict=True):
             docs.append(doc)
             runs.append(np.append(ids, end_id))
