@@ -28,7 +28,7 @@ from capspark.llm.session import bound_batches, new_path
 
 BLOCK = 1 << 18
 #: Bytes of text whose pieces are looked up together.
-LOT = 16 << 20
+LOT = 12 << 20
 #: Rounds end when no pair is frequent, or when one has shortened the sequence by less than a share.
 ROUNDS = 40
 LEAST = 8
@@ -158,7 +158,7 @@ def _tokenizer(path: str, pattern: str):
         own = [space + m[1:] if m.isascii() and m[0] == " " and m[1:].isalpha() else m.encode().decode("latin-1").translate(letters) for m in matches]
         return [array("i", [x.id for x in tokenize(m)]).tobytes() for m in own]
 
-    return t, Memory(regex.compile(pattern).findall, encode, most=700_000), [x.content for x in t.get_added_tokens_decoder().values()]
+    return t, Memory(regex.compile(pattern).findall, encode, most=450_000), [x.content for x in t.get_added_tokens_decoder().values()]
 
 
 def tokens_of(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
