@@ -27,7 +27,8 @@ def test_pipeline_equals_plain_stages(spark):
     for d in docs:
         for x in d["text"].split("\n"):
             held[d["source"], x.strip(" \t\n\x0b\x0c\r")].add(d["doc_id"])
-    hot = {k for k, v in held.items() if k[1] and len(v) >= lines.MIN_PAGES and len(v) > pages[k[0]] * lines.MAX_RATIO}
+    ratio = lambda line: lines.MAX_RATIO_LONG if len(line) >= lines.LONG else lines.MAX_RATIO
+    hot = {k for k, v in held.items() if k[1] and len(v) >= lines.MIN_PAGES and len(v) > pages[k[0]] * ratio(k[1])}
     for d in docs:
         d["text"] = "\n".join(x for x in d["text"].split("\n") if (d["source"], x.strip(" \t\n\x0b\x0c\r")) not in hot)
 
