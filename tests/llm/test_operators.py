@@ -294,6 +294,60 @@ def test_decontamination_at_every_offset_and_of_few_plain_words(spark):
     assert got == {(k, 1, True) for k in range(4)} | {(10, 2, True)}
 
 
+def plain_matches(docs, items, template, window=8, share=0.5, least_plain=3):
+    """op6 by loops: every window of an item against every window of a document."""
+    out = set()
+    kind = lambda w: w[:2] if w[0] == "\x01" else w
+    held = lambda ws: [w for w in ws if w[0] == "\x01"]
+    for doc, d in docs:
+        for item, t in items:
+            words, own = template[d], template[t]
+            size = min(window, len(own))
+            found = {}  # shift -> [(at, item's slots, document's slots, strict)]
+            for i in range(len(own) - size + 1 if own else 0):
+                for j in range(len(words) - size + 1):
+                    a, b = own[i : i + size], words[j : j + size]
+                    if list(map(kind, a)) == list(map(kind, b)):
+                        few = size - len(held(a)) < min(least_plain, size)
+                        if not few or held(a) == held(b):
+                            found.setdefault(j - i, []).append((i, held(a), held(b), few))
+            good = []
+            for rows in found.values():
+                pairs = {p for _, a, b, few in rows if not few for p in zip(a, b, strict=True)}
+                agree = len(pairs) == len({a for a, _ in pairs})
+                good += [(i, any(x != y for x, y in pairs) and not few) for i, _, _, few in rows if few or agree]
+            covered = {k for i, _ in good for k in range(i, i + size)}
+            if own and good and len(covered) >= share * len(own):
+                out.add((doc, item, len({i for i, _ in good}), round(len(covered) / len(own), 9), not any(other for _, other in good)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_equals_loops(spark, seed):
+    rng = random.Random(seed)
+    words = ["the", "old", "tree", "has", "birds", "and", "Maria", "Peter", "7", "12", "12", "5", "km", "kg", "sat", "near"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, some(rng.choice([2, 3, 5, 8, 9, 12, 20, 30]))) for i in range(12)] + [(90, None), (91, ""), (92, "12 12 7")]
+    docs = []
+    for k in range(60):
+        ws = (rng.choice(items)[1] or "").split()
+        if k % 2:
+            ws = [{"7": "71", "12": "33", "5": "9", "Maria": "Laura"}.get(w, w) for w in ws]
+        for _ in range(rng.randint(0, 2)):
+            if ws:
+                ws[rng.randrange(len(ws))] = rng.choice(words)
+        docs.append((k, " ".join([some(rng.randint(0, 9)), *ws, some(rng.randint(0, 9))])))
+    docs.append((60, " ".join([some(4000), items[3][1]])))
+    docs += [(61, None), (62, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    every = df.select("text").unionByName(bench.select("text")).distinct()
+    template = {r["text"]: r["w"] for r in every.select("text", decontamination.template_words(F.col("text")).alias("w")).collect()}
+    got = {(r["doc_id"], r["item_id"], r["n_windows"], round(r["covered"], 9), r["exact"]) for r in decontamination.matches(df, bench).collect()}
+    want = plain_matches(docs, items, template)
+    assert got == want
+    assert len(want) > 20 and {e for *_, e in want} == {True, False}
+
+
 def test_decontamination_plan_is_native(spark):
     plan = decontamination.matches(texts(spark), spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
