@@ -6,8 +6,10 @@ and no match runs across it. So a text can be cut there, and equal pieces encode
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,18 @@ _of_runs = re.compile(rf" ?[{_LETTERS}{_MARKS}](?:[{_LETTERS}{_MARKS}]|\n(?!\n))
 _runs = re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n").findall
 
 
+@contextlib.contextmanager
+def _no_collector() -> Iterator[None]:
+    """Pieces and ids are in no cycles, so looking for cycles among millions of them is wasted."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def cut(text: str) -> list[str]:
     """The pieces of text; joined they are the text."""
     first, *rest = text.split(" ")
@@ -64,7 +78,8 @@ class Memory(dict):
         firsts = parts.flatten().take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist()  # no space comes before these
         at[starts[:-1]] = len(keys) + np.arange(len(firsts))
         alone = [cut(t) for t in texts.filter(pa.array(wide)).to_pylist()]
-        coded = self._coded([*keys, *firsts, *(p for pieces in alone for p in pieces)])
+        with _no_collector():
+            coded = self._coded([*keys, *firsts, *(p for pieces in alone for p in pieces)])
 
         got = pa.array(coded[: len(keys) + len(firsts)], pa.large_binary()).take(pa.array(at))
         data, ends = got.buffers()[2], np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1] // 4
