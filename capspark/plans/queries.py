@@ -25,7 +25,7 @@ def query(sql: str | None = None, *ctes: str):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = ("with " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+            SQL[f.__name__] = ("with recursive " + ",\n".join(ctes) + "\n" if ctes else "") + sql
         return f
 
     return add
@@ -195,7 +195,32 @@ def evt2_region_diff(spark, d):
     return segment.region_diff(pairs, t).select("video_id", "f", "g", "d")
 
 
-@query()
+#: The mean difference of two thumbnails, lists a and b of 8 x 8, within rx1, ry1, rx2, ry2.
+_UNLIKE = "list_avg(list_transform(range(64), lambda i: case when i % 8 >= rx1 and i % 8 < rx2 and i // 8 >= ry1 and i // 8 < ry2 then abs(a[i + 1] - b[i + 1]) end))"
+
+#: runs: a sample at a time, each against the run before it and that run's whole box.
+_SPLIT = (
+    """
+ss0 as (select *, last_value(case when x1 is null then frame end ignore nulls) over w as prev_empty, sum(case when x1 is null then 1 else 0 end) over w as g
+  from tsamples window w as (partition by video_id order by frame rows unbounded preceding)),
+ss as (select s.*, px as b, row_number() over (partition by s.video_id, g order by s.frame) as n from ss0 s join thumbs t on t.video_id = s.video_id and t.frame = s.frame where x1 is not null),
+folded as (select video_id, g, n, frame, b, x1, y1, x2, y2, frame as first_s, prev_empty, cast(null as bigint) as split_from from ss where n = 1
+  union all
+  select video_id, g, n, frame, b, case when same then jx1 else x1 end, case when same then jy1 else y1 end, case when same then jx2 else x2 end, case when same then jy2 else y2 end,
+    case when same then first_s else frame end, case when same then prev_empty end, case when same then split_from else last_s end
+  from (select *, """
+    + _UNLIKE
+    + """ < 14.0 as same from (select *, """
+    + _RECT.format(p="r", x1="jx1", y1="jy1", x2="jx2", y2="jy2", tw=8, th=8)
+    + """ from (select s.video_id, s.g, s.n, s.frame, s.b, s.x1, s.y1, s.x2, s.y2, f.b as a, f.frame as last_s, f.first_s, f.prev_empty, f.split_from,
+      least(f.x1, s.x1) as jx1, least(f.y1, s.y1) as jy1, greatest(f.x2, s.x2) as jx2, greatest(f.y2, s.y2) as jy2
+    from folded f join ss s on s.video_id = f.video_id and s.g = f.g and s.n = f.n + 1)))),
+runs as (select video_id, first_s, max(frame) as last_s, max(prev_empty) as prev_empty, max(split_from) as split_from, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from folded group by 1, 2)
+"""
+)
+
+
+@query("select video_id, first_s, last_s, prev_empty, split_from, x1, y1, x2, y2 from runs", A.THUMBS, A.THUMB_SAMPLES, _SPLIT)
 def evt3_split_runs(spark, d):
     return segment.flat_box(segment.split_runs(A.thumb_samples(spark, d), A.thumbs(spark, d), A.thumb_geo(spark, d)))
 
@@ -271,7 +296,29 @@ def evt5_event_bounds(spark, d):
     return segment.flat_box(segment.event_bounds(_pairwise(spark, d), A.thumbs(spark, d), A.thumb_geo(spark, d)))
 
 
-@query()
+#: joined: an event at a time, each against the merged event before it by their middle frames.
+_FLICKER = (
+    """
+ev as (select *, row_number() over (partition by video_id order by start, "end") as n from bounds),
+grown as (select video_id, n, n as first_n, start, "end", x1, y1, x2, y2 from ev where n = 1
+  union all
+  select video_id, n, case when same then first_n else n end, case when same then m_start else start end, "end",
+    case when same then jx1 else x1 end, case when same then jy1 else y1 end, case when same then jx2 else x2 end, case when same then jy2 else y2 end
+  from (select *, coalesce(start - m_end between 0 and 10 and """
+    + _UNLIKE
+    + """ < 14.0, false) as same from (select *, """
+    + _RECT.format(p="r", x1="jx1", y1="jy1", x2="jx2", y2="jy2", tw=8, th=8)
+    + """ from (select e.video_id, e.n, m.first_n, e.start, e."end", m.start as m_start, m."end" as m_end, e.x1, e.y1, e.x2, e.y2, ta.px as a, tb.px as b,
+      least(m.x1, e.x1) as jx1, least(m.y1, e.y1) as jy1, greatest(m.x2, e.x2) as jx2, greatest(m.y2, e.y2) as jy2
+    from grown m join ev e on e.video_id = m.video_id and e.n = m.n + 1
+      left join thumbs ta on ta.video_id = m.video_id and ta.frame = (m.start + m."end") // 2
+      left join thumbs tb on tb.video_id = e.video_id and tb.frame = (e.start + e."end") // 2)))),
+joined as (select video_id, min(start) as start, max_by("end", n) as "end", min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from grown group by video_id, first_n)
+"""
+)
+
+
+@query('select video_id, cast(start as bigint) as start, cast("end" as bigint) as "end", x1, y1, x2, y2 from joined', A.THUMBS, A.THUMB_SAMPLES, _PAIRWISE, _BOUNDS, _FLICKER)
 def evt6_merge_flicker(spark, d):
     geo, thumbs = A.thumb_geo(spark, d), A.thumbs(spark, d)
     return segment.flat_box(segment.merge_flicker(segment.event_bounds(_pairwise(spark, d), thumbs, geo), thumbs, geo))
@@ -309,7 +356,14 @@ def w1_samples_to_events(spark, d):
     return segment.flat_box(segment.drop_short_and_number(segment.merge_by_gap(runs)))
 
 
-@query()
+@query(
+    'select video_id, cast(start as bigint) as start, cast("end" as bigint) as "end", x1, y1, x2, y2, cast(row_number() over (partition by video_id order by start, "end") - 1 as bigint) as event_id from joined where "end" - start + 1 >= 5',
+    A.THUMBS,
+    A.THUMB_SAMPLES,
+    _SPLIT,
+    _BOUNDS,
+    _FLICKER,
+)
 def w1_samples_to_events_with_pixels(spark, d):
     """The whole first workload on thumbnails: runs, exact ends, flicker merged, short ones dropped."""
     s = A.thumb_samples(spark, d).withColumn("boxes", F.when(F.col("bbox").isNotNull(), F.array("bbox")).otherwise(F.array().cast(f"array<{C.BOX}>")))
