@@ -147,8 +147,10 @@ def translate(subs: DataFrame, done: DataFrame, glossaries: DataFrame, langs: Da
 
         for _, group in pdf.groupby("batch", sort=True):
             lines = list(group["line"])
-            got = next((g for g in (reply(lines, 0.3), ) if len(g) == len(lines)), None) or next((g for g in (reply(lines, 0.1),) if len(g) == len(lines)), None)
-            if got is None:
+            got = reply(lines, 0.3)
+            if len(got) != len(lines):
+                got = reply(lines, 0.1)
+            if len(got) != len(lines):
                 got = [(reply([x], 0.1) or [x])[0] for x in lines]
             past += got
             out += zip(group["video_id"], group["event_id"], got, strict=True)
