@@ -137,7 +137,10 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on at most max_positives rows labelled 1 and max_unlabelled rows of any kind, none held
-    out: those of the least hashes of their ids. Only their features come to the driver."""
+    out: those of the least hashes of their ids. Only their features come to the driver. Rows with a
+    null id are not learned from, null texts count as empty; of rows that share an id each counts, at
+    most twice as many rows in all as the two limits together. Labels are good where any row of the
+    id says 1; other columns and an empty table do no harm (see fit for too few rows)."""
     bound_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("id")).filter(~held_out(F.col("id"))).distinct()

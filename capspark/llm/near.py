@@ -25,8 +25,8 @@ TREES = 16
 DEPTHS = (3, 4, 6, 9, 14, 22)
 LARGE = 32
 NEIGHBOURS = 3
-#: Documents with candidates (16 bytes each) up to which their ids are sent to every task, so that
-#: only their texts are shuffled; with more, all texts are shuffled once.
+#: Classes with candidates (24 bytes each) up to which the places of their texts are sent to every
+#: task, so that only their texts are shuffled; with more, all texts are shuffled once.
 BROADCAST_IDS = 2_000_000
 #: How far below the threshold a signature may estimate a pair that is still compared: 4 to 6
 #: standard deviations of the share of VALUES equal minima.
@@ -162,6 +162,15 @@ def _to_hubs(pairs: DataFrame, agree: int) -> DataFrame:
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _of_one_id(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id; none where ids are unique."""
+    several = [(F.min(c) < F.max(c)).alias(c) for c in ("n", "d1", "d2")]
+    ids = signed.filter("n > 0 and id is not null").groupBy("id").agg(*several).filter("n or d1 or d2").select("id")
+    member = signed.filter("n > 0").join(written(ids, "several"), "id", "left_semi").join(reps, ["n", "d1", "d2"]).select("id", "rep").distinct()
+    first = member.groupBy("id").agg(F.min("rep").alias("a"))
+    return member.join(first, "id").filter("a < rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id_col, n_shingles, component_id (the smallest id reachable over links of
     Jaccard similarity of at least threshold, in whole hundredths), kept (id_col is component_id).
@@ -172,31 +181,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     Shingles are five words of the lower-cased (A-Z) text. Fewer words are one shingle; no words or
     a null text link with nothing. Equal sets always link. Rows that share an id are one document:
-    they share a component, and of sets that lead to one id the one of the least digest is compared.
-    A row with a null id takes part by its set; alone it has a null component and is kept. Other
-    columns are left out, whatever their names. An empty table gives no rows.
+    each of their sets is compared and they share a component, but for rows without words. A row with
+    a null id takes part by its set, where a row with an id has the same; alone it has a null
+    component and is kept. Other columns are left out, whatever their names. An empty table gives no
+    rows.
     """
     bound_batches(docs.sparkSession)
     percent = round(threshold * 100)
-    signed = docs.select(F.col(id_col).cast("long").alias("id"), signer()(F.col(text_col)).alias("s"))
-    signed = written(signed.select("id", "s.n", "s.d1", "s.d2", "s.sig"), "signed")
-    reps = written(signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "reps")
-    own = reps.filter("rep is not null").groupBy("rep").agg(F.min(F.struct("n", "d1", "d2")).alias("x")).select("rep", "x.*")
-    classes = signed.withColumnRenamed("id", "rep").join(own, ["rep", "n", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
-    classes = written(classes.select("rep", "n", "sig"), "classes")
+    place = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("of")]
+    signed = docs.select(*place, signer()(F.col(text_col)).alias("s"))
+    signed = written(signed.select("id", "of", "s.n", "s.d1", "s.d2", "s.sig"), "signed")
+    reps = signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    classes = signed.join(reps, ["id", "n", "d1", "d2"]).dropDuplicates(["rep"])
+    classes = written(classes.select("rep", "id", "of", "n", "sig"), "classes")
 
     rows = regions(classes)
     crowd = crowded(rows)
     least = int((threshold - SLACK) * VALUES)
     pairs = _agreeing(candidates(classes, rows), classes, percent, least)
 
-    ask = own.select("rep", "d1").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct(), "rep", "left_semi")
-    ask = written(ask.withColumnRenamed("d1", "of"), "ask")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct()
+    ask = written(classes.select("rep", "id", "of").join(asked, "rep", "left_semi"), "ask")
     ask = F.broadcast(ask) if ask.count() <= BROADCAST_IDS else ask.hint("merge")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ask, "rep")
-    sets = texts.select("rep", "of", set_maker()("t").alias("s")).select("rep", "of", "s.*").filter("d1 = of").dropDuplicates(["rep"])
-    sets = written(sets.select("rep", "n", "shingles"), "sets")
-    links = written(_confirmed(_to_hubs(pairs, int(threshold * VALUES)), sets, percent), "links")
+    texts = docs.select(*place, F.col(text_col).alias("t")).join(ask, ["id", "of"])
+    sets = texts.select("rep", set_maker()("t").alias("s")).select("rep", "s.n", "s.shingles").dropDuplicates(["rep"])
+    sets = written(sets, "sets")
+    hubs = _confirmed(_to_hubs(pairs, int(threshold * VALUES)), sets, percent)
+    links = written(hubs.unionByName(_of_one_id(signed, reps.drop("id"))), "links")
     near = written(components(links), "near")
     root_a, root_b = (near.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b"))
     apart = pairs.join(root_a, "a", "left").join(root_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
@@ -204,11 +216,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     near = written(components(links), "near")
     more = _agreeing(_completion(crowd, near, sets, percent), classes, percent, least)
     more = written(_confirmed(more.select("a", "b"), sets, percent), "links")
-    near = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    near = written(components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)), "near")
 
-    labels = reps.join(near, F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
+    own = reps.select("rep", F.col("id").alias("least"))
+    rest = near.join(own, near["id"] == own["rep"]).groupBy("root").agg(F.min("least").alias("rest"))  # of each but the root itself
+    roots = written(rest.join(own.withColumnRenamed("rep", "root"), "root").select("root", F.least("rest", "least").alias("component")), "roots")
+    labels = reps.join(near.withColumnRenamed("id", "of"), F.col("rep") == F.col("of"), "left").withColumn("root", F.coalesce("root", "rep"))
+    labels = labels.join(roots, "root", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("least"))
     out = signed.select("id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"], "left")
-    component = F.coalesce("root", "id")
+    component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -218,8 +234,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; of rows that share an id one stays.
-    All columns stay as they are."""
+    """docs without the rows that near_duplicates does not keep; of rows that share an id one stays,
+    or none, and rows with a null id stay. All columns stay as they are."""
     found = written(near_duplicates(docs, threshold, id_col, text_col), "near")
     gone = found.filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

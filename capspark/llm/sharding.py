@@ -7,7 +7,9 @@ its rank within its size.
 
 Bound of the histogram: sizes below 2**16 count as they are, larger ones in 2,048 classes for each
 power of two, and groups of at least 1/4096 of a shard's share (at most 4096 * n_shards of them)
-are placed one by one.
+are placed one by one. The heap takes a group of a class by the mean size of its class. Sizes of one
+class differ by less than a 2,048th, so a shard's true load is within 0.05 % of what the heap counts;
+where no group lies in such a class the shards are those of plain scheduling.
 """
 
 from __future__ import annotations
