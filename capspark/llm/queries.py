@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the thirteen operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capspark.llm import bpe, chat, classifier, decontamination, lines, near, quality_rules, repair, sharding, warc
+from capspark.llm import bpe, chat, classifier, decontamination, lines, near, quality_rules, repair, sharding, simhash, trie, warc, whitening
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,10 +72,22 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_lpt_sharding, op2_warc_chunks, op3_line_dedup, op4_bpe_transducer, op5_repair_tokens, op6_template_decontamination, op7_lsh_forest, op8_perspectives, op9_suffix_repetition, op10_pu_quality)
+        for f in (op1_lpt_sharding, op2_warc_chunks, op3_line_dedup, op4_bpe_transducer, op5_repair_tokens, op6_template_decontamination, op7_lsh_forest, op8_perspectives, op9_suffix_repetition, op10_pu_quality, op11_cholesky_whitening, op12_simhash_pivots, op13_prefix_trie)
     }
 
 
@@ -176,5 +188,46 @@ from m
 """
 
 
+_OP13 = f"""
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as turn_key, octet_length(encode(coalesce(text, ''))) as bytes
+  from conversations where conv_id is not null
+), own as (
+  select c, max(pos) as own, c - c % {trie.GROUP} as base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % {trie.SHARED} as h
+  from t group by c
+), convs as (
+  select a.c, a.base, a.h, least(a.h, coalesce(b.own, 0)) as first, least(a.h, coalesce(b.own, 0)) + greatest(0, a.own - a.h) as n
+  from own a left join own b on b.c = a.base
+), r as (
+  select v.c, pos, turn_key, bytes from convs v join t on t.c = v.base where pos <= first
+  union all select v.c, first + pos - h, turn_key, bytes from convs v join t on t.c = v.c where pos > h
+), mem as (
+  select c, pos as depth, string_agg(turn_key, ',') over (partition by c order by pos rows unbounded preceding) as k, bytes from r
+  union all select c, 0, '', 0 from convs
+), nodes as (
+  select depth, k, min(c) as conv_id, count(*) as n_convs, min(bytes) as bytes from mem group by 1, 2
+), memb as (
+  select m.c, m.depth, n.conv_id from mem m join nodes n on n.depth = m.depth and n.k = m.k
+), linked as (
+  select n.*, p.conv_id as parent_conv_id from nodes n left join memb p on p.c = n.conv_id and p.depth = n.depth - 1
+), kids as (
+  select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from linked where depth > 0 group by 1, 2
+), sized as (
+  select l.*, coalesce(n_children, 0) as n_children from linked l left join kids k on k.conv_id = l.conv_id and k.depth = l.depth
+), sums as (
+  select m.conv_id, m.depth, sum(case when s.n_children = 0 then 1 else 0 end) as n_leaves, sum((s.n_convs - 1) * s.bytes) as saved_tokens
+  from sized s join memb m on m.c = s.conv_id and m.depth <= s.depth group by 1, 2
+), ends as (
+  select m.conv_id, m.depth, string_agg(cast(m.c as varchar), ',' order by m.c) as ids from memb m join convs v on v.c = m.c and v.n = m.depth group by 1, 2
+)
+select s.conv_id, cast(s.depth as bigint) as depth, s.parent_conv_id, cast(s.n_convs as bigint) as n_convs, cast(s.n_children as bigint) as n_children,
+  cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from sized s join sums u on u.conv_id = s.conv_id and u.depth = s.depth left join ends e on e.conv_id = s.conv_id and e.depth = s.depth
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_chunks": _OP2, "op3_line_dedup": _OP3, "op8_perspectives": _OP8, "op9_suffix_repetition": _OP9}
+    return {"op2_warc_chunks": _OP2, "op3_line_dedup": _OP3, "op8_perspectives": _OP8, "op9_suffix_repetition": _OP9, "op13_prefix_trie": _OP13}
