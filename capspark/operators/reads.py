@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
 from capspark.functions import pixels
+from capspark.operators.frame_index import asked_frames
 from capspark.operators.segment import with_chains
 from capspark.params import DEFAULTS, Params
 
@@ -29,8 +30,10 @@ def candidate_frames(events: DataFrame) -> DataFrame:
 def read_text(frames: DataFrame, candidates: DataFrame, reader: Callable[[], Callable]) -> DataFrame:
     """candidates with readable and lines: what a user's reader finds on each frame. reader() makes
     the model once for a task; model(h, w, pixels) gives (text, conf, (x1, y1, x2, y2)) a line, or
-    None if the frame cannot be read. Only frames that are asked for move."""
-    rows = candidates.join(frames.select("video_id", "frame", "h", "w", "pixels"), ["video_id", "frame"], "left")
+    None if the frame cannot be read. The candidates go to the frames (see frame_index); a candidate
+    whose frame does not exist is not readable."""
+    kind = dict(candidates.dtypes)["video_id"]
+    keys = ["video_id", "event_id", "attempt", "frame"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = reader()
@@ -40,9 +43,12 @@ def read_text(frames: DataFrame, candidates: DataFrame, reader: Callable[[], Cal
                 got = None if px is None else model(int(h), int(w), px)
                 ok.append(got is not None)
                 lines.append([{"text": t, "conf": float(c), "box": dict(zip(("x1", "y1", "x2", "y2"), map(int, b), strict=True))} for t, c, b in got or ()])
-            yield pd.DataFrame({"video_id": pdf["video_id"], "event_id": pdf["event_id"], "attempt": pdf["attempt"], "frame": pdf["frame"], "readable": ok, "lines": lines})
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "readable": ok, "lines": lines})
 
-    return rows.select("video_id", "event_id", "attempt", "frame", "h", "w", "pixels").mapInPandas(run, f"video_id long, event_id long, attempt int, frame long, readable boolean, lines array<{LINE}>")
+    found = asked_frames(frames, candidates.select(*keys)).select(*keys, "h", "w", "pixels")
+    found = found.mapInPandas(run, f"video_id {kind}, event_id long, attempt int, frame long, readable boolean, lines array<{LINE}>")
+    rows = candidates.select(*keys).join(found, keys, "left")
+    return rows.select(*keys, F.coalesce("readable", F.lit(False)).alias("readable"), F.coalesce("lines", F.array().cast(f"array<{LINE}>")).alias("lines"))
 
 
 def keep_lines(reads: DataFrame, events: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -86,8 +92,10 @@ def assemble(reads: DataFrame) -> DataFrame:
 
 def text_style(subs: DataFrame, frames: DataFrame) -> DataFrame:
     """subs (video_id, event_id, frame, bbox, lines) with style, glyph_rect and mask (one byte a
-    pixel; null if the glyphs cannot be told from the picture)."""
-    rows = subs.join(frames.select("video_id", "frame", "h", "w", "pixels"), ["video_id", "frame"]).select("video_id", "event_id", "h", "w", "pixels", F.to_json("bbox").alias("b"), F.to_json(F.transform("lines", lambda x: x["box"])).alias("boxes"))
+    pixel; null if the glyphs cannot be told from the picture). Subtitles go to their frames, see
+    frame_index; one whose frame does not exist is left out."""
+    asks = subs.select("video_id", "frame", "event_id", F.to_json("bbox").alias("b"), F.to_json(F.transform("lines", lambda x: x["box"])).alias("boxes"))
+    rows = asked_frames(frames, asks).select("video_id", "event_id", "h", "w", "pixels", "b", "boxes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -103,7 +111,8 @@ def text_style(subs: DataFrame, frames: DataFrame) -> DataFrame:
                 out.append((r.video_id, r.event_id, list(fill), list(outline), rect, None if glyph is None else glyph.astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["video_id", "event_id", "fill", "outline", "glyph_rect", "mask"])
 
-    return rows.mapInPandas(run, f"video_id long, event_id long, fill array<int>, outline array<int>, glyph_rect {C.BOX}, mask binary")
+    kind = dict(subs.dtypes)["video_id"]
+    return rows.mapInPandas(run, f"video_id {kind}, event_id long, fill array<int>, outline array<int>, glyph_rect {C.BOX}, mask binary")
 
 
 def similarity(a: str, b: str) -> float:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
 from capspark.functions import pixels
+from capspark.operators.frame_index import asked_frames, frames_with
 from capspark.params import DEFAULTS, Params
 
 FRAME_BLOCK = 1024
@@ -208,38 +209,55 @@ def alpha_blend(px: DataFrame) -> DataFrame:
 
 def backgrounds(clean: DataFrame, plans: DataFrame, frames: DataFrame, quality: bool = False, has_text: Callable[[np.ndarray], bool] | None = None, p: Params = DEFAULTS) -> DataFrame:
     """video_id, event_id, median, static, ring (bytes) of the events whose clean frames tell enough.
-    plans: roi and mask. Frames are cut to the region before they move; an event has at most
-    clean_want patches."""
+    plans: roi and mask. Regions go to the frames (see frame_index) and only cut patches move, at
+    most clean_want for an event; masks meet them there."""
     spread = p.static_spread_quality if quality else p.static_spread_fast
-    ask = clean.join(plans.filter("mask is not null").select("video_id", "event_id", F.col("roi.x1"), F.col("roi.y1"), F.col("roi.x2"), F.col("roi.y2"), "mask"), ["video_id", "event_id"])
-    rows = frames.select("video_id", "frame", "h", "w", "pixels").join(ask, ["video_id", "frame"])
+    kind = dict(plans.dtypes)["video_id"]
     ints = ["x1", "y1", "x2", "y2"]
+    masked = plans.filter("mask is not null")
+    ask = clean.join(masked.select("video_id", "event_id", *[F.col(f"roi.{k}") for k in ints]), ["video_id", "event_id"])
 
     def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["patch"] = [pixels.image(r.pixels, r.h, r.w)[r.y1 : r.y2, r.x1 : r.x2].tobytes() for r in pdf.itertuples(index=False)]
-            yield pdf[["video_id", "event_id", *ints, "mask", "patch"]]
+            yield pdf[["video_id", "event_id", "patch"]]
 
-    patches = rows.select("video_id", "event_id", "h", "w", "pixels", *ints, "mask").mapInPandas(crop, "video_id long, event_id long, x1 int, y1 int, x2 int, y2 int, mask binary, patch binary")
+    rows = asked_frames(frames, ask).select("video_id", "event_id", "h", "w", "pixels", *ints)
+    patches = rows.mapInPandas(crop, f"video_id {kind}, event_id long, patch binary")
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
+    def make(got: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["video_id", "event_id", "median", "static", "ring"])
+        if plan.empty:
+            return none
+        r = plan.iloc[0]
         h, w = r.y2 - r.y1, r.x2 - r.x1
-        got = pixels.background([pixels.image(x, h, w) for x in pdf["patch"]], np.frombuffer(r["mask"], np.uint8).reshape(h, w).astype(bool), spread)
-        if got is None or has_text is not None and has_text(got[0]):
-            return pd.DataFrame(columns=["video_id", "event_id", "median", "static", "ring"])
-        return pd.DataFrame([(r.video_id, r.event_id, got[0].tobytes(), got[1].astype(np.uint8).tobytes(), got[2].astype(np.uint8).tobytes())], columns=["video_id", "event_id", "median", "static", "ring"])
+        back = pixels.background([pixels.image(x, h, w) for x in got["patch"]], np.frombuffer(r["mask"], np.uint8).reshape(h, w).astype(bool), spread)
+        if back is None or has_text is not None and has_text(back[0]):
+            return none
+        return pd.DataFrame([(r.video_id, r.event_id, back[0].tobytes(), back[1].astype(np.uint8).tobytes(), back[2].astype(np.uint8).tobytes())], columns=none.columns)
 
-    return patches.groupBy("video_id", "event_id").applyInPandas(make, "video_id long, event_id long, median binary, static binary, ring binary")
+    regions = masked.select("video_id", "event_id", "mask", *[F.col(f"roi.{k}") for k in ints])
+    of = ("video_id", "event_id")
+    return patches.groupBy(*of).cogroup(regions.groupBy(*of)).applyInPandas(make, f"video_id {kind}, event_id long, median binary, static binary, ring binary")
+
+
+def shown_stretches(events: DataFrame) -> DataFrame:
+    """video_id, event_id, lo, hi: the frames at which each event is the one of the last start and has
+    not ended; of equal starts the later end counts, then the larger id. They are disjoint."""
+    w = Window.partitionBy("video_id").orderBy("lo")
+    ev = events.groupBy("video_id", F.col("start").alias("lo")).agg(F.max(F.struct("end", "event_id")).alias("m"))
+    hi = F.least("m.end", F.coalesce(F.lead("lo").over(w) - 1, F.col("m.end")))
+    return ev.select("video_id", F.col("m.event_id").alias("event_id"), "lo", hi.alias("hi")).filter("hi >= lo")
 
 
 def composite(frames: DataFrame, events: DataFrame, plans: DataFrame, fill: Callable = pixels.neighbour_fill, p: Params = DEFAULTS) -> DataFrame:
     """frames with new pixels and failed. plans (video_id, event_id): roi, mask, median, static, ring,
     overlay (RGBA in the frame's channel order), overlay_x, overlay_y, overlay_h, overlay_w. A frame
-    on which the work fails stays as it was."""
-    at = event_at_frame(frames.select("video_id", "frame"), events).filter("event_id is not null")
-    plan = at.join(plans, ["video_id", "event_id"])
-    rows = frames.select("video_id", "frame", "h", "w", "pixels").join(plan, ["video_id", "frame"], "left")
+    on which the work fails stays as it was. A plan goes once to each block of frames that shows its
+    event; frames of a bucketed table do not move (see frame_index)."""
+    kind = dict(frames.dtypes)["video_id"]
+    shown = shown_stretches(events).join(plans, ["video_id", "event_id"])
+    rows = frames_with(frames, shown, [c for c in plans.columns if c not in ("video_id", "event_id")])
     rows = rows.select("*", F.col("roi.x1"), F.col("roi.y1"), F.col("roi.x2"), F.col("roi.y2")).drop("roi")
     known = lambda v: v is not None and v == v
 
@@ -270,4 +288,4 @@ def composite(frames: DataFrame, events: DataFrame, plans: DataFrame, fill: Call
                     failed.append(True)
             yield pd.DataFrame({"video_id": pdf["video_id"], "frame": pdf["frame"], "h": pdf["h"], "w": pdf["w"], "pixels": out, "failed": failed})
 
-    return rows.mapInPandas(run, "video_id long, frame long, h int, w int, pixels binary, failed boolean")
+    return rows.mapInPandas(run, f"video_id {kind}, frame long, h int, w int, pixels binary, failed boolean")

@@ -116,6 +116,25 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return table.select(*FRAMES)
 
 
+def write_frames(frames: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """frames as an external table at path, bucketed by video and block of frames, so that later joins
+    by frame leave its pixels where they are. Nothing is shuffled to write it: a task adds a file to
+    each bucket that it has frames of, so it is best written as it is decoded, a range of frames a task."""
+    from capspark.operators.frame_index import block_of
+
+    rows = frames.select(*FRAMES, block_of(F.col("frame")).alias("block"))
+    rows.write.bucketBy(buckets, "video_id", "block").option("path", path).mode("overwrite").format("parquet").saveAsTable(table)
+    return frames.sparkSession.table(table)
+
+
+def open_frames(spark: SparkSession, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """The table of write_frames, named anew in a session whose catalog does not know it."""
+    if not spark.catalog.tableExists(table):
+        cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY (video_id, block) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def ordered_frames(frames: DataFrame) -> DataFrame:
     """frames dealt by range and sorted, ready to be written in frame order of each video."""
     return frames.repartitionByRange("video_id", "frame").sortWithinPartitions("video_id", "frame")
