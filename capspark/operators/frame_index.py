@@ -60,3 +60,9 @@ def frames_with(frames: DataFrame, stretches: DataFrame, cols: list[str]) -> Dat
     same = (F.col("f.video_id") == F.col("s.video_id")) & (F.col("f.block") == F.col("s.block"))
     inside = (F.col("f.frame") >= F.col("s.__lo")) & (F.col("f.frame") <= F.col("s.__hi"))
     return rows.join(parts, same & inside, "left").select(*[F.col(f"f.{c}") for c in PIXELS], *[F.col(f"s.{c}") for c in cols])
+
+
+def frames_of(frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """The frames of videos (video_id, once each), which are sent to every task while they are few enough."""
+    ids = videos.select("video_id")
+    return frames.join(F.broadcast(ids) if _few(ids, BROADCAST_REQUESTS) else ids, "video_id", "left_semi")

@@ -115,6 +115,27 @@ def text_style(subs: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"video_id {kind}, event_id long, fill array<int>, outline array<int>, glyph_rect {C.BOX}, mask binary")
 
 
+def with_mask_keys(styles: DataFrame) -> DataFrame:
+    """styles of text_style with mask_key, the SHA-256 of the mask and its size; null without a mask."""
+    r = F.col("glyph_rect")
+    size = F.concat((r["y2"] - r["y1"]).cast("string"), F.lit("x"), (r["x2"] - r["x1"]).cast("string"), F.lit(":"))
+    return styles.withColumn("mask_key", F.sha2(F.concat(size.cast("binary"), F.col("mask")), 256))
+
+
+def mask_table(styles: DataFrame) -> DataFrame:
+    """video_id, mask_key, h, w, mask: each mask of a video once, by its content. styles: with_mask_keys()."""
+    r = F.col("glyph_rect")
+    rows = styles.filter("mask_key is not null").select("video_id", "mask_key", (r["y2"] - r["y1"]).alias("h"), (r["x2"] - r["x1"]).alias("w"), "mask")
+    return rows.dropDuplicates(["video_id", "mask_key"])
+
+
+def with_styles(subs: DataFrame, styles: DataFrame) -> DataFrame:
+    """subs with style (fill, outline, line_h), glyph_rect and mask_key; the masks stay in their table."""
+    s = styles.select("video_id", "event_id", "fill", "outline", "glyph_rect", "mask_key")
+    rows = subs.join(s, ["video_id", "event_id"], "left")
+    return rows.withColumn("style", F.struct("fill", "outline", "line_h")).drop("fill", "outline")
+
+
 def similarity(a: str, b: str) -> float:
     """The Ratcliff-Obershelp ratio; the order of the two matters."""
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()

@@ -113,10 +113,14 @@ def erase_masks(subs: DataFrame, glyph_masks: DataFrame) -> DataFrame:
     return rows.select("video_id", "event_id", "roi", erase(four("r"), four("g"), "lines", "glyph").alias("mask"))
 
 
-def overlay_plans(subs: DataFrame, glyph_masks: DataFrame, overlays: DataFrame) -> DataFrame:
-    """The plan of each subtitle for composite(): roi and mask of what is erased, and the rendered
-    overlay (video_id, event_id, overlay, overlay_x, overlay_y, overlay_h, overlay_w) where there is one."""
-    return erase_masks(erase_roi(subs), glyph_masks).join(overlays, ["video_id", "event_id"], "left")
+def overlay_plans(subs: DataFrame, glyph_masks: DataFrame, overlays: DataFrame, mode: str = "replace") -> DataFrame:
+    """The plan of each subtitle for composite(): roi and mask of what is erased (nothing in append
+    mode), and the rendered overlay (video_id, event_id, overlay, overlay_x, overlay_y, overlay_h,
+    overlay_w) where there is one."""
+    rows = erase_roi(subs)
+    if mode == "append":
+        rows = rows.withColumn("roi", F.lit(None).cast(C.BOX))
+    return erase_masks(rows, glyph_masks).join(overlays, ["video_id", "event_id"], "left")
 
 
 def clean_frames(subs: DataFrame, n_frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:

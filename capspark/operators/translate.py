@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
 from capspark.params import DEFAULTS, Params
+from capspark.sources.ledger import Ledger
 
 #: Name of a line with a speaker: 1 to 8 characters before an opening quote (a fixed value).
 SPEAKER = r"(?U)^([^「『\s]{1,8})[「『]"
@@ -122,42 +124,89 @@ def _lines(text: str) -> list[str]:
     return [x for x in (y.strip() for y in text.splitlines()) if x]
 
 
-def translate(subs: DataFrame, done: DataFrame, glossaries: DataFrame, langs: DataFrame, model: Callable[[], Callable[[str, float], str]], p: Params = DEFAULTS, template: str = TEMPLATE) -> DataFrame:
-    """video_id, event_id, zh of the pending rows by a user's model(prompt, temperature).
+def _answers(ask: Callable[[str, float], str], lines: list[str], past: list[str], names: str, order: str) -> list[str]:
+    """A text for each line: of a reply with as many lines, asked for twice, else line by line, each
+    with the same history; a line without an answer stays as it is."""
 
-    A batch needs the translations before it, so a video is one sequence; videos run side by side.
-    A reply with the wrong number of lines is asked for once more at a lower temperature, then line
-    by line, with the history of the batch; a line without an answer stays as it is.
-    """
-    rows = batches(pending(subs, done), p).join(glossaries, "video_id", "left").join(langs, "video_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, past, out = model(), [], []
-        pdf = pdf.sort_values("event_id")
-        names = pdf["glossary"].iloc[0] if isinstance(pdf["glossary"].iloc[0], str) else ""
-        order = template.replace("{lang}", "English" if pdf["lang"].iloc[0] == "en" else "Japanese")
-
-        def reply(lines: list[str], heat: float) -> list[str]:
-            parts = ["Before:\n" + "\n".join(past[-p.history :])] if past else []
-            parts += ["Names:\n" + names] if names else []
-            try:
-                return _lines(ask("\n\n".join([*parts, order, "\n".join(lines)]), heat))
-            except Exception:  # no answer: the next way is tried
-                return []
-
-        for _, group in pdf.groupby("batch", sort=True):
-            lines = list(group["line"])
-            got = reply(lines, 0.3)
-            if len(got) != len(lines):
-                got = reply(lines, 0.1)
-            if len(got) != len(lines):
-                got = [(reply([x], 0.1) or [x])[0] for x in lines]
-            past += got
-            out += zip(group["video_id"], group["event_id"], got, strict=True)
-        return pd.DataFrame(out, columns=["video_id", "event_id", "zh"])
+    def reply(some: list[str], heat: float) -> list[str]:
+        parts = ["Before:\n" + "\n".join(past)] if past else []
+        parts += ["Names:\n" + names] if names else []
+        try:
+            return _lines(ask("\n\n".join([*parts, order, "\n".join(some)]), heat))
+        except Exception:  # no answer: the next way is tried
+            return []
+
+    for heat in (0.3, 0.1):
+        if len(got := reply(lines, heat)) == len(lines):
+            return got
+    return [(reply([x], 0.1) or [x])[0] for x in lines]
+
+
+def ask_batches(rows: DataFrame, model: Callable[[], Callable[[str, float], str]], template: str = TEMPLATE) -> DataFrame:
+    """video_id, event_id, zh of batches that do not need each other: rows video_id, lines (array of
+    event_id, line, in order), history (array), glossary, lang. The model is made once for a task."""
+    kind = dict(rows.dtypes)["video_id"]
 
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = model()
+        for pdf in pdfs:
+            out = []
+            for r in pdf.itertuples(index=False):
+                order = template.replace("{lang}", "English" if r.lang == "en" else "Japanese")
+                past = [] if r.history is None else list(r.history)
+                got = _answers(ask, [x["line"] for x in r.lines], past, r.glossary if isinstance(r.glossary, str) else "", order)
+                out += [(r.video_id, x["event_id"], zh) for x, zh in zip(r.lines, got, strict=True)]
+            yield pd.DataFrame(out, columns=["video_id", "event_id", "zh"])
+
+    return rows.select("video_id", "lines", "history", "glossary", "lang").mapInPandas(run, f"video_id {kind}, event_id long, zh string")
+
+
+def translate(subs: DataFrame, done: DataFrame, glossaries: DataFrame, langs: DataFrame, model: Callable[[], Callable[[str, float], str]], ledger: Ledger, p: Params = DEFAULTS, template: str = TEMPLATE, tasks: int | None = None) -> DataFrame:
+    """video_id, event_id, zh of the pending rows by a user's model(prompt, temperature), which sees
+    the last translations before each batch.
+
+    Batch k of all videos is round k: its rows are read with the texts that round k - 1 has stored,
+    dealt evenly to tasks, and stored before the next one begins. A run that breaks keeps its rounds:
+    called again with the same ledger it goes on with the first round that is not committed, with
+    the batches and the history that it had, and asks nothing twice; a lost executor costs the
+    batches of its tasks in one round. History starts empty with a new ledger, whatever done holds.
+    A video needs as many rounds as it has batches; videos run side by side.
+    """
+    spark = subs.sparkSession
     kind = dict(subs.dtypes)["video_id"]
-    return rows.groupBy("video_id").applyInPandas(run, f"video_id {kind}, event_id long, zh string")
+    known = {r["stage"]: r["version"] for r in ledger.manifest().select("stage", "version").collect()}  # a row for each round
+    one = spark.createDataFrame([(None,)], f"video_id {kind}")
+    if "plan" not in known:
+        version = ledger.new_version()
+        rows = batches(pending(subs, done), p).join(glossaries, "video_id", "left").join(langs, "video_id", "left")
+        line = F.sort_array(F.collect_list(F.struct("pos", "event_id", "line"))).alias("lines")  # at most p.batch
+        ledger.put("plan", rows.groupBy("video_id", "batch").agg(line, F.max("glossary").alias("glossary"), F.max("lang").alias("lang")), version)
+        ledger.commit("plan", version, one)
+        known["plan"] = version
+    part = lambda table, v: spark.read.parquet(f"{ledger.root}/{table}/version={v}")
+    plan = part("plan", known["plan"])
+    last = plan.agg(F.max("batch")).head()[0]
+    rounds = 0 if last is None else last + 1
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    back = -(-p.history // p.batch)  # rounds that a history may come from; all but a video's last batch are full
+    found = []
+    for k in range(rounds):
+        stage = f"round {k}"
+        if stage not in known:
+            rows = plan.filter(F.col("batch") == k)
+            if found and p.history:
+                past = reduce(DataFrame.unionByName, found[-back:]).select("video_id", F.struct("event_id", "zh").alias("x"))
+                past = past.groupBy("video_id").agg(F.sort_array(F.collect_list("x")).alias("x"))  # at most back * p.batch
+                past = past.select("video_id", F.transform(F.slice("x", F.greatest(F.lit(1), F.size("x") - p.history + 1), F.lit(p.history)), lambda y: y["zh"]).alias("history"))
+                rows = rows.join(past, "video_id", "left")
+            else:
+                rows = rows.withColumn("history", F.lit(None).cast("array<string>"))
+            version = ledger.new_version()
+            ledger.put("rounds", ask_batches(rows.repartition(tasks), model, template), version)
+            ledger.commit(stage, version, one)
+            known[stage] = version
+        found.append(part("rounds", known[stage]))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"video_id {kind}, event_id long, zh string")
 
 
 def upsert(done: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
@@ -14,6 +14,8 @@ from capspark.params import DEFAULTS
 from capspark.plans import adapters as A
 from capspark.plans import workloads
 from capspark.sources import ingest
+from capspark.sources.ledger import Ledger
+from capspark.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -601,22 +603,45 @@ def trn12_coverage(spark, d):
     return translate.coverage(A.turns(spark, d), _done(spark, d))
 
 
-@query(
-    """select video_id, event_id, case when bare = '' then line else upper(replace(bare, 'ß', 'SS')) end as zh
-from (select video_id, event_id, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(12288)) as bare
-  from (select video_id, event_id, replace(text, chr(10), chr(12288)) as line from turns where (video_id + event_id) % 4 <> 0))""",
-    A.TURNS,
-)
+_ROUNDS = """
+sc as (select video_id // 20 as video_id, row_number() over (partition by video_id // 20 order by video_id, event_id) - 1 as event_id, replace(text, chr(10), chr(12288)) as line from turns),
+pd as (select *, row_number() over (partition by video_id order by event_id) - 1 as rn from sc where (video_id + event_id) % 4 <> 0),
+bt as (select video_id, event_id, line, length(line) as n, rn // 8 as batch, rn % 8 as pos, count(*) over w as c, min_by(length(line), rn) over w as n0 from pd window w as (partition by video_id, rn // 8)),
+ln as (select *, n % 11 = 0 and (c = 1 or n0 % 7 = 0) as raw from bt),
+sm as (select video_id, batch, sum(case when pos < 3 then 0 when raw then 1 else 3 * n end) as s, count(*) filter (where pos >= 3 and not raw) as m from ln group by 1, 2),
+hs as (select video_id, cast(0 as bigint) as batch, cast(0 as bigint) as h from sm where batch = 0
+  union all select hs.video_id, hs.batch + 1, cast((s + m * h) % 9973 as bigint) from hs join sm on sm.video_id = hs.video_id and sm.batch = hs.batch)
+"""
+
+
+@query("select ln.video_id, event_id, case when raw then line else n || ':' || h end as zh from ln join hs on hs.video_id = ln.video_id and hs.batch = ln.batch", A.TURNS, _ROUNDS)
 def trn10_translate(spark, d):
-    """With a model that answers each line in capitals (ß in Python's, as SS; the SQL says so itself)."""
-    t = A.turns(spark, d)
-    langs = translate.detect_lang(t)
-    none = t.select("video_id").distinct().withColumn("glossary", F.lit(""))
+    """With a model whose answer to a line is its length and a sum over the history, so that each
+    batch depends on all before it. It fails on some batches once, on some twice, and on some lines."""
+    t = A.turns(spark, d).withColumn("v", F.floor(F.col("video_id") / 20).cast("long"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("video_id", "event_id")) - 1
+    subs = t.select(F.col("v").alias("video_id"), place.cast("long").alias("event_id"), "text")
+    done = subs.filter((F.col("video_id") + F.col("event_id")) % 4 == 0).select("video_id", "event_id", F.lit("done").alias("zh"))
+    none = spark.createDataFrame([], "video_id long, glossary string")
 
     def model():
-        return lambda prompt, heat: prompt.rpartition("\n\n")[2].upper()
-
-    return translate.translate(t, _done(spark, d), none, langs, model)
+        def worth(x: str) -> int:
+            n, colon, h = x.partition(":")
+            return 3 * int(n) + int(h) if colon and n.isdigit() and h.isdigit() else 1
+
+        def ask(prompt: str, heat: float) -> str:
+            before, _, body = prompt.rpartition("ORDER\n\n")
+            lines = body.split("\n")
+            first = len(lines[0])
+            if first % 11 == 0 if len(lines) == 1 else first % 7 == 0 or first % 5 == 0 and heat > 0.2:
+                return ""
+            past = before.removeprefix("Before:\n").removesuffix("\n\n")
+            h = sum(map(worth, past.split("\n"))) % 9973 if past else 0
+            return "\n".join(f"{len(x)}:{h}" for x in lines)
+
+        return ask
+
+    return translate.translate(subs, done, none, translate.detect_lang(subs), model, Ledger(spark, new_folder(spark, "rounds")), template="ORDER")
 
 
 # Review and status

@@ -18,6 +18,7 @@ from capspark.functions import pixels
 from capspark.operators import detect, reads, render, segment, translate
 from capspark.plans import workloads
 from capspark.sources import ingest
+from capspark.sources.ledger import Ledger
 from capspark.streaming import live
 
 DIR = "/root/testdata/sf0.001"
@@ -248,7 +249,7 @@ def test_translate_falls_back(spark):
 
         return ask
 
-    out = translate.translate(subs, done, spark.createDataFrame([], "video_id long, glossary string"), translate.detect_lang(subs), model)
+    out = translate.translate(subs, done, spark.createDataFrame([], "video_id long, glossary string"), translate.detect_lang(subs), model, Ledger(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp")))
     got = {(r["video_id"], r["event_id"]): r["zh"] for r in out.collect()}
     want = {(1, i): f"[line {i}]" for i in range(1, 20)} | {(1, 10): "line 10", (2, 0): "solo"}
     assert got == want
