@@ -18,6 +18,9 @@ from capspark.llm.session import written
 WINDOW = 8
 MIN_COVERED = 0.5
 MIN_PLAIN = 3  # words of a window that are no placeholders; with fewer, all values must be equal
+#: Template words of an item that is searched for at least. A text of one or two words, "Yes" or "the
+#: answer", is in documents that have never seen the benchmark.
+LEAST_WORDS = 3
 #: Benchmark windows up to which they are sent to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
@@ -89,12 +92,20 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return rows.withColumn("strict", _strict()).withColumn("values", _values())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_covered: float = MIN_COVERED) -> DataFrame:
+def short_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """item_id and n_words of the items that matches() does not search for, with texts of one word to
+    fewer than least_words template words."""
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.size(template_words(F.col(text_col))).alias("n_words"))
+    return rows.filter((F.col("n_words") > 0) & (F.col("n_words") < least_words))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_covered: float = MIN_COVERED, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents that hold a benchmark item, one row for each: id_col, item_id, n_windows (of
     the item, found), covered (share of the item's words), exact (all placeholders have the item's
     own values).
 
     An item is found if at least min_covered of its words lie in windows whose placeholders agree.
+    Items of fewer than least_words template words are not searched for; short_items() lists them.
     Two values of the item may stand for one value in the document. A capital letter makes a word a
     name only after another word, and units are English ones, so a name that begins a sentence must
     be equal, and in German any noun may stand for any other. A text's work grows with its words,
@@ -102,7 +113,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     a null id is not reported. Items with equal texts are each reported. Empty tables give no rows.
     Other columns are left out, whatever their names.
     """
-    bench = written(benchmark_windows(benchmark, text_col="text", window=window), "windows")
+    bench = written(benchmark_windows(benchmark, text_col="text", window=window).filter(F.col("n") >= least_words), "windows")
     n = bench.count()
     keys = bench.select("size", "h", "item").distinct()
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys

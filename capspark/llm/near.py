@@ -10,7 +10,10 @@ grow faster than classes x orders x depths. Links are confirmed on whole shingle
 
 In a crowded region not all classes are candidates of each other. Where the links leave such a
 region in more than one component, its classes are completed by a prefix-filter join on whole sets,
-so that every pair that shares a region of the least depth is compared or ruled out exactly.
+so that every pair that shares a crowded region of the least depth is compared or ruled out by its
+sets alone. Two estimates remain, both arguments: a pair that shares no region is not seen, and a
+candidate of the forest whose signatures are far below the threshold (slack) is not compared. With
+exact, all classes are completed as one region and neither matters.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ NEIGHBOURS = 3
 #: Classes with candidates (24 bytes each) up to which the places of their texts are sent to every
 #: task, so that only their texts are shuffled; with more, all texts are shuffled once.
 BROADCAST_IDS = 2_000_000
-#: How far below the threshold a signature may estimate a pair that is still compared: 4 to 6
-#: standard deviations of the share of VALUES equal minima.
+#: How far below the threshold a signature may estimate a candidate of the forest that is still
+#: compared: 4 to 6 standard deviations of the share of VALUES equal minima. None compares all.
 SLACK = 0.25
 
 
@@ -78,7 +81,7 @@ def regions(classes: DataFrame, trees: int = TREES, depths: tuple[int, ...] = DE
     return written(rows.join(sizes, ["tree", "depth", "key"]), "regions")
 
 
-def candidates(classes: DataFrame, rows: DataFrame, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def candidates(classes: DataFrame, rows: DataFrame, trees: int = TREES, depths: tuple[int, ...] = DEPTHS, neighbours: int = NEIGHBOURS, large: int = LARGE) -> DataFrame:
     """classes: rep, sig; rows: their regions. Returns distinct pairs (a < b) that the forest puts
     together: all of a region of the least depth, unless it is crowded."""
     label = _labels(trees)
@@ -88,22 +91,22 @@ def candidates(classes: DataFrame, rows: DataFrame, trees: int = TREES, depths:
     star = weighed.join(centres, ["tree", "depth", "key"]).select("rep", (-F.col("m.r")).alias("other"))
 
     of_order = Window.partitionBy("rep", "tree")  # a row for each depth
-    entered = F.coalesce(F.min(F.when(F.col("c") <= LARGE, F.col("depth"))).over(of_order), F.max("depth").over(of_order))
+    entered = F.coalesce(F.min(F.when(F.col("c") <= large, F.col("depth"))).over(of_order), F.max("depth").over(of_order))
     chosen = rows.withColumn("at", entered).filter("depth = at").join(classes.select("rep", "sig"), "rep").withColumn("label", label(F.col("tree"), F.lit(depths[-1])))
     order = Window.partitionBy("tree", "depth", "key").orderBy("label", "rep")
-    after = chosen.select("rep", F.array(*[F.lead("rep", k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("o")).select("rep", F.explode("o").alias("other")).filter("other is not null")
+    after = chosen.select("rep", F.array(*[F.lead("rep", k).over(order) for k in range(1, neighbours + 1)]).alias("o")).select("rep", F.explode("o").alias("other")).filter("other is not null")
     pairs = star.unionByName(after).filter("rep <> other")
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def crowded(rows: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def crowded(rows: DataFrame, depths: tuple[int, ...] = DEPTHS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """rep, tree, key of the regions of the least depth in which not all pairs are candidates."""
-    return rows.filter((F.col("depth") == depths[0]) & (F.col("c") > NEIGHBOURS + 1)).select("rep", "tree", "key")
+    return rows.filter((F.col("depth") == depths[0]) & (F.col("c") > neighbours + 1)).select("rep", "tree", "key")
 
 
-def _completion(crowd: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _completion(crowd: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """The pairs (a < b) of classes in crowded regions, not in one component of near, that may be
-    similar enough: a prefix-filter join, exact on whole sets.
+    similar enough: a prefix-filter join, exact on whole sets. None if no region has two components.
 
     Shingles have one order: those that only one component holds, then the rarer ones. Two sets
     whose first common shingle has fewer shingles behind it, in either, than a link needs in common
@@ -112,6 +115,8 @@ def _completion(crowd: DataFrame, near: DataFrame, sets: DataFrame, percent: int
     member = crowd.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = member.groupBy("tree", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tree", "key")
     apart = written(member.join(mixed, ["tree", "key"], "left_semi").select("rep", "root").distinct(), "apart")
+    if apart.isEmpty():
+        return None
     own = sets.join(apart, "rep").select("rep", "root", "n", F.explode("shingles").alias("shingle"))
     common = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle", "c")
     order = F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("order")
@@ -149,7 +154,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}")), side)
     common = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.withColumn("both", common).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
+    sized = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    links = sized.withColumn("both", common).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
     return links.select("a", "b")
 
 
@@ -171,13 +177,27 @@ def _of_one_id(signed: DataFrame, reps: DataFrame) -> DataFrame:
     return member.join(first, "id").filter("a < rep").select("a", F.col("rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    trees: int = TREES,
+    depths: tuple[int, ...] = DEPTHS,
+    neighbours: int = NEIGHBOURS,
+    large: int = LARGE,
+    slack: float | None = SLACK,
+    exact: bool = False,
+) -> DataFrame:
     """For every row: id_col, n_shingles, component_id (the smallest id reachable over links of
     Jaccard similarity of at least threshold, in whole hundredths), kept (id_col is component_id).
 
     Whole sets are compared in three rounds: each class with its hub, then the candidate pairs whose
     ends are not yet in one component, which no further link could change, then those that the
-    completion of crowded regions finds between components.
+    completion of crowded regions finds between components. trees orders are read to depths, a class
+    meets that many neighbours in a region of at most large classes, and slack bounds what signatures
+    may rule out (see the top of this module). exact completes all classes, not crowded regions
+    alone: every link is found, whatever the other arguments.
 
     Shingles are five words of the lower-cased (A-Z) text. Fewer words are one shingle; no words or
     a null text link with nothing. Equal sets always link. Rows that share an id are one document:
@@ -196,10 +216,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     classes = signed.join(reps, ["id", "n", "d1", "d2"]).dropDuplicates(["rep"])
     classes = written(classes.select("rep", "id", "of", "n", "sig"), "classes")
 
-    rows = regions(classes)
-    crowd = crowded(rows)
-    least = int((threshold - SLACK) * VALUES)
-    pairs = _agreeing(candidates(classes, rows), classes, percent, least)
+    rows = regions(classes, trees, depths)
+    crowd = classes.select("rep", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("key")) if exact else crowded(rows, depths, neighbours)
+    least = 0 if slack is None else int((threshold - slack) * VALUES)
+    pairs = _agreeing(candidates(classes, rows, trees, depths, neighbours, large), classes, percent, least)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct()
     ask = written(classes.select("rep", "id", "of").join(asked, "rep", "left_semi"), "ask")
@@ -214,9 +234,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     apart = pairs.join(root_a, "a", "left").join(root_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     links = links.unionByName(written(_confirmed(apart.select("a", "b"), sets, percent), "links"))
     near = written(components(links), "near")
-    more = _agreeing(_completion(crowd, near, sets, percent), classes, percent, least)
-    more = written(_confirmed(more.select("a", "b"), sets, percent), "links")
-    near = written(components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)), "near")
+    more = _completion(crowd, near, sets, percent)
+    if more is not None and not (more := written(_confirmed(more, sets, percent), "links")).isEmpty():
+        near = written(components(near.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)), "near")
 
     own = reps.select("rep", F.col("id").alias("least"))
     rest = near.join(own, near["id"] == own["rep"]).groupBy("root").agg(F.min("least").alias("rest"))  # of each but the root itself
@@ -235,10 +255,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_duplicates does not keep; of rows that share an id one stays,
-    or none, and rows with a null id stay. All columns stay as they are."""
+    the one whose text has the smallest hash (of equal texts whose whole row has), or none, and rows
+    with a null id stay. All columns stay as they are."""
     found = written(near_duplicates(docs, threshold, id_col, text_col), "near")
     gone = found.filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    if found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+    twice = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1")
+    if twice.isEmpty():
         return out
-    return out.filter(F.col(id_col).isNull()).unionByName(out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    place = F.struct(F.xxhash64(text_col).alias("t"), F.xxhash64(F.to_json(F.struct(*docs.columns))).alias("r"))
+    ranked = out.withColumn("__place", place)
+    first = ranked.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("__place").alias("__first"))
+    one = ranked.join(first, (F.col(id_col) == F.col("__id")) & (F.col("__place") == F.col("__first"))).dropDuplicates([id_col])  # equal rows
+    return out.filter(F.col(id_col).isNull()).unionByName(one.select(*docs.columns))

@@ -4,31 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capspark.sources.shared import shared_dir
+
 #: Bytes of one Arrow batch to Python, so that long texts do not meet in one batch of 10,000 rows.
 ARROW_BYTES = 4 << 20
 
 _written: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only on one machine where
-    that is unset. Anywhere else a machine's own folder would be lost on the others."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"

@@ -354,12 +354,20 @@ def test_decontamination_equals_loops(spark, seed):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     every = df.select("text").unionByName(bench.select("text")).distinct()
     template = {r["text"]: r["w"] for r in every.select("text", decontamination.template_words(F.col("text")).alias("w")).collect()}
-    got = {(r["doc_id"], r["item_id"], r["n_windows"], round(r["covered"], 9), r["exact"]) for r in decontamination.matches(df, bench).collect()}
+    got = {(r["doc_id"], r["item_id"], r["n_windows"], round(r["covered"], 9), r["exact"]) for r in decontamination.matches(df, bench, least_words=1).collect()}
     want = plain_matches(docs, items, template)
     assert got == want
     assert len(want) > 20 and {e for *_, e in want} == {True, False}
 
 
+def test_items_of_a_word_or_two_are_not_searched_for(spark):
+    df = spark.createDataFrame([(1, "Yes it is the case"), (2, "no one knows the answer to it"), (3, "the answer is seven")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Yes"), (2, "the"), (3, "the answer"), (4, "the answer is"), (5, None), (6, "")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.matches(df, bench).collect()] == [(3, 4)]
+    assert {(r["item_id"], r["n_words"]) for r in decontamination.short_items(bench).collect()} == {(1, 1), (2, 1), (3, 2)}
+    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(df, bench).collect()) == [1, 2]
+
+
 def test_decontamination_plan_is_native(spark):
     plan = decontamination.matches(texts(spark), spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -452,6 +460,36 @@ def test_near_duplicates_compare_each_text_of_an_id(spark):
     assert sorted(r["doc_id"] or -1 for r in near.drop_near_duplicates(docs).collect()) == [-1, 12, 40]
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_exact_links_need_no_region(spark, threshold):
+    rng = random.Random(11)
+    rows = []
+    for g in range(25):  # pairs around the threshold; one tree of one great depth sees next to none of them
+        base = [f"g{g}w{i}" for i in range(240)]
+        for cuts in (0, 3, 4, 5, 6):
+            copy = list(base)
+            for at in rng.sample(range(2, 230, 6), cuts):
+                copy[at] = f"e{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_components(rows, round(100 * threshold))
+    assert 25 < len({c for _, c in want.values()}) < len(rows)
+    found = [{r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df, threshold, trees=1, depths=(22,), slack=0.0, exact=e).collect()} for e in (True, False)]
+    assert found[0] == want != found[1]
+
+
+def test_of_one_id_the_same_row_stays_whatever_the_order(spark):
+    rng = random.Random(4)
+    rows = [(i % 7, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)), f"s{i % 3}") for i in range(40)]
+    rows += [(3, rows[3][1], "other"), (3, rows[3][1], "other"), (None, "a b c", "x"), (None, "a b c", "x"), (5, None, "x")]
+    kept = []
+    for parts in (1, 3, 8):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept.append(sorted(map(str, near.drop_near_duplicates(df).collect())))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 9
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["id"]: r["root"] for r in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
