@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
 from capspark.functions import pixels
+from capspark.operators.block_fold import blocked_fold
 from capspark.operators.frame_index import asked_frames
-from capspark.operators.segment import with_chains
 from capspark.params import DEFAULTS, Params
+from capspark.sources.shared import written
 
 LINE = f"struct<text:string,conf:double,box:{C.BOX}>"
 
@@ -164,45 +165,66 @@ def _renumber(subs: DataFrame) -> DataFrame:
     return subs.withColumn("event_id", (F.row_number().over(Window.partitionBy("video_id").orderBy("start", "end")) - 1).cast("long"))
 
 
-def merge_same_text(subs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+#: Subtitles of a chain that are folded together.
+SUBTITLES = 128
+
+
+def merge_same_text(subs: DataFrame, p: Params = DEFAULTS, block: int = SUBTITLES) -> DataFrame:
     """Neighbours (video_id, start, end, text, conf, and any columns of content) with a gap of
     0..text_gap and texts alike become one: content as a whole from the surer side, the earlier of
-    equals; the end is the later one's. Chains are cut by gap. Direct neighbours are compared first,
-    evenly dealt; a fold over the chain then compares only where a merged subtitle has kept an
-    earlier content."""
-    w = Window.partitionBy("video_id").orderBy("start", "end")
-    chained = with_chains(subs, 0, p.text_gap).withColumn("row", F.row_number().over(w))
-    n = Window.partitionBy("video_id", "chain")
-    chained = chained.withColumn("__n", F.count("*").over(n))
-    many = chained.filter("__n > 1").select("video_id", "chain", "row", "start", "end", "text", "conf")
+    equals; the end is the later one's. Of equal places the surer, then the smaller text's hash is
+    first. Chains are cut by gap. Direct neighbours are compared first, evenly dealt; a fold over
+    blocks of a chain (see block_fold) then compares only where a merged subtitle has kept an earlier
+    content. Texts are joined to the blocks; the windows see places alone."""
+    subs = written(subs.withColumn("__id", F.monotonically_increasing_id()), "subtitles")
+    places = subs.select("video_id", "__id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("conf").cast("double").alias("conf"), F.xxhash64("text").alias("__hash"))
+    order = ["start", "end", F.desc("conf"), "__hash", "__id"]
+    w = Window.partitionBy("video_id").orderBy(*order)
+    gap = F.col("start") - F.lag("end").over(w)
+    places = places.withColumns({"__gap": gap, "row": F.row_number().over(w).cast("long")})
+    places = places.withColumn("chain", F.sum(F.coalesce(~F.col("__gap").between(0, p.text_gap), F.lit(True)).cast("int")).over(Window.partitionBy("video_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    of_chain = Window.partitionBy("video_id", "chain")
+    places = places.withColumns({"__n": F.count("*").over(of_chain), "__at": F.row_number().over(of_chain.orderBy("row"))})
+    places = written(places.withColumn("blk", F.floor((F.col("__at") - 1) / block).cast("long")).drop("__gap", "__at", "__hash"), "places")
+    texts = subs.select("__id", "text")
+    many = places.filter("__n > 1").select("video_id", "chain", "blk", "row", "conf", "__id").join(texts, "__id").drop("__id")
 
     @F.pandas_udf("boolean")
     def like(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([alike(a, b, p.text_ratio) for a, b in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([alike(a or "", b or "", p.text_ratio) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     key = ["video_id", "chain", "row"]
     before = many.select("video_id", "chain", (F.col("row") + 1).alias("row"), F.col("text").alias("__before"))
     next_to = many.select(*key, "text").join(before, key).select(*key, like("__before", "text").alias("like"))
     many = many.join(next_to, key, "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []  # start, end, row of the content, text, conf
-        for r in pdf.sort_values("row").itertuples(index=False):
-            if kept:
-                k = kept[-1]
-                if 0 <= r.start - k[1] <= p.text_gap and (r.like if k[2] == r.row - 1 else alike(k[3], r.text, p.text_ratio)):
-                    k[1] = r.end
-                    if r.conf > k[4]:
-                        k[2:] = [r.row, r.text, r.conf]
-                    continue
-            kept.append([r.start, r.end, r.row, r.text, r.conf])
-        return pd.DataFrame([(pdf["video_id"].iloc[0], s, e, i) for s, e, i, *_ in kept], columns=["video_id", "new_start", "new_end", "row"])
-
-    kind = dict(subs.dtypes)["video_id"]
-    folded = many.groupBy("video_id", "chain").applyInPandas(fold, f"video_id {kind}, new_start long, new_end long, row int")
-    alone = chained.filter("__n = 1").select("video_id", F.col("start").cast("long").alias("new_start"), F.col("end").cast("long").alias("new_end"), "row")
-    out = chained.join(folded.unionByName(alone), ["video_id", "row"])
-    return _renumber(out.drop("start", "end", "chain", "row", "__n").withColumnRenamed("new_start", "start").withColumnRenamed("new_end", "end"))
+    kept_text = places.select("video_id", F.col("row").alias("e_kept"), "__id").join(texts.withColumnRenamed("text", "e_text"), "__id").drop("__id")
+
+    def add_up(over: Window) -> dict:
+        m = F.max(F.struct("best", (-F.col("kept")).alias("r"))).over(over)
+        return {"kept": -m["r"], "best": m["best"]}
+
+    def fold(pdf: pd.DataFrame, _) -> list[tuple]:
+        out, state, own = [], None, None  # row, text and confidence of the content that is kept
+        for r in pdf.itertuples(index=False):
+            row, text = int(r.row), r.text or ""
+            if state is None and not pd.isna(r.e_kept):
+                state = (int(r.e_kept), r.e_text or "", r.e_best)
+            cut = state is not None and not (r.like if state[0] == row - 1 else alike(state[1], text, p.text_ratio))
+            new = (row, text, r.conf)
+            own = new if cut or own is None or new[2] > own[2] else own
+            state = new if cut or state is None or new[2] > state[2] else state
+            out.append((row, bool(cut), own[0], own[2]))
+        return out
+
+    enter = lambda handed: handed.join(kept_text, ["video_id", "e_kept"], "left")
+    cuts = blocked_fold(many, places, ["video_id", "chain"], "row", {"kept": "long", "best": "double"}, add_up, fold, enter)
+    rows = places.join(cuts, ["video_id", "chain", "row"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)).cast("int"))
+    rows = rows.withColumn("sub", F.sum("cut").over(of_chain.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.max(F.struct(F.coalesce("conf", F.lit(float("-inf"))).alias("c"), (-F.col("row")).alias("r"), "__id")).alias("m")
+    merged = rows.groupBy("video_id", "chain", "sub").agg(F.min("start").alias("start"), F.max_by("end", "row").alias("end"), first)
+    content = subs.drop("video_id", "start", "end")
+    out = merged.select("video_id", "start", "end", F.col("m.__id").alias("__id")).join(content, "__id").drop("__id")
+    return _renumber(out.select(*[c for c in subs.columns if c != "__id"]))
 
 
 def merge_equal_text(subs: DataFrame, p: Params = DEFAULTS) -> DataFrame:

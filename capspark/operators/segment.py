@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
+from capspark.operators.block_fold import blocked_fold
 from capspark.params import DEFAULTS, Params
 
 
@@ -71,57 +70,67 @@ def _join(a: tuple, b: tuple) -> tuple:
     return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Fold each group's rows in order: start(row) makes a state, step(state, row) gives the next
-    state and finished states; finish(state) makes the output row. Groups are chains that were cut
-    before, so they stay short."""
+def _runs_of_cuts(rows: DataFrame) -> DataFrame:
+    """rows (video_id, island, frame, f: the frame before in the island, prev_empty, bbox, cut) as runs."""
+    w = _video("island")
+    rows = rows.withColumn("sub", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("video_id", "island", "sub").agg(
+        F.min("frame").alias("first_s"),
+        F.max("frame").alias("last_s"),
+        F.min(F.when(F.col("sub") == 0, F.col("prev_empty"))).alias("prev_empty"),
+        F.min(F.when(F.col("cut"), F.col("f"))).alias("split_from"),
+        C.union_box_agg(F.col("bbox")).alias("bbox"),
+    ).drop("island", "sub")
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, done = None, []
-        for row in pdf.sort_values(order).itertuples(index=False):
-            if state is None:
-                state = start(row)
-            else:
-                state, closed = step(state, row)
-                done += closed
-        if state is not None:
-            done.append(state)
-        return pd.DataFrame([finish(s) for s in done])
+#: Samples of an island, and events of a chain, that are folded together.
+SAMPLES, EVENTS = 2048, 64
+_BOX = {"x1": "int", "y1": "int", "x2": "int", "y2": "int"}
 
-    return df.groupBy(*keys).applyInPandas(fold, schema)
 
+def _grown(w: Window) -> dict:
+    return {k: (F.min if k in ("x1", "y1") else F.max)(k).over(w) for k in _BOX}
 
-def split_runs(samples: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+
+def split_runs(samples: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params = DEFAULTS, block: int = SAMPLES) -> DataFrame:
     """Runs of one picture: inside an island a run ends where the next sample differs, within the
     box of the whole run so far, by same_thresh or more. video_id, first_s, last_s, prev_empty (of
     an island's first run), split_from, bbox. Islands that cannot split, of one sample, do not go
-    to Python."""
+    to Python; others go in blocks of samples, so a video that is one island is folded on many tasks
+    (see block_fold). Only narrow rows are put in order by windows."""
     px = "px" if "px" in thumbs.columns else "pixels"
     rows = with_islands(samples.withColumn("bbox", C.union_box(F.col("boxes"))) if "bbox" not in samples.columns else samples)
-    rows = rows.select("video_id", "frame", "island", "prev_empty", "bbox").withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "island")))
-    schema = f"video_id long, first_s long, last_s long, prev_empty long, split_from long, bbox {C.BOX}"
-    single = rows.filter("__n = 1").select("video_id", F.col("frame").cast("long").alias("first_s"), F.col("frame").cast("long").alias("last_s"), F.col("prev_empty").cast("long"), F.lit(None).cast("long").alias("split_from"), "bbox")
+    w = _video("island")
+    rows = rows.select("video_id", F.col("frame").cast("long").alias("frame"), "island", F.col("prev_empty").cast("long").alias("prev_empty"), "bbox")
+    rows = rows.withColumn("f", F.lag("frame").over(w)).withColumn("blk", F.floor((F.row_number().over(w) - 1) / block).cast("long"))
+    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "island")))
     g = geo.select("video_id", "crop_y", "thumb_w", "thumb_h")
-    many = rows.filter("__n > 1").join(thumbs.select("video_id", "frame", F.col(px).alias("px")), ["video_id", "frame"]).join(g, "video_id").select("video_id", "island", "frame", "prev_empty", F.col("bbox.x1"), F.col("bbox.y1"), F.col("bbox.x2"), F.col("bbox.y2"), "px", "crop_y", "thumb_w", "thumb_h")
-
-    def pixels(r) -> np.ndarray:
-        return np.frombuffer(r.px, np.uint8) if isinstance(r.px, bytes) else np.asarray(r.px)
-
-    def start(r):
-        return {"v": r.video_id, "a": r.frame, "z": r.frame, "px": pixels(r), "b": (r.x1, r.y1, r.x2, r.y2), "e": r.prev_empty, "s": None}
-
-    def step(s, r):
-        own = (r.x1, r.y1, r.x2, r.y2)
-        both, px = _join(s["b"], own), pixels(r)
-        if _diff(s["px"], px, r.thumb_w, _rect(both, r.crop_y, r.thumb_w, r.thumb_h, p.thumb_scale)) < p.same_thresh:
-            return s | {"z": r.frame, "px": px, "b": both}, []
-        return {"v": r.video_id, "a": r.frame, "z": r.frame, "px": px, "b": own, "e": None, "s": s["z"]}, [s]
-
-    def finish(s):
-        e = s["e"]
-        return {"video_id": s["v"], "first_s": s["a"], "last_s": s["z"], "prev_empty": None if e is None or e != e else int(e), "split_from": s["s"], "bbox": dict(zip(("x1", "y1", "x2", "y2"), map(int, s["b"]), strict=True))}
-
-    return single.unionByName(ordered_fold(many, ["video_id", "island"], ["frame"], start, step, finish, schema))
+    t = thumbs.select("video_id", F.col("frame").cast("long").alias("frame"), F.col(px).alias("px"))
+    many = rows.filter("__n > 1")
+    starts = many.filter("blk > 0").groupBy("video_id", "island", "blk").agg(F.min("frame").alias("frame"), F.min("f").alias("f"))
+    before = starts.join(t.select("video_id", F.col("frame").alias("f"), F.col("px").alias("before")), ["video_id", "f"]).drop("f")
+    many = many.join(t, ["video_id", "frame"]).join(g, "video_id").select("video_id", "island", "blk", "frame", "bbox.*", "px", "crop_y", "thumb_w", "thumb_h")
+    many = many.join(before, ["video_id", "island", "blk", "frame"], "left")
+    pixels = lambda v: np.frombuffer(v, np.uint8) if isinstance(v, bytes) else np.asarray(v)
+
+    def fold(pdf: pd.DataFrame, _) -> list[tuple]:
+        out, state, own, last = [], None, None, None
+        for r in pdf.itertuples(index=False):
+            now, box = pixels(r.px), (int(r.x1), int(r.y1), int(r.x2), int(r.y2))
+            if last is None and not pd.isna(r.e_x1):
+                state, last = (int(r.e_x1), int(r.e_y1), int(r.e_x2), int(r.e_y2)), pixels(r.before)
+            cut = False
+            if state is not None:
+                both = _join(state, box)
+                cut = _diff(last, now, r.thumb_w, _rect(both, r.crop_y, r.thumb_w, r.thumb_h, p.thumb_scale)) >= p.same_thresh
+            own = box if cut or own is None else _join(own, box)
+            state, last = box if cut or state is None else both, now
+            out.append((r.frame, cut, *own))
+        return out
+
+    cuts = blocked_fold(many, rows.filter("__n > 1"), ["video_id", "island"], "frame", _BOX, _grown, fold)
+    cut = rows.join(cuts, ["video_id", "island", "frame"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    return _runs_of_cuts(cut)
 
 
 def split_runs_pairwise(samples: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -135,14 +144,7 @@ def split_runs_pairwise(samples: DataFrame, thumbs: DataFrame, geo: DataFrame, p
     d = region_diff(ask, thumbs).select("video_id", F.col("g").alias("frame"), "d")
     rows = rows.join(d, ["video_id", "frame"], "left")
     cut = F.coalesce(F.col("d") >= p.same_thresh, F.lit(False))
-    rows = rows.withColumn("cut", cut).withColumn("sub", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("video_id", "island", "sub").agg(
-        F.min("frame").alias("first_s"),
-        F.max("frame").alias("last_s"),
-        F.min(F.when(F.col("sub") == 0, F.col("prev_empty"))).alias("prev_empty"),
-        F.min(F.when(F.col("cut"), F.col("f"))).alias("split_from"),
-        C.union_box_agg(F.col("bbox")).alias("bbox"),
-    ).drop("island", "sub")
+    return _runs_of_cuts(rows.withColumn("cut", cut))
 
 
 def snap(asks: DataFrame, thumbs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -183,46 +185,54 @@ def with_chains(events: DataFrame, low: int, high: int) -> DataFrame:
     return events.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
 
 
-def merge_flicker(events: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def merge_flicker(events: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params = DEFAULTS, block: int = EVENTS) -> DataFrame:
     """Neighbours with a gap of 0..merge_gap_frames whose middle frames look alike become one event.
-    A merged event's middle moves, so a chain is folded in order; its candidate middle frames are
-    those of its stretches. Events alone in their chain do not go to Python."""
+    A merged event's middle moves, so a chain is folded in order, in blocks of events (see
+    block_fold). A block asks for the middle frames of its own stretches and of those that begin
+    with the event it is handed, block * (block + 3) / 2 at most. Events alone in their chain do not
+    go to Python."""
     px = "px" if "px" in thumbs.columns else "pixels"
-    of_chain = Window.partitionBy("video_id", "chain")
-    n = F.count("*").over(of_chain)
-    rows = with_chains(events.select("video_id", "start", "end", "bbox"), 0, p.merge_gap_frames).withColumn("__n", n)
-    rows = rows.withColumn("__lo", F.min("start").over(of_chain)).withColumn("__hi", F.max("end").over(of_chain))
-    alone = rows.filter("__n = 1").select("video_id", "start", "end", "bbox")
-    many = rows.filter("__n > 1")
-    # A merge joins a stretch of the chain: its middle is that of the first start and a later end. Of
-    # chains with more stretches than frames all frames come, so this grows with the frames at most.
-    few = F.col("__n") * (F.col("__n") + 1) / 2 <= F.col("__hi") - F.col("__lo") + 1
-    some = many.filter(few)
-    stretch = some.select("video_id", "chain", "start").join(some.select("video_id", "chain", F.col("end").alias("e")), ["video_id", "chain"]).filter("e >= start")
-    mids = stretch.select("video_id", "chain", F.floor((F.col("start") + F.col("e")) / 2).alias("frame")).distinct()
-    whole = many.filter(~few).select("video_id", "chain", "__lo", "__hi").distinct()
-    mids = mids.unionByName(whole.select("video_id", "chain", F.explode(F.sequence("__lo", "__hi")).alias("frame")))
-    got = mids.join(thumbs.select("video_id", "frame", F.col(px).alias("px")), ["video_id", "frame"]).select(F.col("video_id").alias("v"), F.col("chain").alias("c"), "frame", "px")
+    t = thumbs.select("video_id", F.col("frame").cast("long").alias("frame"), F.col(px).alias("px"))
+    rows = with_chains(events.select("video_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "bbox"), 0, p.merge_gap_frames)
+    w = Window.partitionBy("video_id", "chain").orderBy("start", "end", "bbox")
+    rows = rows.withColumn("row", F.row_number().over(w).cast("long")).withColumn("before", F.lag("end").over(w))
+    rows = rows.withColumn("blk", F.floor((F.col("row") - 1) / block).cast("long")).withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "chain")))
     g = geo.select("video_id", "crop_y", "thumb_w", "thumb_h")
-    many = many.join(g, "video_id").select("video_id", "chain", "start", "end", F.col("bbox.x1"), F.col("bbox.y1"), F.col("bbox.x2"), F.col("bbox.y2"), "crop_y", "thumb_w", "thumb_h")
-
-    def fold(ev: pd.DataFrame, th: pd.DataFrame) -> pd.DataFrame:
-        px = {f: np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.asarray(x) for f, x in zip(th["frame"], th["px"], strict=True)}
-        kept: list[list] = []
-        for r in ev.sort_values(["start", "end"]).itertuples(index=False):
-            own = (r.x1, r.y1, r.x2, r.y2)
-            if kept:
-                k = kept[-1]
-                both = _join(k[2], own)
-                a, b = px.get((k[0] + k[1]) // 2), px.get((r.start + r.end) // 2)
-                if a is not None and b is not None and 0 <= r.start - k[1] <= p.merge_gap_frames and _diff(a, b, r.thumb_w, _rect(both, r.crop_y, r.thumb_w, r.thumb_h, p.thumb_scale)) < p.same_thresh:
-                    k[1], k[2] = r.end, both
-                    continue
-            kept.append([r.start, r.end, own])
-        return pd.DataFrame([{"video_id": ev["video_id"].iloc[0], "start": s, "end": e, "bbox": dict(zip(("x1", "y1", "x2", "y2"), map(int, b), strict=True))} for s, e, b in kept])
-
-    merged = many.groupBy("video_id", "chain").cogroup(got.groupBy("v", "c")).applyInPandas(fold, f"video_id long, start long, end long, bbox {C.BOX}")
-    return alone.unionByName(merged)
+    many = rows.filter("__n > 1").join(g, "video_id").select("video_id", "chain", "blk", "row", "start", "end", "before", "bbox.*", "crop_y", "thumb_w", "thumb_h")
+    at = ["video_id", "chain", "blk"]
+    state = {"start": "long", **_BOX}
+
+    def add_up(over: Window) -> dict:
+        return {"start": F.first("start").over(over), **_grown(over)}
+
+    def middles(part: DataFrame) -> DataFrame:
+        """The thumbnails that a block may compare."""
+        ends = part.select(*at, F.explode(F.array("end", "before")).alias("z")).filter("z is not null")
+        begins = part.select(*at, F.explode(F.array("start", "e_start")).alias("a")).filter("a is not null").distinct()
+        mids = begins.join(ends.distinct(), at).filter("a <= z").select(*at, F.floor((F.col("a") + F.col("z")) / 2).alias("frame")).distinct()
+        return mids.join(t, ["video_id", "frame"]).select(*at, "frame", "px")
+
+    def fold(pdf: pd.DataFrame, side: pd.DataFrame) -> list[tuple]:
+        px = {f: np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.asarray(x) for f, x in zip(side["frame"], side["px"], strict=True)}
+        out, event, own = [], None, None  # event: start, end and box so far
+        for r in pdf.itertuples(index=False):
+            start, end, box = int(r.start), int(r.end), (int(r.x1), int(r.y1), int(r.x2), int(r.y2))
+            if event is None and not pd.isna(r.e_start):
+                event = (int(r.e_start), int(r.before), (int(r.e_x1), int(r.e_y1), int(r.e_x2), int(r.e_y2)))
+            cut = False
+            if event is not None:
+                both = _join(event[2], box)
+                a, b = px.get((event[0] + event[1]) // 2), px.get((start + end) // 2)
+                cut = a is None or b is None or _diff(a, b, r.thumb_w, _rect(both, r.crop_y, r.thumb_w, r.thumb_h, p.thumb_scale)) >= p.same_thresh
+            own = (start, box) if cut or own is None else (own[0], _join(own[1], box))
+            event = (start, end, box) if cut or event is None else (event[0], end, both)
+            out.append((r.row, cut, own[0], *own[1]))
+        return out
+
+    cuts = blocked_fold(many, rows, ["video_id", "chain"], "row", state, add_up, fold, side=middles)
+    merged = rows.join(cuts, ["video_id", "chain", "row"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)).cast("int"))
+    merged = merged.withColumn("event", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return merged.groupBy("video_id", "chain", "event").agg(F.min("start").alias("start"), F.max_by("end", "row").alias("end"), C.union_box_agg(F.col("bbox")).alias("bbox")).drop("chain", "event")
 
 
 def merge_by_gap(events: DataFrame, max_gap: int = DEFAULTS.merge_gap_frames) -> DataFrame:
