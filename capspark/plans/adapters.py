@@ -130,15 +130,16 @@ rlines as (select video_id, event_id, attempt, readable, frame, text, pos, ((con
 
 
 def subtitles(spark: SparkSession, d: str) -> DataFrame:
-    """video_id, event_id, start, end, text, conf from documents, by language."""
-    order = Window.partitionBy("lang").orderBy("n_chars", "text", "doc_id")
+    """video_id, event_id, start, end, text, conf from documents, by language and rough length."""
+    video = F.concat("lang", F.lit("-"), F.floor(F.col("n_chars") / 64).cast("string"))
+    order = Window.partitionBy(video).orderBy("n_chars", "text", "doc_id")
     n, gap = F.col("n_chars") % 50 + 5, F.col("doc_id") % 15
     to = F.sum(n + gap).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "documents").select(F.col("lang").alias("video_id"), (F.row_number().over(order) - 1).cast("long").alias("event_id"), (to - n).cast("long").alias("start"), (to - 1).cast("long").alias("end"), "text", (F.col("doc_id") * 13 % 100 / F.lit(100.0)).alias("conf"))
+    return table(spark, d, "documents").select(video.alias("video_id"), (F.row_number().over(order) - 1).cast("long").alias("event_id"), (to - n).cast("long").alias("start"), (to - 1).cast("long").alias("end"), "text", (F.col("doc_id") * 13 % 100 / F.lit(100.0)).alias("conf"))
 
 
 SUBTITLES = """
-sb0 as (select lang as video_id, n_chars % 50 + 5 as n, doc_id % 15 as gap, n_chars, text, doc_id from documents),
+sb0 as (select lang || '-' || (n_chars // 64) as video_id, n_chars % 50 + 5 as n, doc_id % 15 as gap, n_chars, text, doc_id from documents),
 sb1 as (select *, row_number() over (partition by video_id order by n_chars, text, doc_id) - 1 as id,
   sum(n + gap) over (partition by video_id order by n_chars, text, doc_id rows unbounded preceding) as upto from sb0),
 subtitles as (select video_id, cast(id as bigint) as event_id, cast(upto - n as bigint) as start, cast(upto - 1 as bigint) as "end", text, (doc_id * 13 % 100) / 100.0::double as conf from sb1)

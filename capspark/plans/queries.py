@@ -490,13 +490,13 @@ def trn2_pending(spark, d):
 
 
 _NAMES = """
-nm as (select video_id, name, min(event_id) as first from (select video_id % 3 as video_id, event_id, regexp_extract(text, '^([^「『\\s]{1,8})[「『]', 1) as name from speakers) where name <> '' group by 1, 2),
+nm as (select video_id, name, min(event_id) as first from (select video_id // 8 as video_id, event_id, regexp_extract(text, '^([^「『\\s]{1,8})[「『]', 1) as name from speakers) where name <> '' group by 1, 2),
 names as (select video_id, name, cast(row_number() over (partition by video_id order by first, name) as int) as ord from nm qualify row_number() over (partition by video_id order by first, name) <= 20)
 """
 
 
 def _names(spark, d):
-    return translate.speaker_names(A.speakers(spark, d).withColumn("video_id", F.col("video_id") % 3))
+    return translate.speaker_names(A.speakers(spark, d).withColumn("video_id", F.floor(F.col("video_id") / 8).cast("long")))
 
 
 @query("select video_id, name, ord from names", A.SPEAKERS, _NAMES)
@@ -513,12 +513,12 @@ def trn4_glossary(spark, d):
 
 _BATCHES = """
 bt as (select video_id, event_id, (rn - 1) // 8 as batch, cast((rn - 1) % 8 as int) as pos, replace(text, chr(10), chr(12288)) as line, 'zh ' || event_id as zh
-  from (select *, row_number() over (partition by video_id order by event_id) as rn from (select video_id % 7 as video_id, (video_id // 7) * 1000 + event_id as event_id, text from turns)))
+  from (select *, row_number() over (partition by video_id order by event_id) as rn from (select video_id // 10 as video_id, (video_id % 10) * 1000 + event_id as event_id, text from turns)))
 """
 
 
 def _batches(spark, d):
-    t = A.turns(spark, d).select((F.col("video_id") % 7).alias("video_id"), (F.floor(F.col("video_id") / 7) * 1000 + F.col("event_id")).alias("event_id"), "text")
+    t = A.turns(spark, d).select(F.floor(F.col("video_id") / 10).cast("long").alias("video_id"), (F.col("video_id") % 10 * 1000 + F.col("event_id")).alias("event_id"), "text")
     return translate.batches(t)
 
 
