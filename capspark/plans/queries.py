@@ -104,6 +104,19 @@ def src9_ordered_frames(spark, d):
     return ingest.frame_audit(ingest.ordered_frames(A.asof_frames(spark, d)))
 
 
+@query(
+    """select video_id, count(*) as n, min(frame) as first_frame, max(frame) as last_frame, cast(coalesce(sum(case when step > 1 then step - 1 end), 0) as bigint) as gaps,
+  count(case when step = 0 then 1 end) as repeats, true as in_order
+from (select *, frame - lag(frame) over (partition by video_id order by frame) as step from lookups) group by 1""",
+    A.ASOF,
+)
+def src9_files_in_order(spark, d):
+    """Written in order, and audited from the files alone."""
+    path = new_folder(spark, "ordered")
+    ingest.ordered_frames(A.asof_frames(spark, d)).write.parquet(path)
+    return ingest.files_audit(ingest.frame_files(spark, path)).drop("n_files")
+
+
 # Detection
 
 

@@ -135,9 +135,11 @@ def open_frames(spark: SparkSession, table: str, path: str, buckets: int = 200)
     return spark.table(table)
 
 
-def ordered_frames(frames: DataFrame) -> DataFrame:
-    """frames dealt by range and sorted, ready to be written in frame order of each video."""
-    return frames.repartitionByRange("video_id", "frame").sortWithinPartitions("video_id", "frame")
+def ordered_frames(frames: DataFrame, files: int | None = None) -> DataFrame:
+    """frames dealt by range, into as many files as Spark or the caller thinks right, and sorted, ready
+    to be written in frame order of each video."""
+    by = ("video_id", "frame")
+    return (frames.repartitionByRange(files, *by) if files else frames.repartitionByRange(*by)).sortWithinPartitions(*by)
 
 
 def frame_audit(frames: DataFrame) -> DataFrame:
@@ -151,3 +153,39 @@ def frame_audit(frames: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("step") > 1, F.col("step") - 1)), F.lit(0)).cast("long").alias("gaps"),
         F.count(F.when(F.col("step") == 0, 1)).alias("repeats"),
     )
+
+
+def frame_files(spark: SparkSession, path: str) -> DataFrame:
+    """What the files of written frames hold, read back from them by file and row: file, video_id, n,
+    first_frame, last_frame, gaps, repeats, and disorder, the rows that do not come after the row
+    before them. No pixels are read; a window sees the narrow rows of one file."""
+    rows = spark.read.parquet(path).select("video_id", "frame", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    w = Window.partitionBy("file").orderBy("row")
+    here, before = F.struct("video_id", "frame"), F.lag(F.struct("video_id", "frame")).over(w)
+    step = F.when(F.lag("video_id").over(w) == F.col("video_id"), F.col("frame") - F.lag("frame").over(w))
+    rows = rows.select("file", "video_id", "frame", F.coalesce(here < before, F.lit(False)).cast("long").alias("back"), step.alias("step"))
+    return rows.groupBy("file", "video_id").agg(
+        F.count("*").alias("n"),
+        F.min("frame").alias("first_frame"),
+        F.max("frame").alias("last_frame"),
+        F.coalesce(F.sum(F.when(F.col("step") > 1, F.col("step") - 1)), F.lit(0)).cast("long").alias("gaps"),
+        F.count(F.when(F.col("step") == 0, 1)).alias("repeats"),
+        F.sum("back").alias("disorder"),
+    )
+
+
+def files_audit(files: DataFrame) -> DataFrame:
+    """Per video, over its files (frame_files) in the order of their first frames: n_files, n,
+    first_frame, last_frame, gaps, repeats, and in_order: no row and no file comes too early."""
+    w = Window.partitionBy("video_id").orderBy("first_frame", "last_frame", "file")
+    step = F.col("first_frame") - F.lag("last_frame").over(w)
+    rows = files.withColumn("step", step)
+    return rows.groupBy("video_id").agg(
+        F.count("*").alias("n_files"),
+        F.sum("n").alias("n"),
+        F.min("first_frame").alias("first_frame"),
+        F.max("last_frame").alias("last_frame"),
+        (F.sum("gaps") + F.coalesce(F.sum(F.when(F.col("step") > 1, F.col("step") - 1)), F.lit(0))).cast("long").alias("gaps"),
+        (F.sum("repeats") + F.count(F.when(F.col("step") == 0, 1))).alias("repeats"),
+        ((F.sum("disorder") == 0) & (F.count(F.when(F.col("step") < 0, 1)) == 0)).alias("in_order"),
+    )

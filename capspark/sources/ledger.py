@@ -62,3 +62,10 @@ class Ledger:
         rows = self.spark.read.parquet(f"{self.root}/{table}")
         wanted = committed.select("video_id", F.col("version").cast(dict(rows.dtypes)["version"]).alias("version"))
         return rows.join(wanted, ["video_id", "version"], "left_semi").drop("version")
+
+    def parts(self, table: str, versions: list[int], schema: str) -> DataFrame:
+        """Rows of table in these versions (one for each batch or round) with their version."""
+        if not versions:
+            return self.spark.createDataFrame([], f"{schema}, version long")
+        rows = self.spark.read.schema(f"{schema}, version long").option("basePath", f"{self.root}/{table}")
+        return rows.parquet(*[f"{self.root}/{table}/version={v}" for v in versions])

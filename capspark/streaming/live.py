@@ -5,7 +5,7 @@ Rows behind the watermark are dropped by Spark and counted in its progress (numR
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from capspark.functions import columns as C
 from capspark.operators import detect, review
 from capspark.operators.segment import _diff, _join, _rect
-from capspark.operators.translate import upsert
 from capspark.params import DEFAULTS, Params
+from capspark.sources.ledger import Ledger
 
 
 def stream_samples(frames: DataFrame, geo: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -98,16 +98,59 @@ def stream_dedupe_jobs(requests: DataFrame, late: str = "1 hour") -> DataFrame:
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_key"])
 
 
-def upsert_batch(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on new translations (video_id, event_id, zh, version): the newest of a batch
-    goes over what read() has, and write(table, batch_id) stores it. A batch that comes again gives
-    the same table."""
+_TEXT = "video_id long, event_id long, zh string"
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("video_id", "event_id").agg(F.max(F.struct("version", "zh")).alias("m")).select("video_id", "event_id", F.col("m.zh").alias("zh"))
-        write(upsert(read(), newest), batch_id)
 
-    return run
+class Upserts:
+    """Translations that a stream brings (video_id, event_id, zh, version), kept in a ledger.
+
+    A micro-batch is stored first and committed with its number afterwards. A number that is
+    committed already, because the stream has died after that, is skipped when it comes again; one
+    that was stored only is stored anew, and its older part is never read. So each batch counts
+    once, whenever the stream breaks and goes on from its checkpoint.
+    """
+
+    def __init__(self, ledger: Ledger):
+        self.ledger = ledger
+
+    def _versions(self) -> tuple[int, dict[int, int]]:
+        """The batch up to which all is in one part (-1: none such), and the parts to read by batch."""
+        rows = self.ledger.manifest().select("stage", "version").collect()  # a row for each batch since the last compaction
+        bases = {int(s.split()[1]): v for s, v in rows if s.startswith("upto ")}
+        base = max(bases, default=-1)
+        parts = {int(s.split()[1]): v for s, v in rows if s.startswith("batch ")}
+        return base, {k: v for k, v in parts.items() if k > base} | ({base: bases[base]} if bases else {})
+
+    def table(self) -> DataFrame:
+        """video_id, event_id, zh: the newest of each; a later batch goes over an earlier one."""
+        _, parts = self._versions()
+        order = F.create_map(*[F.lit(x) for k, v in parts.items() for x in (v, k)])[F.col("version")] if parts else F.lit(0)
+        rows = self.ledger.parts("upserts", list(parts.values()), _TEXT)
+        return rows.groupBy("video_id", "event_id").agg(F.max(F.struct(order.alias("k"), "zh")).alias("m")).select("video_id", "event_id", F.col("m.zh").alias("zh"))
+
+    def _store(self, rows: DataFrame, stage: str) -> None:
+        version = self.ledger.new_version()
+        self.ledger.put("upserts", rows, version)
+        self.ledger.commit(stage, version, rows.sparkSession.createDataFrame([(None,)], "video_id long"))
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """For foreachBatch."""
+        base, parts = self._versions()
+        if batch_id <= base or batch_id in parts:
+            return
+        newest = batch.groupBy("video_id", "event_id").agg(F.max(F.struct("version", "zh")).alias("m"))
+        self._store(newest.select("video_id", "event_id", F.col("m.zh").alias("zh")), f"batch {batch_id}")
+
+    def compact(self) -> None:
+        """All committed batches as one part; they are read no more."""
+        _, parts = self._versions()
+        if parts:
+            self._store(self.table(), f"upto {max(parts)}")
+
+
+def stream_upserts(updates: DataFrame, ledger: Ledger, checkpoint: str):
+    """A query, not yet started, that keeps updates (video_id, event_id, zh, version) in the ledger."""
+    return updates.writeStream.foreachBatch(Upserts(ledger).add).option("checkpointLocation", checkpoint)
 
 
 def stream_status(status: DataFrame) -> DataFrame:

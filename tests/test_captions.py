@@ -436,12 +436,6 @@ def test_streams_equal_batch(spark):
     boxed = ev.withColumn("boxes", F.array(C.box(F.lit(0), F.lit(0), F.lit(50), F.lit(20))))
     rows_of = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert rows_of(stream(spark, boxed, lambda s: live.stream_samples(s, geo))) == rows_of(live.stream_samples(boxed, geo)) != []
-    store = {"t": spark.createDataFrame([(1, 1, "old")], "video_id long, event_id long, zh string")}
-    run = live.upsert_batch(lambda: store["t"], lambda t, _: store.update(t=spark.createDataFrame(t.collect(), t.schema)))
-    batch = spark.createDataFrame([(1, 1, "new", 2), (1, 1, "mid", 1), (2, 1, "x", 1)], "video_id long, event_id long, zh string, version long")
-    run(batch, 0)
-    run(batch, 0)
-    assert sorted(tuple(r) for r in store["t"].collect()) == [(1, 1, "new"), (2, 1, "x")]
 
 
 def test_stream_sessions_and_runs_equal_batch(spark):
