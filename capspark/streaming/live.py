@@ -1,6 +1,7 @@
 """Live forms of the jobs: the same results as the batch operators, from streams.
 
-Rows behind the watermark are dropped by Spark and counted in its progress (numRowsDroppedByWatermark).
+Rows behind the watermark are dropped; stream_runs counts them by video, for the others Spark's progress
+has their number (numRowsDroppedByWatermark).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from capspark.functions import columns as C
 from capspark.operators import detect, review
@@ -33,64 +34,110 @@ def stream_sessions(samples: DataFrame, step_sec: float, late: str = "10 seconds
     return out.select("video_id", "first_s", "last_s", "bbox")
 
 
-_RUN = f"video_id long, first_s long, last_s long, split_from long, bbox {C.BOX}"
+_RUN = f"video_id long, first_s long, last_s long, split_from long, bbox {C.BOX}, late long"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_runs(samples: DataFrame, step: int, crop_y: int, tw: int, th: int, late: str = "10 seconds", idle_ms: int = 60_000, p: Params = DEFAULTS) -> DataFrame:
-    """Runs of one picture with the batch fold: samples (video_id, ts, frame, x1, y1, x2, y2 or null,
-    pixels). Rows wait until the watermark has passed them and are then folded in order of time;
-    idle_ms of event time without a row ends the last run. The state of a video is its open run
-    and the rows that wait."""
-    rows = samples.withWatermark("ts", late).select("video_id", F.col("ts"), (F.col("ts").cast("double") * 1000).cast("long").alias("ms"), "frame", "x1", "y1", "x2", "y2", "pixels")
-    state = "ms array<long>, frame array<long>, box array<array<int>>, px array<binary>, first_s long, last_s long, split_from long, run array<int>, run_px binary"
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, run = [], None
-        if st.exists:
-            ms, frame, box, px, a, z, s, b, rpx = st.get
-            waiting = list(zip(ms, frame, map(tuple, box), px, strict=True))
-            run = None if b is None else [a, z, s, tuple(b), rpx]
-        for pdf in pdfs:
+class _Runs(StatefulProcessor):
+    """The fold of one video's samples. Waiting samples are a map by their time, so that a batch writes
+    its own rows alone; each time has a timer, and samples are folded when it expires. The open run
+    is one small value."""
+
+    def __init__(self, step: int, crop_y: int, tw: int, th: int, idle_ms: int, p: Params):
+        self.step, self.grid, self.tw, self.idle_ms, self.p = step, (crop_y, tw, th, p.thumb_scale), tw, idle_ms, p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "frame array<long>, box array<array<int>>, px array<binary>")
+        self.run = handle.getValueState("run", "first_s long, last_s long, split_from long, box array<int>, px binary, ms long")
+
+    @staticmethod
+    def _out(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["video_id", "first_s", "last_s", "split_from", "bbox", "late"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark, late = timerValues.getCurrentWatermarkInMs(), 0
+        new: dict[int, tuple[list, list, list]] = {}
+        for pdf in rows:
             for r in pdf.itertuples(index=False):
-                box = () if pd.isna(r.x1) else tuple(int(v) for v in (r.x1, r.y1, r.x2, r.y2))
-                waiting.append((int(r.ms), int(r.frame), box, r.pixels))
-        mark = st.getCurrentWatermarkMs()
-        ready = sorted(w for w in waiting if w[0] <= mark)
-        waiting = [w for w in waiting if w[0] > mark]
-        idle = st.hasTimedOut and not ready and not waiting
-        out = []
+                if r.ms <= mark:
+                    late += 1
+                    continue
+                at = new.setdefault(int(r.ms), ([], [], []))
+                at[0].append(int(r.frame))
+                at[1].append([] if pd.isna(r.x1) else [int(v) for v in (r.x1, r.y1, r.x2, r.y2)])
+                at[2].append(r.pixels)
+        for ms, at in new.items():
+            if self.waiting.containsKey((ms,)):
+                at = tuple([*had, *more] for had, more in zip(self.waiting.getValue((ms,)), at, strict=True))
+            self.waiting.updateValue((ms,), at)
+            self.handle.registerTimer(ms)
+        if late:
+            yield self._out([(key[0], None, None, None, None, late)])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        had = self.run.get() if self.run.exists() else None
+        run = None if had is None else [*had[:3], tuple(had[3]), had[4], had[5]]
 
         def close() -> None:
             if run is not None:
-                out.append((key[0], run[0], run[1], run[2], dict(zip(("x1", "y1", "x2", "y2"), run[3], strict=True))))
+                out.append((key[0], run[0], run[1], run[2], dict(zip(("x1", "y1", "x2", "y2"), run[3], strict=True)), None))
 
+        ready = []
+        if self.waiting.containsKey((now,)):
+            ready = sorted(zip(*self.waiting.getValue((now,)), strict=True), key=lambda x: x[0])
+            self.waiting.removeKey((now,))
+        elif run is not None and run[5] + self.idle_ms <= now:
+            close()
+            run = None
         pixels = lambda d: np.frombuffer(d, np.uint8)
-        for _, frame, box, px in ready:
-            if run is not None and (not box or frame - run[1] > step):
+        for frame, box, px in ready:
+            box = tuple(box)
+            if run is not None and (not box or frame - run[1] > self.step):
                 close()
                 run = None
             if not box:
                 continue
             if run is None:
-                run = [frame, frame, None, box, px]
+                run = [frame, frame, None, box, px, now]
                 continue
             both = _join(run[3], box)
-            if _diff(pixels(run[4]), pixels(px), tw, _rect(both, crop_y, tw, th, p.thumb_scale)) < p.same_thresh:
-                run[1], run[3], run[4] = frame, both, px
+            if _diff(pixels(run[4]), pixels(px), self.tw, _rect(both, *self.grid)) < self.p.same_thresh:
+                run[1], run[3:] = frame, [both, px, now]
             else:
                 close()
-                run = [frame, frame, run[1], box, px]
-        if idle:
-            close()
-            st.remove()
+                run = [frame, frame, run[1], box, px, now]
+        if run is None:
+            self.run.clear()
         else:
-            a, z, s, b, rpx = run or (None,) * 5
-            st.update(([w[0] for w in waiting], [w[1] for w in waiting], [list(w[2]) for w in waiting], [w[3] for w in waiting], a, z, s, None if b is None else list(b), rpx))
-            until = min(w[0] for w in waiting) + 1 if waiting else max(mark, ready[-1][0] if ready else 0) + idle_ms
-            st.setTimeoutTimestamp(max(until, mark + 1))
-        yield pd.DataFrame(out, columns=["video_id", "first_s", "last_s", "split_from", "bbox"])
+            self.run.update((*run[:3], list(run[3]), run[4], run[5]))
+            if run[5] == now:
+                self.handle.registerTimer(now + self.idle_ms)
+        if out:
+            yield self._out(out)
+
+
+def stream_runs(samples: DataFrame, step: int, crop_y: int, tw: int, th: int, late: str = "10 seconds", idle_ms: int = 60_000, p: Params = DEFAULTS) -> DataFrame:
+    """Runs of one picture with the batch fold: samples (video_id, ts, frame, x1, y1, x2, y2 or null,
+    pixels). Rows wait until the watermark has passed them and are then folded in order of time;
+    idle_ms of event time without a row ends the last run. A row behind the watermark is counted in
+    its video: it gives a row whose late is the number of such rows of a batch, all else null. See
+    closed_runs and late_rows. Needs Spark's RocksDB state store, which this sets for the session."""
+    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    # Without the event-time column Spark keeps late rows, so that they can be counted.
+    rows = samples.withWatermark("ts", late).select("video_id", F.unix_millis("ts").alias("ms"), "frame", "x1", "y1", "x2", "y2", "pixels")
+    return rows.groupBy("video_id").transformWithStateInPandas(_Runs(step, crop_y, tw, th, idle_ms, p), _RUN, "append", "EventTime")
+
+
+def closed_runs(out: DataFrame) -> DataFrame:
+    """The runs that stream_runs has given."""
+    return out.filter("late is null").drop("late")
+
 
-    return rows.groupBy("video_id").applyInPandasWithState(fold, _RUN, state, "append", GroupStateTimeout.EventTimeTimeout)
+def late_rows(out: DataFrame) -> DataFrame:
+    """video_id, late: how many rows of each video came behind the watermark."""
+    return out.filter("late is not null").groupBy("video_id").agg(F.sum("late").alias("late"))
 
 
 def stream_dedupe_jobs(requests: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -452,4 +452,5 @@ def test_stream_sessions_and_runs_equal_batch(spark):
     pick = lambda df: sorted((r["video_id"], r["first_s"], r["last_s"], tuple(r["bbox"])) for r in df.collect() if r["first_s"] < 2000)
     assert pick(sessions) == pick(batch)
     runs = stream(spark, live_rows, lambda s: live.stream_runs(s, 3, 0, 4, 4, "20 seconds"), then=last)
-    assert pick(runs) == pick(segment.split_runs(spark.createDataFrame(samples, BOXED), thumbs, geo))
+    assert live.late_rows(runs).count() == 0
+    assert pick(live.closed_runs(runs)) == pick(segment.split_runs(spark.createDataFrame(samples, BOXED), thumbs, geo))

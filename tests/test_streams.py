@@ -99,3 +99,45 @@ def test_a_retried_task_writes_its_frames_once():
     """
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(script)], capture_output=True, text=True, timeout=180, check=False)
     assert "[(1, 300, 0, 299, 0, 0, True)]" in done.stdout and "RuntimeError: lost" in done.stderr, done.stderr[-2000:]
+
+
+SAMPLE = "video_id long, ts timestamp, frame long, x1 int, y1 int, x2 int, y2 int, pixels binary"
+
+
+def files_in_order(spark, path, batches):
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(v, f, *(b or (None,) * 4), bytes([level] * 16)) for v, f, b, level in rows], "video_id long, frame long, x1 int, y1 int, x2 int, y2 int, pixels binary")
+        df = df.select("video_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame") * F.lit(0.1)).alias("ts"), "frame", "x1", "y1", "x2", "y2", "pixels")
+        df.coalesce(1).write.mode("append").parquet(f"{path}/in/{i}")
+        for name in os.listdir(f"{path}/in/{i}"):
+            os.utime(f"{path}/in/{i}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    return lambda: spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+
+
+def test_late_rows_are_counted_by_video_and_a_restart_loses_nothing(spark):
+    box, path = (0, 0, 16, 16), folder()
+    batches = [
+        [(1, 0, box, 50), (1, 6, box, 50), (2, 0, box, 90)],
+        [(1, 3, box, 50), (1, 400, None, 0)],  # out of order, but in time
+        [(1, 9, box, 50), (2, 3, box, 90), (2, 6, box, 90), (1, 403, box, 70)],  # three are late
+        [(1, 406, box, 200), (1, 12, None, 0), (2, 900, box, 10)],  # one more
+        [(7, 9000, None, 0)],
+        [(7, 9001, None, 0)],
+    ]
+    source = files_in_order(spark, path, batches)
+
+    def run(limit=None):
+        out = live.stream_runs(source(), 3, 0, 4, 4, "20 seconds", idle_ms=5000)
+        q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+
+    for name in ("4", "5"):  # the stream ends, and goes on when these files come
+        os.rename(f"{path}/in/{name}", f"{path}/{name}")
+    run()
+    for name in ("4", "5"):
+        os.rename(f"{path}/{name}", f"{path}/in/{name}")
+    run()
+    out = spark.read.parquet(f"{path}/out")
+    assert sorted(tuple(r) for r in live.late_rows(out).collect()) == [(1, 2), (2, 2)]
+    got = sorted((r["video_id"], r["first_s"], r["last_s"], r["split_from"]) for r in live.closed_runs(out).collect())
+    assert got == [(1, 0, 6, None), (1, 403, 403, None), (1, 406, 406, 403), (2, 0, 0, None), (2, 900, 900, None)]
