@@ -128,22 +128,37 @@ def clean_frames(subs: DataFrame, n_frames: DataFrame, p: Params = DEFAULTS) ->
     event. From clean_margin frames outside it, a probe that finds text moves one frame on, a hit
     moves clean_stride; clean_steps probes in all; the end of the video ends a side.
 
-    By built-ins: stretches of frames with text are merged, so that the next free frame in a
-    direction is one as-of lookup away; a side needs two of them, whatever the probes.
+    By built-ins: stretches of frames with text are merged, and each knows the few around it, so that
+    one as-of lookup of a side's first probe has all that both its frames depend on.
     """
     ev = subs.join(n_frames.select("video_id", "n_frames"), "video_id")
     rows = ev.select("video_id", F.col("event_id").alias("owner"), "n_frames", "start", "end", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
     base = F.when(F.col("side") < 0, F.col("start") - p.clean_margin).otherwise(F.col("end") + p.clean_margin)
-    rows = rows.select("video_id", "owner", "n_frames", "side", base.alias("frame"), base.alias("base"))
-    covered = covered_stretches(subs)
-    steps = F.abs(F.col("free") - F.col("base"))
-    inside = (F.col("free") >= 0) & (F.col("free") < F.col("n_frames"))
-    one = next_free(rows, covered).withColumn("k1", steps).filter(inside & (F.col("k1") < p.clean_steps))
-    # probes: k1 + 1 to the first hit, then one for each frame from the stride on
-    two = next_free(one.withColumn("frame", F.col("free") + F.col("side") * p.clean_stride).drop("free"), covered)
-    two = two.filter(inside & (F.col("k1") + 1 + steps - F.col("k1") - p.clean_stride + 1 <= p.clean_steps))
-    cols = ["video_id", F.col("owner").alias("event_id"), F.col("free").alias("frame")]
-    return one.select(*cols).unionByName(two.select(*cols))
+    rows = rows.select("video_id", "owner", "n_frames", "side", base.alias("frame"))
+
+    covered = covered_stretches(subs).select("video_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    first = covered.select("video_id").distinct().select("video_id", F.lit(-(1 << 60)).alias("start"), F.lit(-(1 << 60) - 1).alias("end"))
+    w = Window.partitionBy("video_id").orderBy("start")
+    reach = (p.clean_stride + 1) // 2  # stretches have a frame and one between them, so no more begin within a stride
+    one = F.struct("start", "end")
+    around = F.array(*[f(one, k).over(w) for f in (F.lag, F.lead) for k in range(1, reach + 1)], one)
+    marks = covered.unionByName(first).select("video_id", "start", "end", F.filter(around, lambda x: x.isNotNull()).alias("event_id"))
+    rows = _last_start(rows, marks).withColumn("near", F.col("now.id")).drop("now")
+
+    def probed(rows: DataFrame, probe: str, free: str) -> DataFrame:
+        at = F.get(F.filter("near", lambda x: (x["start"] <= F.col(probe)) & (x["end"] >= F.col(probe))), F.lit(0))
+        beyond = F.when(F.col("side") < 0, at["start"] - 1).otherwise(at["end"] + 1)
+        return rows.withColumn(free, F.coalesce(beyond, F.col(probe)))
+
+    rows = probed(rows, "frame", "one").withColumn("again", F.col("one") + F.col("side") * p.clean_stride)
+    rows = probed(rows, "again", "two")
+    inside = lambda f: (F.col(f) >= 0) & (F.col(f) < F.col("n_frames"))
+    steps = lambda f: F.abs(F.col(f) - F.col("frame"))
+    hit = inside("one") & (steps("one") < p.clean_steps)
+    # probes: those to the first hit, then one for each frame from the stride on
+    both = hit & inside("two") & (steps("two") - p.clean_stride + 2 <= p.clean_steps)
+    found = F.when(both, F.array("one", "two")).when(hit, F.array("one"))
+    return rows.select("video_id", F.col("owner").alias("event_id"), F.explode(found).alias("frame"))
 
 
 def covered_stretches(events: DataFrame) -> DataFrame:
@@ -157,15 +172,6 @@ def covered_stretches(events: DataFrame) -> DataFrame:
     return ev.groupBy("video_id", "event_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def next_free(rows: DataFrame, covered: DataFrame) -> DataFrame:
-    """rows (video_id, frame, side) with free: the frame itself, or the first beyond the stretch that
-    covers it, before it (side -1) or after it (side 1)."""
-    by_start = covered.select("video_id", F.struct("start", "end").alias("event_id"), "start", "end")
-    at, on = event_at_frame(rows, by_start), F.col("event_id")
-    free = F.when(on.isNull(), F.col("frame")).when(F.col("side") < 0, on["start"] - 1).otherwise(on["end"] + 1)
-    return at.withColumn("free", free).drop("event_id")
-
-
 def frame_requests(clean: DataFrame) -> DataFrame:
     """video_id, frame, n_plans, first_event, plans: which frames are needed, and by which events of
     two or more. An event is near the frames it asks for, so few ask for one."""
@@ -176,8 +182,14 @@ def frame_requests(clean: DataFrame) -> DataFrame:
 
 def event_at_frame(frames: DataFrame, events: DataFrame) -> DataFrame:
     """frames (video_id, frame, any more) with event_id: the event of the last start at or before the
-    frame, if it has not ended; else null. Starts are carried forward within blocks of frames, so a
-    long video is not one task's: what holds at a block's start comes from the blocks' own table."""
+    frame, if it has not ended; else null."""
+    return _last_start(frames, events).withColumn("event_id", F.when(F.col("now.e") >= F.col("frame"), F.col("now.id"))).drop("now")
+
+
+def _last_start(frames: DataFrame, events: DataFrame) -> DataFrame:
+    """frames with now (s, e, id), the event of the last start at or before the frame. Starts are
+    carried forward within blocks of frames, so a long video is not one task's: what holds at a
+    block's start comes from the blocks' own table."""
     block = lambda c: F.floor(c / FRAME_BLOCK).cast("long")
     ev = events.groupBy("video_id", "start").agg(F.max(F.struct("end", "event_id")).alias("m")).select("video_id", "start", F.struct(F.col("start").alias("s"), F.col("m.end").alias("e"), F.col("m.event_id").alias("id")).alias("ev"))
     last = ev.groupBy("video_id", block(F.col("start")).alias("b")).agg(F.max("ev").alias("last_ev"))
@@ -191,7 +203,7 @@ def event_at_frame(frames: DataFrame, events: DataFrame) -> DataFrame:
     w = Window.partitionBy("video_id", "b").orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0)
     mixed = mixed.withColumn("now", F.last("ev", ignorenulls=True).over(w)).filter("kind = 1")
     out = mixed.join(carried, ["video_id", "b"], "left").withColumn("now", F.coalesce("now", "carried"))
-    return out.withColumn("event_id", F.when(F.col("now.e") >= F.col("frame"), F.col("now.id"))).drop("b", "kind", "ev", "now", "carried")
+    return out.drop("b", "kind", "ev", "carried")
 
 
 def render_coverage(frames: DataFrame, events: DataFrame) -> DataFrame:
