@@ -151,6 +151,30 @@ def test_lines_of_a_length_and_of_a_very_long_page(spark):
     assert got[100]["n_lines"] == 20_000 and got[100]["text"] == rows[100][1]
 
 
+def test_lines_that_all_go_take_linear_work(spark):
+    def run(n):
+        text = "\n".join(f"line {k} of every page here" for k in range(n))
+        df = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").withColumn("source", F.lit("s"))
+        began = time.time()
+        got = lines.drop_boilerplate(df).collect()
+        assert all(r["text"] == "" and r["n_dropped"] == r["n_lines"] == n for r in got) and len(got) == 6
+        return time.time() - began
+
+    run(100)
+    assert run(20_000) < 10
+    assert run(80_000) < 20
+
+
+def test_pages_of_large_hosts_are_dealt_to_parts(spark, monkeypatch):
+    rows = [(i, f"own {i}\nthis very line is everywhere\nown {i} too", "big" if i % 3 else f"h{i % 9}", i) for i in range(300)] + [(300, None, None, 0), (301, "", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, parts int").repartition(5)
+    want = sorted(map(str, lines.drop_boilerplate(df).collect()))
+    monkeypatch.setattr(lines, "HOST_PAGES", 7)
+    assert sorted(map(str, lines.drop_boilerplate(df).collect())) == want and "everywhere" not in "".join(want)
+    monkeypatch.setattr(lines, "LARGE_HOSTS", 10)  # parts are larger then
+    assert sorted(map(str, lines.drop_boilerplate(df).collect())) == want
+
+
 # 4
 
 
