@@ -3,7 +3,8 @@
 Trusted positives are labelled rows of quality 1; the unlabelled set is a sample of all documents,
 whatever their labels. The class prior is estimated from the two, and a linear model minimises the
 non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
-Features of a text are counted on all of it: shares of byte classes and the shape of its words.
+Features of a text are counted on all of it: shares of byte classes, the shape of its words, and the
+shares of its words by their hashes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capspark.llm.session import bound_batches
+from capspark.llm.shingles import word_hashes
 
 #: Rows at most that the fit sees; they are the only ones that come to the driver.
 MAX_POSITIVES = 4000
@@ -24,7 +26,11 @@ THRESHOLD = 0.3
 FOLDS = 5
 STEPS = 400
 _BYTES = 129  # ASCII, and one for all other bytes
-DIM = _BYTES + 7
+SHAPES = _BYTES + 7
+WORDS = 256  # classes of words by their hashes
+DIM = SHAPES + WORDS
+#: Words are scaled down by this after standardising: a class has many words, few of which tell anything.
+DAMP = 3.0
 
 
 def features(text: str | None) -> np.ndarray:
@@ -32,7 +38,7 @@ def features(text: str | None) -> np.ndarray:
     out = np.zeros(DIM, np.float32)
     words = data.split()
     if not words:
-        out[-1] = 1
+        out[SHAPES - 1] = 1
         return out
     byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     out[:128] = np.sqrt(byte[:128] / len(data))
@@ -42,19 +48,18 @@ def features(text: str | None) -> np.ndarray:
     again = sum(map(bytes.__eq__, words, words[1:]))
     letters = int(byte[65:91].sum() + byte[97:123].sum()) or 1
     marks = int(byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum())
-    out[_BYTES:-1] = (np.log1p(distinct) / np.log1p(n), np.sqrt(again / n), np.sqrt(byte[65:91].sum() / letters), marks / n, len(data) / n / 10, byte[10] / n)
+    out[SHAPES:] = np.sqrt(np.bincount((word_hashes(text) >> np.uint64(32)).astype(np.int64) % WORDS, minlength=WORDS) / n)
+    out[_BYTES : SHAPES - 1] = (np.log1p(distinct) / np.log1p(n), np.sqrt(again / n), np.sqrt(byte[65:91].sum() / letters), marks / n, len(data) / n / 10, byte[10] / n)
     return out
 
 
 def featurer():
-    """text -> array<float> of DIM features."""
+    """text -> the DIM features as the bytes of 32-bit floats."""
 
     def make(texts: pa.Array) -> pa.Array:
-        rows = [features(t) for t in texts.to_pylist()]
-        flat = np.concatenate(rows) if rows else np.empty(0, np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIM, dtype=np.int32)), pa.array(flat))
+        return pa.array([features(t).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())
 
-    return F.arrow_udf(make, "array<float>").asNondeterministic()
+    return F.arrow_udf(make, "binary").asNondeterministic()
 
 
 @dataclass(frozen=True)
@@ -102,6 +107,8 @@ def estimate_prior(x_p: np.ndarray, x_u: np.ndarray) -> float:
     q_u = 1 - np.searchsorted(s_u, at) / len(s_u)
     margin = np.sqrt(np.log(40) / 2) * (len(s_p) ** -0.5 + len(s_u) ** -0.5)
     use = q_p > 2 * margin
+    if not use.any():  # too few rows to bound it
+        return 0.95
     best = np.argmin((q_u[use] + margin) / q_p[use])
     return float(np.clip(q_u[use][best] / q_p[use][best], 0.05, 0.95))
 
@@ -113,6 +120,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = Non
         return Model(np.zeros(DIM), np.ones(DIM), np.zeros(DIM), 3.0, 0.95)
     both = np.concatenate((positives, unlabelled)).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-3
+    scale[SHAPES:] *= DAMP
     x_p, x_u = (((x - mean) / scale).clip(-8, 8) for x in (positives, unlabelled))
     prior = estimate_prior(x_p, x_u) if prior is None else prior
 
@@ -151,8 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = least(ids.join(good, "id", "left_semi"), max_positives, "p").unionByName(least(ids, max_unlabelled, "u"))
     chosen = chosen.groupBy("id").agg(F.collect_set("kind").alias("kinds"))  # at most max_positives + max_unlabelled rows
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    got = rows.select("id", "kinds", featurer()("t").alias("x")).orderBy("id", F.xxhash64("x")).limit(2 * (max_positives + max_unlabelled)).collect()
-    x = np.array([r["x"] for r in got], np.float64).reshape(-1, DIM)
+    got = rows.select("id", "kinds", featurer()("t").alias("x")).orderBy("id", "x").limit(2 * (max_positives + max_unlabelled)).collect()
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(-1, DIM)
     is_p = np.array(["p" in r["kinds"] for r in got], bool)
     is_u = np.array(["u" in r["kinds"] for r in got], bool)
     return fit(x[is_p], x[is_u])
