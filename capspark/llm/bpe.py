@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capspark.llm.pieces import Memory
-from capspark.llm.session import bound_batches
+from capspark.llm.session import bound_batches, give_back
 
 #: Ids of a text that are decoded together.
 RUN = 1 << 16
@@ -329,7 +329,7 @@ def _tokens(path: str) -> pa.Array:
 def _coder(path: str, pattern: str) -> tuple[Transducer, Memory]:
     """One for each worker; the file is on every machine."""
     transducer = Transducer(_ranks(path))
-    return transducer, Memory(regex.compile(pattern).findall, lambda matches: transducer.encode_all([m.encode() for m in matches]))
+    return transducer, Memory(regex.compile(pattern).findall, lambda matches: transducer.encode_all([m.encode() for m in matches]), most=150_000)
 
 
 def encode_texts(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
@@ -380,6 +380,7 @@ def round_tripper(path: str, pattern: str):
     task has one worker and the ids of a batch are not sent back to it."""
 
     def both(texts: pa.Array) -> pa.Array:
+        give_back()
         ids = encode_texts(texts, path, pattern)
         decoded = pa.array([decode_ids(i, path) for i in ids], pa.string())
         return pa.StructArray.from_arrays([_lists(ids, np.int32), decoded], names=["ids", "decoded"])

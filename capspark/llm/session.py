@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from capspark.sources.shared import shared_dir
@@ -37,6 +38,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """What Arrow keeps of earlier batches goes back to the machine: a worker lives for many tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that written() has made; call it when their results have been used."""
     jvm = spark.sparkContext._jvm

@@ -7,6 +7,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from capspark.llm.session import give_back
+
 SHINGLE = 5
 VALUES = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -17,7 +19,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; forgotten as a whole when it gets too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -86,6 +88,7 @@ def signer(values: int = VALUES):
     odd = _odd(values)
 
     def sign(texts: pa.Array) -> pa.Array:
+        give_back()
         sets = [shingle_set(t) for t in texts.to_pylist()]
         n, a, b = _digests(sets)
         full = [s for s in sets if len(s)]
@@ -100,6 +103,7 @@ def set_maker():
     """text -> (n, d1, d2, set: the hashes themselves)."""
 
     def make(texts: pa.Array) -> pa.Array:
+        give_back()
         sets = [shingle_set(t) for t in texts.to_pylist()]
         n, a, b = _digests(sets)
         ends = np.cumsum([0, *n]).astype(np.int32)
