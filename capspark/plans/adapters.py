@@ -82,6 +82,34 @@ tsamples as (select video_id, frame, case when k > 2 then k * 2 end as x1, case
 """
 
 
+def _contrast(v):
+    return F.greatest(F.lit(0), F.least(F.lit(240), (v - 127) * 16 + 120))
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """thumbs as decoded frames of 32 x 32: each value with more contrast, w, 4 x 4 times as w, w + 7, w + 14."""
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    cell = lambda v: F.repeat(F.concat(two(_contrast(v)), two(_contrast(v) + 7), two(_contrast(v) + 14)), F.lit(4))
+    line = lambda r: F.repeat(F.array_join(F.transform(F.slice("px", r * 8 + 1, F.lit(8)), cell), ""), F.lit(4))
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), line), ""))
+    return thumbs(spark, d).select("video_id", "frame", F.lit(32).alias("h"), F.lit(32).alias("w"), pixels.alias("pixels"))
+
+
+FRAMES = """
+fcell as (select video_id, frame, i // 8 as cy, i % 8 as cx, greatest(0, least(240, (v - 127) * 16 + 120)) as w from px),
+four as (select unnest(range(4)) as o),
+fpx as (select video_id, frame, cast(cy * 4 + a.o as int) as y, cast(cx * 4 + b.o as int) as x, cast(w as int) as w from fcell, four a, four b)
+"""
+
+
+def glyphs(spark: SparkSession, d: str) -> DataFrame:
+    """video_id, frame, mask: which pixels of the rectangle 6..25, 6..21 of a frame are above 120."""
+    i = F.sequence(F.lit(0), F.lit(319))
+    at = lambda k: (F.floor((F.floor(k / 20) + 6) / 4) * 8 + F.floor((k % 20 + 6) / 4) + 1).cast("int")
+    bit = lambda k: F.when(_contrast(F.element_at("px", at(k))) > 120, "01").otherwise("00")
+    return thumbs(spark, d).select("video_id", "frame", F.unhex(F.array_join(F.transform(i, bit), "")).alias("mask"))
+
+
 def intervals(spark: SparkSession, d: str) -> DataFrame:
     """video_id, event_id, start, end, bbox from lineitem: disjoint events with gaps of 1 to 40."""
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")

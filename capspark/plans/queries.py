@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -827,3 +829,172 @@ def rnd10b_alpha_blend(spark, d):
 def rnd11_render_coverage(spark, d):
     return render.render_coverage(A.asof_frames(spark, d), A.intervals(spark, d))
 
+
+# Pixels: models are small functions of a frame's first channel
+
+
+@query(
+    "select video_id, frame, string_agg(lpad(hex(w), 2, '0') || lpad(hex(w + 7), 2, '0') || lpad(hex(w + 14), 2, '0'), '' order by y, x) as pixels from fpx group by 1, 2",
+    A.THUMBS,
+    A.FRAMES,
+)
+def src8_read_frames(spark, d):
+    """Frames as a bucketed table, opened by its path."""
+    path, name = new_folder(spark, "frames"), f"frames_{uuid.uuid4().hex}"
+    ingest.write_frames(A.frames(spark, d), name, path, 8)
+    return ingest.read_frames(spark, path).select("video_id", "frame", F.hex("pixels").alias("pixels"))
+
+
+@query("select video_id, count(*) as n, sum(frame) as total from thumbs where video_id % 3 > 0 or frame % 2 = 0 group by 1", A.THUMBS)
+def src6_stage_versions(spark, d):
+    """Two versions of a stage, the newer one of some videos and with fewer rows."""
+    path, rows = new_folder(spark, "stage"), A.thumbs(spark, d).select("video_id", "frame")
+    ingest.write_stage(rows, path, 1)
+    ingest.write_stage(rows.filter("video_id % 3 = 0 and frame % 2 = 0"), path, 2)
+    return ingest.read_stage(spark, path).groupBy("video_id").agg(F.count("*").alias("n"), F.sum("frame").alias("total"))
+
+
+def _first_channel(h: int, w: int, px: bytes) -> np.ndarray:
+    return np.frombuffer(px, np.uint8).reshape(h, w, 3)[..., 0]
+
+
+@query("select video_id, frame, min(x) as x1, min(y) as y1, cast(max(x) + 1 as int) as x2, cast(max(y) + 1 as int) as y2 from fpx where w > 182 group by 1, 2", A.THUMBS, A.FRAMES)
+def det4_detect_text(spark, d):
+    def detector():
+        def find(h, w, px):
+            y, x = np.nonzero(_first_channel(h, w, px) > 182)
+            return [(x.min(), y.min(), x.max() + 1, y.max() + 1)] if len(y) else []
+
+        return find
+
+    found = detect.detect_text(A.frames(spark, d), detector)
+    return found.select("video_id", "frame", F.explode("boxes").alias("b")).select("video_id", "frame", "b.*")
+
+
+@query(
+    """select video_id, frame, string_agg(lpad(hex(cast(v as int)), 2, '0'), '' order by i) as pixels
+from (select video_id, frame, cx // 2 as i, round_even(sum(w + 8) / 2.0, 0) as v from fcell where cy = 6 group by 1, 2, 3) group by 1, 2""",
+    A.THUMBS,
+    A.FRAMES,
+)
+def det5_thumbnails(spark, d):
+    """Of 32 x 32 pixels the lower 14 rows, as 4 x 1: gray is w + 8, a thumbnail's pixel the mean of two cells."""
+    frames = A.frames(spark, d)
+    geo = detect.geometry(frames.select("video_id").distinct().select("video_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.lit(30.0).alias("fps")))
+    return detect.thumbnails(frames, geo).select("video_id", "frame", F.hex("pixels").alias("pixels"))
+
+
+@query(
+    """select c.video_id, c.event_id, c.attempt, c.frame, coalesce(m % 5 <> 0, false) as readable, case when m % 5 <> 0 then cast(m as varchar) end as text,
+  case when m % 5 <> 0 then 0.5::double + m % 4 / 8.0::double end as conf, case when m % 5 <> 0 then m end as x2
+from (select video_id, frame // 3 as event_id, cast(frame // 3 % 3 as int) as attempt, frame from thumbs where frame % 3 = 0
+  union all select video_id, frame, 0, frame + 100000 from thumbs where frame % 7 = 0) c
+left join (select video_id, frame, sum(w * (y + 1)) % 251 as m from fpx where x = 5 group by 1, 2) f on f.video_id = c.video_id and f.frame = c.frame""",
+    A.THUMBS,
+    A.FRAMES,
+)
+def ocr2_read_text(spark, d):
+    """A reader that cannot read every fifth frame; some candidates ask for frames that do not exist."""
+
+    def reader():
+        def read(h, w, px):
+            m = int((_first_channel(h, w, px)[:, 5].astype(int) * np.arange(1, h + 1)).sum() % 251)
+            return [(str(m), 0.5 + m % 4 / 8, (0, 0, m, 8))] if m % 5 else None
+
+        return read
+
+    t, f = A.thumbs(spark, d).select("video_id", "frame"), F.col("frame")
+    third = F.floor(f / 3).cast("long")
+    ask = t.filter("frame % 3 = 0").select("video_id", third.alias("event_id"), (third % 3).cast("int").alias("attempt"), "frame")
+    ask = ask.unionByName(t.filter("frame % 7 = 0").select("video_id", f.alias("event_id"), F.lit(0).alias("attempt"), (f + 100000).alias("frame")))
+    line = F.get("lines", F.lit(0))
+    got = reads.read_text(A.frames(spark, d), ask, reader)
+    return got.select("video_id", "event_id", "attempt", "frame", "readable", line["text"].alias("text"), line["conf"].alias("conf"), line["box"]["x2"].cast("long").alias("x2"))
+
+
+_STYLE = """
+sty as (select video_id, frame, y, x, w, case when w + 8 < 70 then 'd' when w + 8 > 190 then 'b' end as k from fpx where frame % 5 = 0 and y between 8 and 23 and x between 8 and 23),
+core as (select a.video_id, a.frame, a.k, a.y, a.x from sty a join sty b on a.video_id = b.video_id and a.frame = b.frame and a.k = b.k and b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2
+  group by 1, 2, 3, 4, 5 having count(*) = 25),
+cores as (select video_id, frame, count(*) filter (where k = 'b') as cb, count(*) filter (where k = 'd') as cd from core group by 1, 2),
+style as (select s.video_id, s.frame, count(*) filter (where k = 'd') as nd, count(*) filter (where k = 'b') as nb, floor(median(w) filter (where k = 'd')) as md, floor(median(w) filter (where k = 'b')) as mb,
+  coalesce(max(cb), 0) > coalesce(max(cd), 0) as bright from sty s left join cores c on c.video_id = s.video_id and c.frame = s.frame group by 1, 2)
+"""
+
+
+@query(
+    """select video_id, frame as event_id, cast(case when nd < 80 or nb < 80 then 255 when bright then mb else md end as int) as fill, cast(case when nd < 80 or nb < 80 then 16 when bright then md else mb end as int) as outline,
+  cast(case when nd >= 80 and nb >= 80 and (nd + nb) / 256.0 between 0.08 and 0.85 then nd + nb end as int) as n_mask from style""",
+    A.THUMBS,
+    A.FRAMES,
+    _STYLE,
+)
+def ocr8_text_style(spark, d):
+    """A line of 16 x 16 pixels: its classes, of which the one with the larger core is the fill."""
+    box = C.box(*map(F.lit, (8, 8, 24, 24)))
+    line = F.array(F.struct(F.lit("x").alias("text"), F.lit(0.9).alias("conf"), box.alias("box")))
+    subs = A.thumbs(spark, d).filter("frame % 5 = 0").select("video_id", F.col("frame").alias("event_id"), "frame", box.alias("bbox"), line.alias("lines"))
+    got = reads.text_style(subs, A.frames(spark, d))
+    return got.select("video_id", "event_id", F.col("fill")[0].alias("fill"), F.col("outline")[0].alias("outline"), F.length(F.replace(F.hex("mask"), F.lit("0"), F.lit(""))).cast("int").alias("n_mask"))
+
+
+_ERASE = """
+ev5 as (select video_id, frame, frame // 5 % 3 as kind from thumbs where frame % 5 = 0),
+glyph as (select p.video_id, p.frame, y, x from fpx p join ev5 e on e.video_id = p.video_id and e.frame = p.frame where kind = 0 and w > 120 and y between 6 and 21 and x between 6 and 25),
+wide as (select distinct video_id, frame, y + a.o as y, x + b.o as x from glyph, (select unnest(range(-2, 3)) as o) a, (select unnest(range(-2, 3)) as o) b),
+grid as (select e.*, y, x from ev5 e, (select unnest(range(32)) as y), (select unnest(range(32)) as x)),
+bits as (select g.video_id, g.frame, g.y, g.x, case when exists (select 1 from glyph q where q.video_id = g.video_id and q.frame = g.frame) then w.y is not null else g.y between 1 and 26 end as bit
+  from grid g left join wide w on w.video_id = g.video_id and w.frame = g.frame and w.y = g.y and w.x = g.x)
+"""
+
+
+@query("select video_id, frame as event_id, string_agg(case when bit then '01' else '00' end, '' order by y, x) as mask from bits group by 1, 2", A.THUMBS, A.FRAMES, _ERASE)
+def rnd5_erase_masks(spark, d):
+    """Masks of the right size, of a wrong one, and none, by turns."""
+    kind = F.floor(F.col("frame") / 5) % 3
+    key = F.when(kind < 2, F.concat(F.lit("m"), F.col("frame").cast("string")))
+    glyphs = A.glyphs(spark, d).filter("frame % 5 = 0")
+    masks = glyphs.select("video_id", key.alias("mask_key"), F.when(kind == 0, F.col("mask")).otherwise(F.lit(b"\x01\x01")).alias("mask")).filter("mask_key is not null")
+    subs = glyphs.select("video_id", F.col("frame").alias("event_id"), F.array(C.box(*map(F.lit, (8, 8, 24, 20)))).alias("boxes"), C.box(*map(F.lit, (6, 6, 26, 22))).alias("glyph_rect"), key.alias("mask_key"), F.lit(32).alias("width"), F.lit(32).alias("height"))
+    return render.erase_masks(render.erase_roi(subs), masks).select("video_id", "event_id", F.hex("mask").alias("mask"))
+
+
+_BACK = """
+bp as (select video_id, frame // 10 as event_id, y, x, count(*) as n, floor(median(w)) as m, max(w) - min(w) < 14 and y between 12 and 19 and x between 12 and 19 as fixed from fpx where frame % 10 between 6 and 8 group by 1, 2, 3, 4),
+be as (select video_id, event_id, min(n) as n, count(*) filter (where fixed) as n_static, string_agg(lpad(hex(cast(m as int)), 2, '0') || lpad(hex(cast(m + 7 as int)), 2, '0') || lpad(hex(cast(m + 14 as int)), 2, '0'), '' order by y, x) as median from bp group by 1, 2)
+"""
+
+
+@query("select video_id, event_id, cast(n_static as int) as n_static, 420 as n_ring, median from be where n >= 2 and n_static >= 0.05 * 64", A.THUMBS, A.FRAMES, _BACK)
+def rnd8_background(spark, d):
+    """Up to three frames for each event; a mask of 8 x 8 in the middle of the frame."""
+    clean = A.thumbs(spark, d).filter("frame % 10 between 6 and 8").select("video_id", F.floor(F.col("frame") / 10).cast("long").alias("event_id"), "frame")
+    mask = np.zeros((32, 32), np.uint8)
+    mask[12:20, 12:20] = 1
+    plans = clean.select("video_id", "event_id").distinct().withColumns({"roi": C.box(*map(F.lit, (0, 0, 32, 32))), "mask": F.lit(mask.tobytes())})
+    got = render.backgrounds(clean, plans, A.frames(spark, d))
+    ones = lambda c: F.length(F.replace(F.hex(c), F.lit("0"), F.lit(""))).cast("int")
+    return got.select("video_id", "event_id", ones("static").alias("n_static"), ones("ring").alias("n_ring"), F.hex("median").alias("median"))
+
+
+_OVER = """
+cp as (select video_id, frame, y, x, c, case when frame % 10 <= 5 and y between 4 and 11 and x between 4 and 11 then 7 else w + c * 7 end as v, case c when 0 then 10 when 1 then 200 else 30 end as o,
+  frame % 10 <= 5 and frame % 20 < 10 and y between 8 and 13 and x between 8 and 11 as over from fpx, (select unnest(range(3)) as c))
+"""
+
+
+@query("select video_id, frame, false as failed, string_agg(lpad(hex(cast(case when over then (o * 127 + v * 128 + 127) // 255 else v end as int)), 2, '0'), '' order by y, x, c) as pixels from cp group by 1, 2", A.THUMBS, A.FRAMES, _OVER)
+def rnd10_composite(spark, d):
+    """Events of six frames, one in ten: a square is filled, and every other event has an overlay."""
+
+    def fill(img: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.where(mask[..., None], np.uint8(7), img)
+
+    frames = A.frames(spark, d)
+    ten = F.floor(F.col("frame") / 10).cast("long")
+    events = frames.select("video_id", ten.alias("event_id")).distinct().withColumns({"start": F.col("event_id") * 10, "end": F.col("event_id") * 10 + 5})
+    some = lambda v: F.when(F.col("event_id") % 2 == 0, F.lit(v))
+    nothing = {c: F.lit(None).cast("binary") for c in ("median", "static", "ring")}
+    overlay = np.tile(np.array([10, 200, 30, 127], np.uint8), 6 * 4).tobytes()
+    plans = events.select("video_id", "event_id").withColumns({"roi": C.box(*map(F.lit, (4, 4, 12, 12))), "mask": F.lit(b"\x01" * 64), **nothing, "overlay": some(overlay), "overlay_x": some(8), "overlay_y": some(8), "overlay_h": some(6), "overlay_w": some(4)})
+    return render.composite(frames, events, plans, fill).select("video_id", "frame", "failed", F.hex("pixels").alias("pixels"))
