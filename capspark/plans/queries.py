@@ -18,6 +18,7 @@ from capspark.plans import workloads
 from capspark.sources import ingest
 from capspark.sources.ledger import Ledger
 from capspark.sources.shared import new_folder
+from capspark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -998,3 +999,72 @@ def rnd10_composite(spark, d):
     overlay = np.tile(np.array([10, 200, 30, 127], np.uint8), 6 * 4).tobytes()
     plans = events.select("video_id", "event_id").withColumns({"roi": C.box(*map(F.lit, (4, 4, 12, 12))), "mask": F.lit(b"\x01" * 64), **nothing, "overlay": some(overlay), "overlay_x": some(8), "overlay_y": some(8), "overlay_h": some(6), "overlay_w": some(4)})
     return render.composite(frames, events, plans, fill).select("video_id", "frame", "failed", F.hex("pixels").alias("pixels"))
+
+
+# Streams, each run over a whole table and stopped when it has read all of it
+
+
+def _streamed(rows: DataFrame, run: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a live job has given once it has read rows, a table of the shared folder or of the inputs."""
+    spark, out = rows.sparkSession, new_folder(rows.sparkSession, "stream")
+    rows.write.parquet(f"{out}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+
+    query = run(source).writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def _live_events(spark, d):
+    return A.table(spark, d, "events").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+
+
+@query(
+    "select s.video_id, s.frame, cast(x1 as int) as x1, cast(y1 as int) as y1, cast(x2 as int) as x2, cast(y2 as int) as y2 from samples s join videos v on v.video_id = s.video_id where s.frame % cast(greatest(1, round_even(0.3::double * fps, 0)) as int) = 0",
+    A.SAMPLES,
+    A.VIDEOS,
+)
+def str1_samples(spark, d):
+    geo = detect.geometry(A.videos(spark, d))
+    return segment.flat_box(_streamed(A.samples(spark, d), lambda s: live.stream_samples(s, geo)).select("video_id", "frame", "bbox"))
+
+
+@query("select video_id, first_s, last_s, x1, y1, x2, y2 from islands", A.SAMPLES, _ISLANDS)
+def str2_sessions(spark, d):
+    """Samples nine frames apart at ten frames a second; a far row of another video closes the last ones."""
+    rows = detect.with_union_box(detect.valid_boxes(A.samples(spark, d))).select("video_id", "frame", "bbox")
+    end = spark.createDataFrame([(-1, 10**9, (0, 0, 1, 1))], rows.schema)
+    rows = rows.unionByName(end).withColumn("ts", F.timestamp_seconds(F.col("frame") / 10))
+    return segment.flat_box(_streamed(rows, lambda s: live.stream_sessions(s, 0.9)).filter("video_id >= 0"))
+
+
+@query("select distinct 'j' || user_id || '-' || event_type as job_key from events")
+def str4_dedupe_jobs(spark, d):
+    rows = _live_events(spark, d).withColumn("job_key", F.concat(F.lit("j"), F.col("video_id").cast("string"), F.lit("-"), "event_type"))
+    return _streamed(rows, lambda s: live.stream_dedupe_jobs(s, "400 days")).select("job_key")
+
+
+@query("select conv_id as video_id, turn % 3 as event_id, max_by(role || turn, turn) as zh from conversations group by 1, 2")
+def str5_upserts(spark, d):
+    """The last turn of each third of a conversation, through the ledger."""
+    rows = A.table(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), (F.col("turn") % 3).alias("event_id"), F.concat("role", F.col("turn").cast("string")).alias("zh"), F.col("turn").alias("version"))
+    out = new_folder(spark, "upserts")
+    rows.write.parquet(f"{out}/in")
+    ledger = Ledger(spark, f"{out}/ledger")
+    source = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+    live.stream_upserts(source, ledger, f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+    return live.Upserts(ledger).table()
+
+
+@query("select video_id, stage, progress, status, case when progress > 0.02 then elapsed / progress * (1 - progress) end as eta from latest", A.STATUS, _LATEST)
+def str6_status(spark, d):
+    return _streamed(A.status(spark, d), live.stream_status, "complete").select("video_id", "stage", "progress", "status", "eta")
+
+
+@query("select user_id as video_id, cast(epoch(date_trunc('day', ts)) as bigint) as since, count(*) as frames from events group by 1, 2")
+def str7_throughput(spark, d):
+    got = _streamed(_live_events(spark, d), lambda s: live.stream_throughput(s, "1 day", "400 days"), "complete")
+    return got.select("video_id", F.unix_seconds("since").alias("since"), "frames")

@@ -31,7 +31,7 @@ def value(v):
     return str(v) if not isinstance(v, float) else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.split("_")[0].rstrip("b0123456789") in ("src", "det", "evt", "w", "ocr", "trn", "rev", "sta", "rnd")))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.split("_")[0].rstrip("b0123456789") in ("src", "det", "evt", "w", "ocr", "trn", "rev", "sta", "rnd", "str")))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
