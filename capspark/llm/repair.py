@@ -38,8 +38,24 @@ _BUCKETS = 17
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
-    """(sequence, left, right, lengths): rule k stands for id base + k.
+def _hits(often: np.ndarray, bucket: np.ndarray, own: np.ndarray, buckets: int, rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which places are replaced, the rank of each place's pair, which of `often` replace two places)."""
+    order = np.full(buckets, rules, np.int32)
+    order[often] = np.arange(len(often), dtype=np.int32)
+    pad = np.full(len(bucket) + 2, rules, np.int32)
+    at = pad[1:-1]
+    np.copyto(at, order[bucket], where=own)
+    hit = (at < rules) & (at < pad[:-2]) & (at <= pad[2:])  # of a run of one pair the first
+    used = np.bincount(at[hit], minlength=len(often)) >= 2
+    hit &= np.append(used, np.zeros(rules + 1 - len(used), bool))[at]
+    return hit, at, used
+
+
+def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST, least_gain: float = LEAST_GAIN, rules: int = RULES_A_ROUND):
+    """(sequence, left, right, lengths): rule k stands for id base + k. At most `rounds` rounds with
+    `rules` new rules each; they end when no pair comes `least` times, or when one has shortened the
+    sequence by less than a least_gain share. With least_gain 0 they go on until no pair can be
+    replaced, which is seen on exact counts.
 
     A round counts pairs in a table of hash buckets; of two pairs that meet in a bucket the later
     one counts, the other waits for the next round's hash. The most frequent pairs become rules,
@@ -59,17 +75,13 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         own = owner[bucket] == pair
         count = np.bincount(bucket[own], minlength=1 << _BUCKETS)
         often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        often = often[np.argsort(-count[often], kind="stable")][:RULES_A_ROUND]
-        order = np.full(1 << _BUCKETS, RULES_A_ROUND, np.int32)
-        order[often] = np.arange(len(often), dtype=np.int32)
-        pad = np.full(len(bucket) + 2, RULES_A_ROUND, np.int32)
-        at = pad[1:-1]
-        np.copyto(at, order[bucket], where=own)
-        hit = (at < RULES_A_ROUND) & (at < pad[:-2]) & (at <= pad[2:])  # of a run of one pair the first
-        used = np.bincount(at[hit], minlength=len(often)) >= 2
-        hit &= np.append(used, np.zeros(RULES_A_ROUND + 1 - len(used), bool))[at]
+        often = often[np.argsort(-count[often], kind="stable")][:rules]
+        hit, at, used = _hits(often, bucket, own, 1 << _BUCKETS, rules)
+        if not hit.any() and least_gain == 0:  # a pair may have hidden behind another of its bucket
+            owner, bucket, count = np.unique(pair, return_inverse=True, return_counts=True)
+            often = np.flatnonzero(count >= least)
+            often = often[np.argsort(-count[often], kind="stable")][:rules]
+            hit, at, used = _hits(often, bucket, np.ones(len(bucket), bool), len(owner), rules)
         if not hit.any():
             break
         number = np.cumsum(used) - 1
@@ -87,7 +99,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         seq = seq[stay]
         size_of = np.concatenate((size_of, lengths[-1]))
         top += len(left)
-        if before - len(seq) < before * LEAST_GAIN:
+        if before - len(seq) < before * least_gain:
             break
     join = lambda x: (np.concatenate(x) if x else np.empty(0)).astype("<u4")
     return seq.astype("<u4"), join(lefts), join(rights), join(lengths)
@@ -195,13 +207,13 @@ def _lots(batches: Iterator[pa.RecordBatch], size: int = LOT) -> Iterator[pa.Rec
         yield pa.concat_batches(lot)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int, block: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int, block: int, limits: dict) -> Iterator[pa.RecordBatch]:
     part, number, before = TaskContext.get().partitionId(), 0, 0
     base = max(_tokenizer(path, pattern)[0].get_vocab_size(), end_id + 1)
     docs, runs, n = [], [], 0
 
     def row() -> pa.RecordBatch:
-        seq, left, right, lengths = compress(np.concatenate(runs), base)
+        seq, left, right, lengths = compress(np.concatenate(runs), base, **limits)
         sizes = [len(x) for x in runs]
         starts = np.cumsum([0, *sizes])[:-1].tolist()
         values = [part, number, before, n, base, left.tobytes(), right.tobytes(), lengths.tobytes(), seq.tobytes(), docs, starts, sizes]
@@ -220,9 +232,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: in
         yield row()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, **limits: float) -> str:
     """Write the ids of every text, end_id after each, in ascending id_col order, as grammar blocks;
-    returns the table's path. pattern: the tokenizer's own split pattern.
+    returns the table's path. pattern: the tokenizer's own split pattern; limits: those of compress()
+    (rounds, least, least_gain, rules), which change the grammar and never the ids.
 
     One range shuffle of the texts; rows of one id are ordered by their text's hash. A null text
     has end_id only; a null id comes first. Repeated rows are documents of their own. Other columns
@@ -233,7 +246,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2,
     path = path or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    rows.mapInArrow(lambda it: _pack(it, tokenizer, pattern, end_id, block), _BLOCKS).write.parquet(path)
+    rows.mapInArrow(lambda it: _pack(it, tokenizer, pattern, end_id, block, limits), _BLOCKS).write.parquet(path)
     return path
 
 
@@ -266,3 +279,29 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     rows = blocks.mapInArrow(lambda it: _unpack(it, with_ids), "part int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     rows = rows.join(F.broadcast(sums.select("part", earlier.alias("earlier"))), "part")  # a row for each partition
     return rows.select("doc_id", (F.col("start") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+def read_slices(spark: SparkSession, path: str, asks: DataFrame) -> DataFrame:
+    """Random access: asks (doc_id, first, last) as doc_id, first, ids: ids first..last-1 of a document,
+    fewer at its end, none beyond it. Only the asked symbols of a block are expanded. The index of
+    documents is read without the blocks' sequences; an unknown doc_id gives no row, one that comes
+    several times a row for each of its documents."""
+    bound_batches(spark)
+    blocks = spark.read.schema(_BLOCKS).parquet(path)
+    index = blocks.select("part", "block", F.explode(F.arrays_zip("doc_id", "doc_start", "doc_tokens")).alias("d")).select("part", "block", "d.*")
+    first = F.greatest(F.lit(0).cast("long"), F.col("first").cast("long"))
+    found = index.join(asks.select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("first"), F.col("last").cast("long").alias("last")), "doc_id")
+    end = F.col("doc_start") + F.least("last", "doc_tokens")
+    wanted = F.collect_list(F.struct("doc_id", "first", (F.col("doc_start") + F.col("first")).alias("a"), end.alias("b"))).alias("asks")
+    rows = blocks.select("part", "block", "base", "rule_left", "rule_right", "rule_len", "seq").join(found.groupBy("part", "block").agg(wanted), ["part", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = batch.slice(k, 1).to_pylist()[0]
+                got = [decode_range(block, x["a"], x["b"]).astype(np.int32) if x["a"] < x["b"] else np.empty(0, np.int32) for x in block["asks"]]
+                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                cols = [pa.array([x[c] for x in block["asks"]], pa.int64()) for c in ("doc_id", "first")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=["doc_id", "first", "ids"])
+
+    return rows.drop("part", "block").mapInArrow(run, "doc_id long, first long, ids array<int>")

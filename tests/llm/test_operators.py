@@ -279,6 +279,25 @@ def test_token_files(spark):
     assert repair.read_tokens(spark, repair.write_tokens(empty(spark), JSON, PATTERN, path=new_path(spark, "none"))).count() == 0
 
 
+def test_repair_goes_to_the_end_where_asked():
+    x = np.tile(np.random.default_rng(5).integers(0, 40, 900), 3).astype(np.int32)
+    seq, left, right, lengths = repair.compress(x, 1000, rounds=10_000, least=2, least_gain=0, rules=50)
+    assert (repair.expand(seq, 1000, left, right) == x).all() and len(seq) < len(repair.compress(x, 1000)[0])
+    seen, k = {}, 0
+    for k, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):  # no pair is left that comes twice without overlap
+        assert k - seen.setdefault(pair, k) < 2, pair
+
+
+def test_slices_of_token_files(spark):
+    path = repair.write_tokens(texts(spark).repartition(3), JSON, PATTERN, 2, block=300, least=2, least_gain=0.0)
+    whole = {r["doc_id"]: r["ids"] for r in repair.read_tokens(spark, path).collect()}
+    asks = [(i, a, b) for i in range(len(ODD)) for a, b in ((0, 3), (1, 10_000), (2, 2), (5000, 6000), (40, 90))] + [(99, 0, 1)]
+    got = sorted((r["doc_id"], r["first"], r["ids"]) for r in repair.read_slices(spark, path, spark.createDataFrame(asks, "doc_id long, first long, last long")).collect())
+    assert got == sorted((i, a, whole[i][a:b]) for i, a, b in asks if i in whole)
+    index = [x for x in repair.read_slices(spark, path, spark.createDataFrame(asks, "doc_id long, first long, last long"))._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in x]
+    assert any("seq" not in x and "doc_start" in x for x in index)
+
+
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
