@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capspark.llm.session import bound_batches
-from capspark.llm.shingles import word_hashes
+from capspark.llm.session import bound_batches, give_back
 
 #: Rows at most that the fit sees; they are the only ones that come to the driver.
 MAX_POSITIVES = 4000
@@ -33,6 +33,19 @@ DIM = SHAPES + WORDS
 DAMP = 3.0
 
 
+class _Classes(dict):
+    """word -> its class, whatever the case of A-Z; forgotten as a whole when it gets too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 50_000:
+            self.clear()
+        k = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) >> 32) % WORDS
+        return k
+
+
+_classes = _Classes()
+
+
 def features(text: str | None) -> np.ndarray:
     data = (text or "").encode()
     out = np.zeros(DIM, np.float32)
@@ -48,7 +61,8 @@ def features(text: str | None) -> np.ndarray:
     again = sum(map(bytes.__eq__, words, words[1:]))
     letters = int(byte[65:91].sum() + byte[97:123].sum()) or 1
     marks = int(byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum())
-    out[SHAPES:] = np.sqrt(np.bincount((word_hashes(text) >> np.uint64(32)).astype(np.int64) % WORDS, minlength=WORDS) / n)
+    classes = np.fromiter(map(_classes.__getitem__, words), np.int64, n)
+    out[SHAPES:] = np.sqrt(np.bincount(classes, minlength=WORDS) / n)
     out[_BYTES : SHAPES - 1] = (np.log1p(distinct) / np.log1p(n), np.sqrt(again / n), np.sqrt(byte[65:91].sum() / letters), marks / n, len(data) / n / 10, byte[10] / n)
     return out
 
@@ -118,8 +132,9 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = Non
     can be learned: the model then gives every text its prior (1 without any), so nothing is lost."""
     if len(positives) < 20 or len(unlabelled) < 20:
         return Model(np.zeros(DIM), np.ones(DIM), np.zeros(DIM), 3.0, 0.95)
-    both = np.concatenate((positives, unlabelled)).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
+    n = len(positives) + len(unlabelled)
+    mean = sum(x.sum(0, dtype=np.float64) for x in (positives, unlabelled)) / n
+    scale = np.sqrt(sum(((x - mean) ** 2).sum(0) for x in (positives, unlabelled)) / n) + 1e-3
     scale[SHAPES:] *= DAMP
     x_p, x_u = (((x - mean) / scale).clip(-8, 8) for x in (positives, unlabelled))
     prior = estimate_prior(x_p, x_u) if prior is None else prior
@@ -160,10 +175,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.groupBy("id").agg(F.collect_set("kind").alias("kinds"))  # at most max_positives + max_unlabelled rows
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
     got = rows.select("id", "kinds", featurer()("t").alias("x")).orderBy("id", "x").limit(2 * (max_positives + max_unlabelled)).collect()
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(-1, DIM)
-    is_p = np.array(["p" in r["kinds"] for r in got], bool)
-    is_u = np.array(["u" in r["kinds"] for r in got], bool)
-    return fit(x[is_p], x[is_u])
+    p, u = (np.frombuffer(b"".join(r["x"] for r in got if k in r["kinds"]), "<f4").reshape(-1, DIM) for k in "pu")
+    del got
+    return fit(p, u)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -173,6 +187,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     bound_batches(docs.sparkSession)
 
     def rate(texts: pa.Array) -> pa.Array:
+        give_back()
         rows = [features(t) for t in texts.to_pylist()]
         return pa.array(model.score(np.stack(rows).astype(np.float64)) if rows else np.empty(0), pa.float64())
 

@@ -96,6 +96,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     parts = _parts(pages, host)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
     hot = hot.join(F.broadcast(parts), "host", "left").select(F.col("host").alias("__host"), F.col("keys").alias("__keys"), every.alias("__part"))
+    hot = written(hot, "hot")  # its size is then known: where it is small it goes to the pages
     parts = parts.select(F.col("host").alias("__of"), F.col("parts").alias("__parts"))
     joined = pages.drop("n_lines", "n_dropped").withColumn("__h", host)
     joined = joined.join(F.broadcast(parts), F.col("__h") == F.col("__of"), "left")
