@@ -34,8 +34,8 @@ def text_islands(samples: DataFrame) -> DataFrame:
 
 def region_diff(pairs: DataFrame, thumbs: DataFrame, out: str = "d") -> DataFrame:
     """pairs (video_id, f, g, rect) with the mean absolute gray difference of the thumbnails of
-    frames f and g inside rect. thumbs: px array<int> or pixels binary, tw. Two equi-joins; only the
-    thumbnails that are asked for move."""
+    frames f and g inside rect. thumbs: px array<int> or pixels binary, tw. Two equi-joins by frame: few
+    pairs are sent to the thumbnails, with many the narrow thumbnails are shuffled."""
     px = F.col("px") if "px" in thumbs.columns else F.col("pixels")
     t = thumbs.select("video_id", "frame", "tw", px.alias("px"))
     a = t.select("video_id", F.col("frame").alias("f"), F.col("tw").alias("__tw"), F.col("px").alias("__a"))

@@ -295,3 +295,29 @@ def test_translation_by_rounds_resumes_and_asks_nothing_twice(spark, monkeypatch
     assert got == plain_translation(rows, done, model()) and len({x.rpartition("<")[2] for _, _, x in got}) > 3
     n = len(asked())
     assert run() == got and len(asked()) == n  # all is there
+
+
+def test_wrapped_lines_and_asked_names(spark):
+    from capspark.functions import pixels
+    from capspark.operators import translate
+
+    texts = ["abcdefgh", "ab\ncdefghij\n", "", None, "x", "wide 字字字字字", "\n\n"]
+    width = lambda t, size: sum(size * (2 if ord(c) > 255 else 1) for c in t)
+    rows = spark.createDataFrame([(i, t, 10 + i % 2, 35.0) for i, t in enumerate(texts)], "k long, zh string, size int, max_w double")
+    for r in render.wrap_text(rows, width).collect():
+        want = pixels.wrap(r["zh"] or "", 35.0, lambda x, s=r["size"]: width(x, s))
+        assert r["lines"] == want and r["text_w"] == max(int(width(x, r["size"])) for x in want)
+        assert "".join(r["lines"]) == (r["zh"] or "").replace("\n", "") and all(width(x, r["size"]) <= 35 or len(x) == 1 for x in r["lines"])
+
+    def namer():
+        def ask(name):
+            if name == "bad":
+                raise ValueError
+            return f" 「{name}さん」\nand more"
+
+        return ask
+
+    names = spark.createDataFrame([(1, "Tom", 1), (1, "太郎", 2), (2, "bad", 1), (2, "averyveryverylongname", 2)], "video_id long, name string, ord int")
+    answers = translate.ask_names(names, namer)
+    assert sorted((r["name"], r["answer"]) for r in answers.collect() if r["name"] != "averyveryverylongname") == [("Tom", " 「Tomさん」\nand more"), ("bad", None)]
+    assert sorted((r["video_id"], r["name"], r["zh"]) for r in translate.glossary(names, answers).collect()) == [(1, "Tom", "Tomさん"), (1, "太郎", "太郎")]
