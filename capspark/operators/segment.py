@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capspark.functions import columns as C
 from capspark.operators.block_fold import blocked_fold
 from capspark.params import DEFAULTS, Params
+from capspark.sources.shared import written
 
 
 def _video(*more: str) -> Window:
@@ -103,7 +104,7 @@ def split_runs(samples: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params
     w = _video("island")
     rows = rows.select("video_id", F.col("frame").cast("long").alias("frame"), "island", F.col("prev_empty").cast("long").alias("prev_empty"), "bbox")
     rows = rows.withColumn("f", F.lag("frame").over(w)).withColumn("blk", F.floor((F.row_number().over(w) - 1) / block).cast("long"))
-    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "island")))
+    rows = written(rows.withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "island"))), "islands")
     g = geo.select("video_id", "crop_y", "thumb_w", "thumb_h")
     t = thumbs.select("video_id", F.col("frame").cast("long").alias("frame"), F.col(px).alias("px"))
     many = rows.filter("__n > 1")
@@ -158,10 +159,12 @@ def snap(asks: DataFrame, thumbs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def event_bounds(runs: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Runs as events with exact inclusive ends: video_id, start, end, bbox. geo: step, n_frames."""
+    """Runs as events with exact inclusive ends: video_id, start, end, bbox. geo: step, n_frames. The
+    runs, which are read for each of their ends and again at last, are written once."""
     g = geo.select("video_id", "step", "n_frames", F.col("crop_y").alias("__cy"), F.col("thumb_w").alias("__w"), F.col("thumb_h").alias("__h"))
     w = Window.partitionBy("video_id").orderBy("first_s")
     r = runs.join(g, "video_id").withColumn("rect", C.thumb_rect(F.col("bbox"), F.col("__cy"), F.col("__w"), F.col("__h"), p.thumb_scale)).withColumn("run", F.row_number().over(w).cast("long"))
+    r = written(r, "runs")
     a, z = F.col("first_s"), F.col("last_s")
     q = F.when(a == 0, F.lit(0)).otherwise(F.greatest(F.lit(0).cast("long"), a - F.col("step") + 1))
     before = F.coalesce(F.col("split_from"), F.col("prev_empty"), F.when(q > 0, q - 1))
@@ -197,6 +200,7 @@ def merge_flicker(events: DataFrame, thumbs: DataFrame, geo: DataFrame, p: Param
     w = Window.partitionBy("video_id", "chain").orderBy("start", "end", "bbox")
     rows = rows.withColumn("row", F.row_number().over(w).cast("long")).withColumn("before", F.lag("end").over(w))
     rows = rows.withColumn("blk", F.floor((F.col("row") - 1) / block).cast("long")).withColumn("__n", F.count("*").over(Window.partitionBy("video_id", "chain")))
+    rows = written(rows, "chains")
     g = geo.select("video_id", "crop_y", "thumb_w", "thumb_h")
     many = rows.filter("__n > 1").join(g, "video_id").select("video_id", "chain", "blk", "row", "start", "end", "before", "bbox.*", "crop_y", "thumb_w", "thumb_h")
     at = ["video_id", "chain", "blk"]
