@@ -79,9 +79,9 @@ def _without():
     return F.arrow_udf(make, "string")
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, max_ratio_long: float = MAX_RATIO_LONG) -> DataFrame:
-    """pages with text_col cleaned, and n_lines and n_dropped beside the given columns (columns of
-    these names are replaced).
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, max_ratio_long: float = MAX_RATIO_LONG, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """pages with text_col cleaned, and n_lines and n_dropped, or what `counts` names them, beside the
+    given columns (columns of these names are replaced).
 
     Lines end at \\n and are compared without white space at their ends. A line goes if more than
     max_ratio of its host's pages hold it (max_ratio_long of LONG characters or more) and at least
@@ -98,7 +98,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     hot = hot.join(F.broadcast(parts), "host", "left").select(F.col("host").alias("__host"), F.col("keys").alias("__keys"), every.alias("__part"))
     hot = written(hot, "hot")  # its size is then known: where it is small it goes to the pages
     parts = parts.select(F.col("host").alias("__of"), F.col("parts").alias("__parts"))
-    joined = pages.drop("n_lines", "n_dropped").withColumn("__h", host)
+    joined = pages.drop(*counts).withColumn("__h", host)
     joined = joined.join(F.broadcast(parts), F.col("__h") == F.col("__of"), "left")
     joined = joined.withColumn("__p", F.coalesce(F.pmod(F.xxhash64(text_col), F.col("__parts")), F.lit(0).cast("long")))
     joined = joined.join(hot, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__part")), "left")
@@ -114,5 +114,5 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     left = F.size(F.array_except(F.array_distinct("__all"), "__gone"))
     n_kept = F.when(left == 0, F.lit(0)).otherwise(F.length("__kept") - F.length(F.replace("__kept", F.lit("\n"))) + 1)
     dropped = F.when(some, n_all - n_kept).otherwise(F.lit(0))
-    out = [clean.alias(c) if c == text_col else F.col(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*out, n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    out = [clean.alias(c) if c == text_col else F.col(c) for c in pages.columns if c not in counts]
+    return joined.select(*out, n.cast("long").alias(counts[0]), dropped.cast("long").alias(counts[1]))

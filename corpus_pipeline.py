@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many pages of a source hold go; n_chars is that of the text that is left."""
-    clean = lines.drop_boilerplate(docs, "source", "text").drop("n_lines", "n_dropped")
+    clean = lines.drop_boilerplate(docs, "source", "text", counts=("__n_lines", "__n_dropped"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
