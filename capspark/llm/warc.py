@@ -80,15 +80,14 @@ _CHUNKS = "record string, page_id long, record_type string, refers_to long, chun
 
 
 class _Parser:
-    """Turns lines (bytes without their \\n) of one archive into chunk rows."""
+    """Turns lines (bytes without their \\n) of one archive into chunk rows, which it adds to `rows`."""
 
-    def __init__(self, with_bytes: bool, chunk: int):
-        self.with_bytes, self.chunk = with_bytes, chunk
+    def __init__(self, with_bytes: bool, chunk: int, rows: list[tuple]):
+        self.with_bytes, self.chunk, self.rows = with_bytes, chunk, rows
         self.need = 0  # bytes of the open segment still to come
         self.headers: dict[str, str] | None = None  # of the header that is being read
         self.open: dict | None = None
         self.buffer = bytearray()
-        self.rows: list[tuple] = []
 
     def _emit(self, last: bool) -> None:
         o, data = self.open, bytes(self.buffer)
@@ -142,23 +141,29 @@ class _Parser:
 
 
 def _parse(batches: Iterator[pa.RecordBatch], with_bytes: bool, chunk: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    parser, at = _Parser(with_bytes, chunk), None
+    """A task reads several small archives one after the other, also within a batch: each has a
+    parser of its own, and all share the rows that are still to go out."""
+    rows: list[tuple] = []
+    parser, at = _Parser(with_bytes, chunk, rows), None
+
+    def out() -> pa.RecordBatch:
+        ready = pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+        rows.clear()
+        return ready
+
     for batch in batches:
         for data, archive in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             if archive != at:
                 parser.close()
-                parser, at = _Parser(with_bytes, chunk), archive
-                parser.rows = []
+                parser, at = _Parser(with_bytes, chunk, rows), archive
             parser.line(data.as_py())
-            if len(parser.rows) >= 64 and with_bytes or len(parser.rows) >= 4096:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in parser.rows], schema)
-                parser.rows = []
-        if parser.rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in parser.rows], schema)
-            parser.rows = []
+            if len(rows) >= 64 and with_bytes or len(rows) >= 4096:
+                yield out()
+        if rows:
+            yield out()
     parser.close()
-    if parser.rows:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in parser.rows], schema)
+    if rows:
+        yield out()
 
 
 def read_chunks(spark: SparkSession, path: str, with_bytes: bool = True, chunk: int = CHUNK) -> DataFrame:

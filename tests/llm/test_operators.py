@@ -119,6 +119,25 @@ def test_warc_repeated_id_with_two_payloads(spark):
     assert got == {(5, 200, "response", None), (7, 200, "revisit", 5), (7, 300, "response", None)}
 
 
+def test_warc_several_archives_in_a_task(spark):
+    html = [f"page {i}\r\n" * (i % 40) if i % 3 else f"copy {i % 7} " * 30 for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u"))
+    path = warc.archive_pages(df.repartition(24, "page_id"))
+    chunks = warc.read_chunks(spark, path)
+    assert len(spark.read.text(path).inputFiles()) > 2 * chunks.rdd.getNumPartitions()  # several archives a task
+    first = {}
+    for i, h in enumerate(html):
+        if len(h) >= 100:
+            first.setdefault(h, i)
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.read_records(spark, path).collect()}
+    assert sorted(got) == list(range(600))
+    for i, h in enumerate(html):
+        f = first.get(h, i)
+        assert got[i] == (len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if f < i else "response", f if f < i else None)
+    whole = {r["page_id"]: bytes(r["chunk"]).decode() for r in chunks.collect()}
+    assert whole == {i: "" if first.get(h, i) < i else h for i, h in enumerate(html)}
+
+
 def test_warc_empty(spark):
     assert warc.read_records(spark, warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
