@@ -25,11 +25,14 @@ def job_key(media: DataFrame) -> DataFrame:
 
 def relocate(uploads: DataFrame, media: DataFrame, work_dir: str) -> DataFrame:
     """uploads (path, name, size) with original: the path of the same file by name and size, not the
-    upload itself nor below work_dir, the first by (root_rank, path); else the upload's own path."""
+    upload itself nor below work_dir, the first by (root_rank, path), no rank last; else the upload's
+    own path. Uploads without a path are looked up too."""
     found = media.filter(~F.col("path").startswith(work_dir)).select("name", "size", F.col("path").alias("o_path"), "root_rank")
-    pick = uploads.select("path", "name", "size").distinct().join(found, ["name", "size"]).filter("o_path <> path")
-    best = pick.groupBy("path", "name", "size").agg(F.min(F.struct("root_rank", "o_path")).alias("m")).select("path", "name", "size", F.col("m.o_path").alias("original"))
-    return uploads.join(best, ["path", "name", "size"], "left").withColumn("original", F.coalesce("original", "path"))
+    pick = uploads.select("path", "name", "size").distinct().join(found, ["name", "size"]).filter("path is null or o_path <> path")
+    first = F.struct(F.col("root_rank").isNull().alias("none"), "root_rank", "o_path")
+    best = pick.groupBy("path", "name", "size").agg(F.min(first).alias("m")).select(F.col("path").alias("__path"), F.col("name").alias("__name"), F.col("size").alias("__size"), F.col("m.o_path").alias("original"))
+    same = F.col("path").eqNullSafe(F.col("__path")) & (F.col("name") == F.col("__name")) & (F.col("size") == F.col("__size"))
+    return uploads.join(best, same, "left").drop("__path", "__name", "__size").withColumn("original", F.coalesce("original", "path"))
 
 
 def output_path(media: DataFrame, upload_dir: str, out_dir: str) -> DataFrame:

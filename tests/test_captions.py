@@ -46,6 +46,18 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted(tuple(value(r[i]) for i in at) for r in rows)
 
 
+def test_relocate_of_repeated_urls_equals_its_sql(spark, tmp_path):
+    kind = "page_id long, url string, html string"
+    pages = [(1, "https://a/x", "one"), (2, "https://a/x", "three"), (3, "https://b/x", "three"), (4, "http://c/x", "one"), (None, "https://d/x", "one"), (6, "https://e/", ""), (6, "https://e/", ""), (7, None, "one"), (8, "https://f/x", None), (None, "https://g/y", "y")]
+    spark.createDataFrame(pages, kind).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = entry.queries()["src3_relocate"](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()["src3_relocate"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
+    assert ("/uploads/1", "x", 5, "https://b/x") in want and (None, "x", 3, "https://a/x") in want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
