@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
-from capspark.functions import pixels
+from capspark.functions import pixels, ratio
 from capspark.operators.block_fold import blocked_fold
 from capspark.operators.frame_index import asked_frames
 from capspark.params import DEFAULTS, Params
@@ -142,17 +142,6 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
-def alike(a: str, b: str, ratio: float) -> bool:
-    """similarity(a, b) > ratio, without the work where the lengths or the letters of the two rule it out."""
-    short, both = min(len(a), len(b)), len(a) + len(b)
-    if both and 2 * short / both <= ratio:
-        return False
-    if a == b:
-        return 1.0 > ratio
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() > ratio and m.ratio() > ratio
-
-
 def text_similarity(a: Column | str, b: Column | str) -> Column:
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -161,11 +150,11 @@ def text_similarity(a: Column | str, b: Column | str) -> Column:
     return ratio(a, b)
 
 
-def _renumber(subs: DataFrame) -> DataFrame:
-    return subs.withColumn("event_id", (F.row_number().over(Window.partitionBy("video_id").orderBy("start", "end")) - 1).cast("long"))
+def _renumber(subs: DataFrame, video: str = "video_id") -> DataFrame:
+    return subs.withColumn("event_id", (F.row_number().over(Window.partitionBy(video).orderBy("start", "end")) - 1).cast("long"))
 
 
-#: Subtitles of a chain that are folded together.
+#: Subtitles that are folded together.
 SUBTITLES = 128
 
 
@@ -173,31 +162,25 @@ def merge_same_text(subs: DataFrame, p: Params = DEFAULTS, block: int = SUBTITLE
     """Neighbours (video_id, start, end, text, conf, and any columns of content) with a gap of
     0..text_gap and texts alike become one: content as a whole from the surer side, the earlier of
     equals; the end is the later one's. Of equal places the surer, then the smaller text's hash is
-    first. Chains are cut by gap. Direct neighbours are compared first, evenly dealt; a fold over
-    blocks of a chain (see block_fold) then compares only where a merged subtitle has kept an earlier
-    content. Texts are joined to the blocks; the windows see places alone."""
-    subs = written(subs.withColumn("__id", F.monotonically_increasing_id()), "subtitles")
-    places = subs.select("video_id", "__id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("conf").cast("double").alias("conf"), F.xxhash64("text").alias("__hash"))
-    order = ["start", "end", F.desc("conf"), "__hash", "__id"]
-    w = Window.partitionBy("video_id").orderBy(*order)
-    gap = F.col("start") - F.lag("end").over(w)
-    places = places.withColumns({"__gap": gap, "row": F.row_number().over(w).cast("long")})
-    places = places.withColumn("chain", F.sum(F.coalesce(~F.col("__gap").between(0, p.text_gap), F.lit(True)).cast("int")).over(Window.partitionBy("video_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    of_chain = Window.partitionBy("video_id", "chain")
-    places = places.withColumns({"__n": F.count("*").over(of_chain), "__at": F.row_number().over(of_chain.orderBy("row"))})
-    places = written(places.withColumn("blk", F.floor((F.col("__at") - 1) / block).cast("long")).drop("__gap", "__at", "__hash"), "places")
-    texts = subs.select("__id", "text")
-    many = places.filter("__n > 1").select("video_id", "chain", "blk", "row", "conf", "__id").join(texts, "__id").drop("__id")
-
-    @F.pandas_udf("boolean")
-    def like(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([alike(a or "", b or "", p.text_ratio) for a, b in zip(x, y, strict=True)], dtype=bool)
-
-    key = ["video_id", "chain", "row"]
-    before = many.select("video_id", "chain", (F.col("row") + 1).alias("row"), F.col("text").alias("__before"))
-    next_to = many.select(*key, "text").join(before, key).select(*key, like("__before", "text").alias("like"))
-    many = many.join(next_to, key, "left")
-    kept_text = places.select("video_id", F.col("row").alias("e_kept"), "__id").join(texts.withColumnRenamed("text", "e_text"), "__id").drop("__id")
+    first. Chains are cut by gap; those that begin within a block's length are folded as one group, a
+    longer chain's rest in blocks of its own (see block_fold). Places are numbered once and written
+    with the texts; these then move twice, to their groups and to the merged places."""
+    named = {"start": "long", "end": "long", "conf": "double"}
+    rows = subs.select("*", *[F.col(c).cast(t).alias(f"__{c}") for c, t in named.items()], F.xxhash64("text").alias("__hash"))
+    w = Window.partitionBy("video_id").orderBy("__start", "__end", F.desc("__conf"), "__hash")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(~(F.col("__start") - F.lag("__end").over(w)).between(0, p.text_gap), F.lit(True))
+    rows = rows.withColumns({"__row": F.row_number().over(w).cast("long"), "__new": new})
+    rows = rows.withColumns({"__first": F.max(F.when(F.col("__new"), F.col("__row"))).over(so_far), "__alone": F.col("__new") & F.lead("__new", 1, True).over(w)})
+    # a video's rows lie in one partition in their order, so this is one number for each, also for no video_id
+    rows = rows.withColumn("__video", F.monotonically_increasing_id() - F.col("__row"))
+    rows = rows.withColumns({"__group": F.floor((F.col("__first") - 1) / block).cast("long"), "__blk": F.floor((F.col("__row") - F.col("__first")) / block).cast("long")})
+    rows = written(rows.drop("__hash"), "subtitles")
+    key = ["video", "group"]
+    plain = lambda *names: [F.col(f"__{c}").alias(c) for c in names]
+    places = rows.select(*plain("video", "group", "blk", "row", "first", "new", "start", "end", "conf"))
+    texts = rows.filter("not __alone").select(*plain("video", "group", "blk", "row", "new"), F.coalesce("__conf", F.lit(float("-inf"))).alias("conf"), "text")
+    kept_text = rows.select(*plain("video"), F.col("__row").alias("e_kept"), F.col("text").alias("e_text"))
 
     def add_up(over: Window) -> dict:
         m = F.max(F.struct("best", (-F.col("kept")).alias("r"))).over(over)
@@ -209,22 +192,23 @@ def merge_same_text(subs: DataFrame, p: Params = DEFAULTS, block: int = SUBTITLE
             row, text = int(r.row), r.text or ""
             if state is None and not pd.isna(r.e_kept):
                 state = (int(r.e_kept), r.e_text or "", r.e_best)
-            cut = state is not None and not (r.like if state[0] == row - 1 else alike(state[1], text, p.text_ratio))
+            cut = state is not None and (r.new or not ratio.above(state[1], text, p.text_ratio))
             new = (row, text, r.conf)
             own = new if cut or own is None or new[2] > own[2] else own
             state = new if cut or state is None or new[2] > state[2] else state
             out.append((row, bool(cut), own[0], own[2]))
         return out
 
-    enter = lambda handed: handed.join(kept_text, ["video_id", "e_kept"], "left")
-    cuts = blocked_fold(many, places, ["video_id", "chain"], "row", {"kept": "long", "best": "double"}, add_up, fold, enter)
-    rows = places.join(cuts, ["video_id", "chain", "row"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)).cast("int"))
-    rows = rows.withColumn("sub", F.sum("cut").over(of_chain.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.max(F.struct(F.coalesce("conf", F.lit(float("-inf"))).alias("c"), (-F.col("row")).alias("r"), "__id")).alias("m")
-    merged = rows.groupBy("video_id", "chain", "sub").agg(F.min("start").alias("start"), F.max_by("end", "row").alias("end"), first)
-    content = subs.drop("video_id", "start", "end")
-    out = merged.select("video_id", "start", "end", F.col("m.__id").alias("__id")).join(content, "__id").drop("__id")
-    return _renumber(out.select(*[c for c in subs.columns if c != "__id"]))
+    enter = lambda handed: handed.join(kept_text, ["video", "e_kept"], "left")
+    cuts = blocked_fold(texts, places, key, "row", {"kept": "long", "best": "double"}, add_up, fold, enter)
+    merged = places.join(cuts, [*key, "row"], "left")
+    of_chain = Window.partitionBy("video", "first").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("sub", F.sum((F.coalesce("cut", F.lit(False)) & ~F.col("new")).cast("int")).over(of_chain))
+    surest = F.max(F.struct(F.coalesce("conf", F.lit(float("-inf"))).alias("c"), (-F.col("row")).alias("r"))).alias("m")
+    merged = merged.groupBy("video", "first", "sub").agg(F.min("start").alias("start"), F.max_by("end", "row").alias("end"), surest)
+    merged = _renumber(merged, "video").select(F.col("video").alias("__video"), (-F.col("m.r")).alias("__row"), "event_id", "start", "end")
+    out = merged.join(rows.drop("event_id", "start", "end"), ["__video", "__row"])
+    return out.select(*dict.fromkeys([*subs.columns, "event_id"]))
 
 
 def merge_equal_text(subs: DataFrame, p: Params = DEFAULTS) -> DataFrame:

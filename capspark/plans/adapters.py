@@ -160,10 +160,10 @@ rlines as (select video_id, event_id, attempt, readable, frame, text, pos, ((con
 def subtitles(spark: SparkSession, d: str) -> DataFrame:
     """video_id, event_id, start, end, text, conf from documents, by language and rough length."""
     video = F.concat("lang", F.lit("-"), F.floor(F.col("n_chars") / 64).cast("string"))
-    order = Window.partitionBy(video).orderBy("n_chars", "text", "doc_id")
+    order = Window.partitionBy("video_id").orderBy("n_chars", "text", "doc_id")
     n, gap = F.col("n_chars") % 50 + 5, F.col("doc_id") % 15
     to = F.sum(n + gap).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "documents").select(video.alias("video_id"), (F.row_number().over(order) - 1).cast("long").alias("event_id"), (to - n).cast("long").alias("start"), (to - 1).cast("long").alias("end"), "text", (F.col("doc_id") * 13 % 100 / F.lit(100.0)).alias("conf"))
+    return table(spark, d, "documents").withColumn("video_id", video).select("video_id", (F.row_number().over(order) - 1).cast("long").alias("event_id"), (to - n).cast("long").alias("start"), (to - 1).cast("long").alias("end"), "text", (F.col("doc_id") * 13 % 100 / F.lit(100.0)).alias("conf"))
 
 
 SUBTITLES = """

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capspark.functions import columns as C
+from capspark.functions import ratio
 from capspark.operators import block_fold, reads, segment
 
 from .test_captions import BOXED, EVENTS, GEO, joined, plain_diff, plain_rect, plain_runs, thumbs_of
@@ -111,3 +112,41 @@ def test_texts_edges(spark):
     got = reads.merge_same_text(spark.createDataFrame(rows, kind)).collect()
     assert sorted((r["video_id"], r["start"], r["end"], r["text"] or "") for r in got) == [("a", 0, 9, ""), ("a", 10, 12, "x"), ("a", 10, 12, "x"), ("b", 0, 1, "y")]
     assert reads.merge_same_text(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_texts_of_no_video_and_of_many_chains_equal_a_loop(spark):
+    rng, subs = random.Random(5), []
+    for v in (None, "a", "b"):
+        at = 0
+        for i in range(150):
+            e = at + rng.randint(1, 4)
+            subs.append((v, at, e, rng.choice(["hello there friend", "hello there friends", "hello where friend", "bye", None]), rng.choice([None, 0.5, 0.7]), i))
+            at = e + rng.choice([0, 1, 12, 13] if i < 100 else [0, 1])
+    want = []
+    for v in (None, "a", "b"):
+        kept = []
+        for _, s, e, t, c, i in (x for x in subs if x[0] == v):
+            if kept and 0 <= s - kept[-1][1] <= 12 and SequenceMatcher(None, kept[-1][2] or "", t or "").ratio() > 0.85:
+                kept[-1][1] = e
+                if (c or 0) > (kept[-1][3] or 0):
+                    kept[-1][2:] = [t, c, i]
+            else:
+                kept.append([s, e, t, c, i])
+        want += [(v, k, *x) for k, x in enumerate(kept)]
+    got = reads.merge_same_text(spark.createDataFrame(subs, "video_id string, start long, end long, text string, conf double, tag int").repartition(3), block=16)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in ("video_id", "event_id", "start", "end", "text", "conf", "tag"))) for r in got.collect())
+
+
+def test_ratio_above_is_difflibs():
+    rng = random.Random(1)
+    for n in (0, 1, 30, 199, 260, 700) * 8:
+        a = rng.choices("etaoin shrdlu.ABCXYZ\u6f22\U0001f600", weights=range(22, 0, -1), k=n)
+        b = list(a)
+        for _ in range(rng.randint(0, n // 8 + 1)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 3)] = rng.choices("etaoXY", k=rng.randint(0, 3))
+        a, b = "".join(a), "".join(b)
+        for x, y in ((a, b), (b, a), (a, "".join(reversed(b)))):
+            r = SequenceMatcher(None, x, y).ratio()
+            bounds = (0.85, r, r - 1e-9, 0.5)
+            assert [ratio.above(x, y, t) for t in bounds] == [r > t for t in bounds]
