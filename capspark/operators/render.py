@@ -123,35 +123,48 @@ def overlay_plans(subs: DataFrame, glyph_masks: DataFrame, overlays: DataFrame,
     return erase_masks(rows, glyph_masks).join(overlays, ["video_id", "event_id"], "left")
 
 
-def clean_frames(subs: DataFrame, n_frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def clean_frames(subs: DataFrame, n_frames: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
     """video_id, event_id, frame: up to half of clean_want frames without text on each side of an
     event. From clean_margin frames outside it, a probe that finds text moves one frame on, a hit
-    moves clean_stride; clean_steps probes in all; the end of the video ends a side.
+    moves clean_stride; clean_steps probes in all; the end of the video ends a side. Without a table
+    n_frames subs have that column.
 
     By built-ins: stretches of frames with text are merged, and each knows the few around it, so that
-    one as-of lookup of a side's first probe has all that both its frames depend on.
+    one as-of lookup of a side's first probe has all that both its frames depend on. Stretches and
+    probes meet in windows by video_id over numbers alone, so subs that are dealt by video_id are not
+    shuffled again, nor are the frames in frame_requests.
     """
-    ev = subs.join(n_frames.select("video_id", "n_frames"), "video_id")
+    subs = subs.filter("video_id is not null")
+    ev = subs if n_frames is None else subs.join(n_frames.select("video_id", "n_frames"), "video_id")
     rows = ev.select("video_id", F.col("event_id").alias("owner"), "n_frames", "start", "end", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
     base = F.when(F.col("side") < 0, F.col("start") - p.clean_margin).otherwise(F.col("end") + p.clean_margin)
-    rows = rows.select("video_id", "owner", "n_frames", "side", base.alias("frame"))
+    rows = rows.select("video_id", "owner", "n_frames", "side", base.cast("long").alias("frame"))
 
     covered = covered_stretches(subs).select("video_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    first = covered.select("video_id").distinct().select("video_id", F.lit(-(1 << 60)).alias("start"), F.lit(-(1 << 60) - 1).alias("end"))
     w = Window.partitionBy("video_id").orderBy("start")
     reach = (p.clean_stride + 1) // 2  # stretches have a frame and one between them, so no more begin within a stride
-    one = F.struct("start", "end")
-    around = F.array(*[f(one, k).over(w) for f in (F.lag, F.lead) for k in range(1, reach + 1)], one)
-    marks = covered.unionByName(first).select("video_id", "start", "end", F.filter(around, lambda x: x.isNotNull()).alias("event_id"))
-    rows = _last_start(rows, marks).withColumn("near", F.col("now.id")).drop("now")
-
-    def probed(rows: DataFrame, probe: str, free: str) -> DataFrame:
-        at = F.get(F.filter("near", lambda x: (x["start"] <= F.col(probe)) & (x["end"] >= F.col(probe))), F.lit(0))
-        beyond = F.when(F.col("side") < 0, at["start"] - 1).otherwise(at["end"] + 1)
+    far = F.lit(-(1 << 60))  # before all frames, so that the first stretch is seen from before it too
+    before = [F.struct(F.lag("start", k).over(w).alias("s"), F.lag("end", k).over(w).alias("e")) for k in range(1, reach + 1)]
+    after = [F.struct(F.lead("start", k).over(w).alias("s"), F.lead("end", k).over(w).alias("e")) for k in range(1, reach + 1)]
+    own = F.struct(F.col("start").alias("s"), F.col("end").alias("e"))
+    none = F.struct(far.alias("s"), (far - 1).alias("e"))
+    mark = lambda *near: F.struct(*[c[k].alias(f"{k}{i}") for i, c in enumerate(near) for k in ("s", "e")])
+    here, ahead = mark(own, *before, *after), mark(none, *[none] * reach, own, *after[:-1])
+    marks = covered.select("video_id", F.lag("start").over(w).isNull().alias("first"), here.alias("here"), ahead.alias("ahead"))
+    marks = marks.select("video_id", F.explode(F.when(F.col("first"), F.array("ahead", "here")).otherwise(F.array("here"))).alias("near"))
+    mixed = rows.withColumn("kind", F.lit(1)).unionByName(marks.withColumns({"frame": F.col("near.s0"), "kind": F.lit(0)}), allowMissingColumns=True)
+    w = Window.partitionBy("video_id").orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = mixed.withColumn("near", F.last("near", ignorenulls=True).over(w)).filter("kind = 1").drop("kind")
+
+    def probed(rows: DataFrame, probe: str, free: str, near: range) -> DataFrame:
+        beyond = F.lit(None).cast("long")
+        for i in near:
+            s, e = F.col(f"near.s{i}"), F.col(f"near.e{i}")
+            beyond = F.when((s <= F.col(probe)) & (e >= F.col(probe)), F.when(F.col("side") < 0, s - 1).otherwise(e + 1)).otherwise(beyond)
         return rows.withColumn(free, F.coalesce(beyond, F.col(probe)))
 
-    rows = probed(rows, "frame", "one").withColumn("again", F.col("one") + F.col("side") * p.clean_stride)
-    rows = probed(rows, "again", "two")
+    rows = probed(rows, "frame", "one", range(1)).withColumn("again", F.col("one") + F.col("side") * p.clean_stride)
+    rows = probed(rows, "again", "two", range(2 * reach + 1))
     inside = lambda f: (F.col(f) >= 0) & (F.col(f) < F.col("n_frames"))
     steps = lambda f: F.abs(F.col(f) - F.col("frame"))
     hit = inside("one") & (steps("one") < p.clean_steps)
@@ -175,9 +188,12 @@ def covered_stretches(events: DataFrame) -> DataFrame:
 def frame_requests(clean: DataFrame) -> DataFrame:
     """video_id, frame, n_plans, first_event, plans: which frames are needed, and by which events of
     two or more. An event is near the frames it asks for, so few ask for one."""
-    enough = clean.distinct().withColumn("n", F.count("*").over(Window.partitionBy("video_id", "event_id"))).filter("n >= 2")
-    plans = F.sort_array(F.collect_list("event_id")).alias("plans")
-    return enough.groupBy("video_id", "frame").agg(F.count("*").alias("n_plans"), F.min("event_id").alias("first_event"), plans)
+    of_event = Window.partitionBy("video_id", "event_id")
+    again = F.coalesce(F.lag("frame").over(of_event.orderBy("frame")) == F.col("frame"), F.lit(False))
+    enough = clean.select("video_id", "event_id", "frame", again.alias("again")).withColumn("n", F.count(F.when(~F.col("again"), 1)).over(of_event)).filter("n >= 2 and not again")
+    at = Window.partitionBy("video_id", "frame")
+    rows = enough.select("video_id", "frame", F.count("*").over(at).alias("n_plans"), F.min("event_id").over(at).alias("first_event"), F.sort_array(F.collect_list("event_id").over(at)).alias("plans"), F.row_number().over(at.orderBy("event_id")).alias("k"))
+    return rows.filter("k = 1").drop("k")
 
 
 def event_at_frame(frames: DataFrame, events: DataFrame) -> DataFrame:

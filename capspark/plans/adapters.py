@@ -112,12 +112,12 @@ def glyphs(spark: SparkSession, d: str) -> DataFrame:
 
 def intervals(spark: SparkSession, d: str) -> DataFrame:
     """video_id, event_id, start, end, bbox from lineitem: disjoint events with gaps of 1 to 40."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = Window.partitionBy("video_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     n, gap = F.col("l_quantity").cast("int"), (F.col("l_linenumber") * 5 + F.col("l_partkey")) % 40
     to = F.sum(n + gap).over(order.rowsBetween(Window.unboundedPreceding, 0))
     x, y = F.col("l_partkey") % 600, 500 + F.col("l_orderkey") % 100
-    return table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("video_id"),
+    return table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "video_id").select(
+        "video_id",
         (F.row_number().over(order) - 1).cast("long").alias("event_id"),
         (to - n).cast("long").alias("start"),
         (to - 1).cast("long").alias("end"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import tempfile
 import time
+from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 import duckdb
@@ -58,6 +59,22 @@ def test_relocate_of_repeated_urls_equals_its_sql(spark, tmp_path):
     assert ("/uploads/1", "x", 5, "https://b/x") in want and (None, "x", 3, "https://a/x") in want
 
 
+def test_frame_requests_shuffle_once_and_equal_their_sql(spark, tmp_path):
+    rng = random.Random(7)
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    day = datetime(2000, 1, 1)
+    rows = [(i, rng.choice([i, 40 * i, 40 * i + 3]), rng.choice([1, 1, 2, 3, None]), 8, float(rng.randint(0, 60)), 1.0, day + timedelta(days=rng.randint(0, 20))) for i in range(600)]
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("rnd6_clean_frames", "rnd7_frame_requests"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(video_id") == plan.count("Exchange") == 2  # one is reused
+        want = con.sql(entry.oracle_sql()[name])
+        assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[c] for c in want.columns)) for r in df.collect())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
